@@ -48,12 +48,17 @@ def documents(df: DataFrame, *more: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(F.col(c) for c in more))
 
 
-def per_batch(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFrame:
-    """Maps each Arrow batch, given as a dict of lists, to a dict of lists or arrays in the order of schema."""
-    from pyspark.sql.types import StructType
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow form of a DDL schema; needs the driver's session."""
     from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def per_batch(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFrame:
+    """Maps each Arrow batch, given as a dict of lists, to a dict of lists or arrays in the order of schema."""
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import delete, documents, per_batch, written
+from gleaner.llm.common import arrow_schema, delete, documents, per_batch, written
 from gleaner.llm.induced import repeated_starts
 
 GRAM, HOT = 64, 256
@@ -151,10 +151,7 @@ RESULT = "anchor long, s1 long, s2 long, ranges array<struct<first:int,n:int>>"
 
 def sorted_shards(segments: DataFrame, length: int, shards: int) -> DataFrame:
     """Repeated starts of segments (anchor, s1, s2, whole, n, bytes), which meet by anchor in one of so many shards."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    arrow = to_arrow_schema(StructType.fromDDL(RESULT))
+    arrow = arrow_schema(RESULT)
 
     def sort(table: pa.Table) -> pa.Table:
         parts = table.column("bytes").to_pylist()
