@@ -207,16 +207,17 @@ def sorted_seeds(shard: Shard, depth: int, limit: int) -> tuple[np.ndarray, np.n
     equal = (length[a] == length[b]) & whole[a] & whole[b]
     at = np.flatnonzero(equal)
     equal[at] = same_bytes(text, seeds[a[at]], seeds[b[at]], length[a[at]])
-    rank = np.empty(len(seeds), np.int64)
+    rank = np.empty(len(seeds), np.int32)
     rank[order] = np.append(0, np.cumsum(~equal))
     # the string of names: ranks of 1, 2, 4 ... names, until all differ or cover depth (a name covers two symbols at least)
     ranks, h = [rank], 1
     while h * 2 < 2 * depth and rank.max() + 1 < len(seeds):
-        after = np.append(rank[h:] + 1, np.zeros(min(h, len(seeds)), np.int64))[: len(seeds)]
-        key = rank * (len(seeds) + 1) + after
+        key = rank * np.int64(len(seeds) + 1)
+        key[: max(0, len(seeds) - h)] += rank[h:] + 1
         order = np.argsort(key)
-        new = np.empty(len(seeds), np.int64)
-        new[order] = np.append(0, np.cumsum(key[order][1:] != key[order][:-1]))
+        key = key[order]
+        new = np.empty(len(seeds), np.int32)
+        new[order] = np.append(0, np.cumsum(key[1:] != key[:-1]))
         rank, h = new, h * 2
         ranks.append(rank)
     order = np.argsort(rank)

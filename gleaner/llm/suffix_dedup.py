@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import arrow_schema, delete, documents, per_batch, written
 from gleaner.llm.induced import repeated_starts
 
-GRAM, HOT = 64, 256
+#: Segments of one anchor that a task sorts together, under 5 MB; beyond that an anchor is hot.
+GRAM, HOT = 64, 6000
 #: Windows are taken from at most so many bytes at once.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 #: Fixed values of the rolling hash: odd multipliers.
 MULTIPLIER, FINISH = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -240,7 +241,7 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*keep, data[at:]])
 
 
-def cleaned(df: DataFrame, *more: str, length: int = 400, shard_bytes: int = 4 << 20) -> DataFrame:
+def cleaned(df: DataFrame, *more: str, length: int = 400, shard_bytes: int = 2 << 20) -> DataFrame:
     """doc_id, the columns named in more, text, spans (null: nothing to remove): each document beside what to remove."""
     docs = documents(df)
     spans = repeated_spans(docs, length, shard_bytes).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "spans")
@@ -260,7 +261,7 @@ def remove_repeats(df: DataFrame, *more: str, length: int = 400) -> DataFrame:
     return per_batch(cleaned(df, *more, length=length), run, ", ".join(["doc_id long", "text string", *(f"`{c}` {types[c]}" for c in more)]))
 
 
-def removal_digests(df: DataFrame, length: int = 400, shard_bytes: int = 4 << 20) -> DataFrame:
+def removal_digests(df: DataFrame, length: int = 400, shard_bytes: int = 2 << 20) -> DataFrame:
     def run(rows: dict) -> dict:
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256")}
         for text, spans in zip(rows["text"], rows["spans"], strict=True):
