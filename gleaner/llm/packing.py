@@ -32,13 +32,27 @@ from gleaner.llm.common import documents, written
 SALTS = 128
 
 
+@functools.lru_cache(2)
+def token_ranks(ranks_path: str) -> dict[bytes, int]:
+    with open(ranks_path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+@functools.lru_cache(2)
+def begins_with_blank(ranks_path: str) -> np.ndarray:
+    """By id, whether a token's first byte is a blank; the special one's is not."""
+    ranks = token_ranks(ranks_path)
+    out = np.zeros(len(ranks) + 1, bool)
+    out[[i for t, i in ranks.items() if t[:1] == b" "]] = True
+    return out
+
+
 @functools.lru_cache(2)
 def token_ids(ranks_path: str):
     """The ids of a text by the public ranks; the special string is one token."""
     import tiktoken
 
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = token_ranks(ranks_path)
     encoding = tiktoken.Encoding("packing", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
     return lambda text: encoding.encode_to_numpy(text, allowed_special="all")
 
