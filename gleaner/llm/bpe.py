@@ -37,6 +37,8 @@ SPLIT = CONTRACTIONS + r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPECIAL = "<|endoftext|>"
 #: Texts whose characters are all below this are split by the standard library's faster engine.
 NARROW = 0x250
+#: More than any rank and id packed in one number.
+NEVER = 1 << 60
 
 
 def narrow_pattern() -> re.Pattern:
@@ -87,6 +89,7 @@ class Vocabulary:
         for rank, m in enumerate(model["model"]["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
             self.merges.setdefault(ids[a] << 20 | ids[b], (rank, ids[a + b]))
+        self.packed = {k: rank << 20 | i for k, (rank, i) in self.merges.items()}
 
     def merge(self, word: str) -> list[int]:
         """The ids of one word: again and again the lowest-ranked neighbouring pair, leftmost first, becomes one."""
@@ -96,21 +99,20 @@ class Vocabulary:
         return self._merge_short(ids) if len(ids) <= 48 else self._merge_long(ids)
 
     def _merge_short(self, ids: list[int]) -> list[int]:
-        get = self.merges.get
-        found = [get(a << 20 | b) for a, b in zip(ids, ids[1:], strict=False)]
-        while True:
-            best, at = None, -1
-            for k, f in enumerate(found):
-                if f is not None and (best is None or f[0] < best[0]):
-                    best, at = f, k
-            if best is None:
-                return ids
-            ids[at : at + 2] = [best[1]]
+        get = self.packed.get
+        found = [get(a << 20 | b, NEVER) for a, b in zip(ids, ids[1:], strict=False)]
+        while found:
+            best = min(found)
+            if best == NEVER:
+                break
+            at = found.index(best)
+            ids[at : at + 2] = [best & 0xFFFFF]
             del found[at]
             if at < len(found):
-                found[at] = get(ids[at] << 20 | ids[at + 1])
+                found[at] = get(ids[at] << 20 | ids[at + 1], NEVER)
             if at:
-                found[at - 1] = get(ids[at - 1] << 20 | ids[at])
+                found[at - 1] = get(ids[at - 1] << 20 | ids[at], NEVER)
+        return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         n, get = len(ids), self.merges.get
