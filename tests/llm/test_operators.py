@@ -211,7 +211,7 @@ def test_chat_repair(spark, monkeypatch):
         for way in itertools.product(range(4), repeat=len(roles)):
             state, cost = chat.START, 0.0
             for r, t in zip(roles, way, strict=True):
-                ways = [chat.INSERT * len(chat.inserted()[state, t])] * ((state, t) in chat.inserted()) + [chat.MERGE] * (state == t)
+                ways = [chat.INSERT * len(w) for w in [chat.inserted().get((state, t))] if w is not None] + [chat.MERGE] * (state == t)
                 cost += min(ways, default=math.inf) + (0 if r == t else chat.RELABEL if r < 4 else chat.RELABEL_UNKNOWN)
                 state = t
             costs.append(cost + chat.INSERT * len(chat.inserted()[state, chat.START]))
