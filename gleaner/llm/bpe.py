@@ -4,7 +4,9 @@ The words that are frequent in the whole corpus are compiled, with their token i
 automaton: states with the same continuations are one state, so suffixes are shared, and each edge carries how many words
 come before it, so that the sum along a path is the word's row in the table of outputs. The compiled bytes are broadcast
 (their size is bounded by `words`), written to an unlinked file by each Python worker and memory-mapped. A word that the
-automaton does not hold is merged by rank, which gives the same ids; the automaton changes speed alone.
+automaton does not hold is merged by rank, which gives the same ids; the automaton changes speed alone. The new words of a
+group of texts go through the automaton together, a byte of every word at a time, and so do the merges of the words it does
+not hold.
 
 Null texts count as empty and empty texts have no tokens. Repeated rows and repeated ids stay as they are. Extra columns are
 ignored. A text's words of any length are merged in O(n log n).
@@ -23,7 +25,9 @@ import struct
 import tempfile
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +43,8 @@ SPECIAL = "<|endoftext|>"
 NARROW = 0x250
 #: More than any rank and id packed in one number.
 NEVER = 1 << 60
+#: Words of more bytes are merged one by one; texts are worked on in groups of about this many characters.
+SHORT, GROUP_CHARS = 48, 1_000_000
 
 
 def narrow_pattern() -> re.Pattern:
@@ -89,30 +95,57 @@ class Vocabulary:
         for rank, m in enumerate(model["model"]["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
             self.merges.setdefault(ids[a] << 20 | ids[b], (rank, ids[a + b]))
-        self.packed = {k: rank << 20 | i for k, (rank, i) in self.merges.items()}
+        pairs = sorted(self.merges)
+        self.pairs = np.array([*pairs, NEVER])
+        self.packed = np.array([*(rank << 20 | i for rank, i in map(self.merges.get, pairs)), NEVER])
+        self.start_ids = np.array(self.start)
+        self.names = {i: str(i) for i in self.bytes}
+        self.by_name = {n: self.bytes[i] for i, n in self.names.items()}
 
     def merge(self, word: str) -> list[int]:
         """The ids of one word: again and again the lowest-ranked neighbouring pair, leftmost first, becomes one."""
-        if word in self.special:
-            return [self.special[word]]
-        ids = [self.start[b] for b in word.encode()]
-        return self._merge_short(ids) if len(ids) <= 48 else self._merge_long(ids)
-
-    def _merge_short(self, ids: list[int]) -> list[int]:
-        get = self.packed.get
-        found = [get(a << 20 | b, NEVER) for a, b in zip(ids, ids[1:], strict=False)]
-        while found:
-            best = min(found)
-            if best == NEVER:
-                break
-            at = found.index(best)
-            ids[at : at + 2] = [best & 0xFFFFF]
-            del found[at]
-            if at < len(found):
-                found[at] = get(ids[at] << 20 | ids[at + 1], NEVER)
-            if at:
-                found[at - 1] = get(ids[at - 1] << 20 | ids[at], NEVER)
-        return ids
+        return [self.special[word]] if word in self.special else self._merge_long([self.start[b] for b in word.encode()])
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank and new id of neighbours in one number; NEVER where they do not merge."""
+        key = a << 20 | b
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[at] == key, self.packed[at], NEVER)
+
+    def merge_together(self, flat: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """(which word, its ids) for words of `size` bytes that follow each other in flat; in a step every word makes its next merge."""
+        which, ids = np.arange(len(size)), self.start_ids[flat]
+        first = np.cumsum(size) - size
+        value = np.full(len(ids), NEVER)
+        value[:-1] = self.ranks(ids[:-1], ids[1:])
+        value[first + size - 1] = NEVER
+        while len(which):
+            best = np.minimum.reduceat(value, first)
+            done = best == NEVER
+            if done.any():
+                for w, a, n in zip(which[done].tolist(), first[done].tolist(), size[done].tolist(), strict=True):
+                    yield w, ids[a : a + n].tolist()
+                stays = np.repeat(~done, size)
+                which, size, best, ids, value = which[~done], size[~done], best[~done], ids[stays], value[stays]
+                first = np.cumsum(size) - size
+                if not len(which):
+                    break
+            hits = np.flatnonzero(value == np.repeat(best, size))
+            owner = np.searchsorted(first, hits, "right") - 1
+            at = hits[np.append(True, owner[1:] != owner[:-1])]  # the leftmost of each word
+            ids[at] = best & 0xFFFFF
+            kept = np.ones(len(ids), bool)
+            kept[at + 1] = False
+            ids, value = ids[kept], value[kept]
+            at -= np.arange(len(at))  # each word before lost one
+            size = size - 1
+            first = np.cumsum(size) - size
+            last = first + size - 1
+            value[at] = NEVER
+            own = at[at < last]
+            value[own] = self.ranks(ids[own], ids[own + 1])
+            own = at[at > first]
+            value[own - 1] = self.ranks(ids[own - 1], ids[own])
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         n, get = len(ids), self.merges.get
@@ -203,19 +236,34 @@ class Lexicon:
         for n in lengths:
             parts.append((at, view[at : at + n]))
             at += n
-        self.first, self.target, self.skip, self.offsets, self.ids = (v.cast("I") for _, v in parts[:5])
-        self.labels_at, self.final = parts[5][0], parts[6][1]
+        first, self.target, self.skip, self.offsets, self.ids = (np.frombuffer(v, np.uint32) for _, v in parts[:5])
+        labels, self.final = np.frombuffer(parts[5][1], np.uint8), np.frombuffer(parts[6][1], np.uint8)
         self.n_states = len(self.final)
+        #: State and byte of each edge, in order: states are numbered, and a state's edges come by byte.
+        self.edges = np.append(np.repeat(np.arange(self.n_states), np.diff(first)) << 8 | labels, NEVER)
+
+    def rows(self, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The row of outputs of each of the words of `size` bytes that follow each other in flat, -1 for a word that is not held."""
+        start, out = np.cumsum(size) - size, np.full(len(size), -1)
+        state, row, on, k = np.full(len(size), self.root), np.zeros(len(size), np.int64), np.arange(len(size)), 0
+        while len(on):
+            at_end = size[on] == k
+            ends, on = on[at_end], on[~at_end]
+            out[ends] = np.where(self.final[state[ends]] == 1, row[ends], -1)
+            key = state[on] << 8 | flat[start[on] + k]
+            e = np.searchsorted(self.edges, key)
+            there = self.edges[e] == key
+            on, e, k = on[there], e[there], k + 1
+            row[on] += self.skip[e]
+            state[on] = self.target[e]
+        return out
+
+    def outputs(self, row: int) -> list[int]:
+        return self.ids[self.offsets[row] : self.offsets[row + 1]].tolist()
 
     def get(self, word: bytes) -> list[int] | None:
-        state, row, find, base = self.root, 0, self.map.find, self.labels_at
-        for k in range(len(word)):
-            e = find(word[k : k + 1], base + self.first[state], base + self.first[state + 1]) - base
-            if e < 0:
-                return None
-            row += self.skip[e]
-            state = self.target[e]
-        return list(self.ids[self.offsets[row] : self.offsets[row + 1]]) if self.final[state] else None
+        row = self.rows(np.frombuffer(word, np.uint8).astype(np.int64), np.array([len(word)]))[0]
+        return self.outputs(row) if row >= 0 else None
 
 
 @functools.lru_cache(2)
@@ -231,32 +279,62 @@ class Encoder:
         self.seen: dict[str, str] = {}
         self.texts: dict[str, bytes] = {"": b""}
 
-    def word(self, word: str) -> str:
-        ids = self.lexicon.get(word.encode())
-        out = ",".join(map(str, self.vocabulary.merge(word) if ids is None else ids))
-        self.seen[word] = out
-        return out
-
-    def encode(self, text: str) -> list[str]:
-        """A string of decimal ids joined by commas for each word."""
+    def learn(self, words: list[str]) -> None:
+        """Adds new words to the table."""
+        v, seen = self.vocabulary, self.seen
+        raw, short = [], []
+        for w in words:
+            b = w.encode()
+            if len(b) <= SHORT and w not in v.special:
+                raw.append(b)
+                short.append(w)
+            else:
+                seen[w] = ",".join(map(v.names.__getitem__, v.merge(w)))
+        if not raw:
+            return
+        flat, size = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64), np.array(list(map(len, raw)))
+        rows = self.lexicon.rows(flat, size)
+        for k in np.flatnonzero(rows >= 0).tolist():
+            seen[short[k]] = ",".join(map(v.names.__getitem__, self.lexicon.outputs(rows[k])))
+        new = np.flatnonzero(rows < 0)
+        for k, ids in v.merge_together(flat[np.repeat(rows < 0, size)], size[new]) if len(new) else ():
+            seen[short[new[k]]] = ",".join(map(v.names.__getitem__, ids))
+
+    def encode(self, texts: list[str]) -> Iterator[list[str]]:
+        """For each text a string of decimal ids joined by commas for each word."""
         if len(self.seen) > self.remembered:
             self.seen.clear()
-        get, new = self.seen.get, self.word
-        return [get(w) or new(w) for w in split_words(text)]
+        split = [split_words(t) for t in texts]
+        self.learn(list(set().union(*split).difference(self.seen)))
+        for words in split:
+            yield list(map(self.seen.__getitem__, words))
 
     def decode(self, words: list[str]) -> str:
         if len(self.texts) > self.remembered:
             self.texts.clear()
         out = []
-        get = self.texts.get
+        get, token = self.texts.get, self.vocabulary.by_name.__getitem__
         for w in words:
             b = get(w)
             if b is None:
-                b = self.texts[w] = self.vocabulary.decode([int(i) for i in w.split(",")])
+                b = self.texts[w] = b"".join(map(token, w.split(",")))
             out.append(b)
         return b"".join(out).decode("utf-8", "replace")
 
 
+def groups(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of GROUP_CHARS characters or one text at least."""
+    group, held = [], 0
+    for t in texts:
+        group.append(t)
+        held += len(t)
+        if held >= GROUP_CHARS:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
 _encoders: dict[tuple, Encoder] = {}
 
 
@@ -299,8 +377,7 @@ def encode_documents(df: DataFrame, path: str, words: int = 50_000, with_ids: bo
     def run(rows: dict) -> dict:
         e = encoder(path, key, shared)
         out: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
-        for text in rows["text"]:
-            parts = e.encode(text)
+        for parts in (parts for group in groups(rows["text"]) for parts in e.encode(group)):
             ids, decoded = ",".join(parts), e.decode(parts)
             out["n_tokens"].append(ids.count(",") + 1 if ids else 0)
             out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
