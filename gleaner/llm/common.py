@@ -43,6 +43,18 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of counts (with a column n) that have the highest n, `most` at most: of the n whose rows would be too many, none is taken. Only how many rows have each n comes to the driver."""
+    held, _ = written(counts, "counts")
+    taken, least = 0, None
+    for r in held.groupBy("n").agg(F.count("*").alias("rows")).orderBy(F.desc("n")).toLocalIterator():
+        taken += r["rows"]
+        if taken > most:
+            break
+        least = r["n"]
+    return held.where(F.lit(False) if least is None else F.col("n") >= least)
+
+
 def documents(df: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null: empty) and the named columns; whatever else the table has is left behind here."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(F.col(c) for c in more))
