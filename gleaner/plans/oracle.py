@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from gleaner.plans.queries import KEYWORDS, NAMED
+from gleaner.operators import status
+from gleaner.plans.queries import KEYWORDS, MESSAGES, NAMED
 
 ITEMS = "(SELECT event_id, ts, epoch(ts) AS timestamp, 'https://inbox.example.com/' || user_id || '/' || event_type AS url, event_type FROM events)"
 FIRST = "SELECT url, event_id, ts, event_type FROM {rows} QUALIFY row_number() OVER (PARTITION BY url ORDER BY ts, event_id) = 1"
@@ -42,7 +43,39 @@ USEFUL = f"""(
         WHERE content <> '' AND (by_author OR NOT (regexp_matches(content, '{STOCK}') OR regexp_matches(content, '^[赞好棒强牛]+$') OR length(content) <= 2)))) WHERE good OR n = 0)
   WHERE place <= CASE WHEN n = 0 THEN 20 ELSE 40 END)"""
 
+FAILURES = f"(SELECT event_id, ([{sql_list(MESSAGES)}])[event_id % {len(MESSAGES)} + 1] AS message, CASE WHEN value > 90 THEN 'captcha' END AS reason, CASE WHEN value < 5 THEN 'comment_incomplete' END AS warning FROM events)"
+
+
+def stage_case() -> str:
+    own = {1: " OR coalesce(reason = 'captcha', false)", 5: " OR coalesce(warning = 'comment_incomplete', false)"}
+    return "CASE " + " ".join(f"WHEN regexp_matches(message, '{p}'){own.get(k, '')} THEN '{s}'" for k, (s, p) in enumerate(status.STAGES)) + " ELSE 'unknown' END"
+
+
+def error_case() -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(message, '{p}') THEN '{c}'" for c, p, _ in status.ERRORS) + " ELSE 'unknown' END"
+
+
 SQL = {
+    "failure_stages": f"SELECT {stage_case()} AS stage, count(*) AS n, min(event_id) AS first_event FROM {FAILURES} GROUP BY 1",
+    "task_errors": f"SELECT code, code = 'chrome_unavailable' AS retriable, code IN ({sql_list(status.PARTIAL)}) AS allow_write, code IN ({sql_list(status.PARTIAL)}) AS allow_fallback, count(*) AS n, min(event_id) AS first_event FROM (SELECT event_id, {error_case()} AS code FROM {FAILURES}) GROUP BY 1",
+    "recent_candidates": f"SELECT url, arg_min(event_id, (ts, event_id)) AS event_id FROM (SELECT * FROM {ITEMS} ORDER BY ts DESC, event_id DESC LIMIT 500) WHERE event_type IN ('purchase', 'click') GROUP BY url",
+    "version_places": """
+WITH v AS (SELECT o_custkey, max(o_orderkey) AS o_orderkey, base, k, base || CASE WHEN k = 0 THEN '' ELSE '-' || k END AS version
+  FROM (SELECT o_custkey, o_orderkey, strftime(o_orderdate, '%Y%m') || '-0' || (day(o_orderdate) % 3) AS base, o_orderkey % 4 AS k FROM orders) GROUP BY ALL)
+SELECT o_custkey, version, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY base DESC, greatest(k, 1) DESC, version DESC) AS INTEGER) AS place FROM v""",
+    "review_select": """
+WITH r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+SELECT conv_id, turn, CAST(CASE WHEN conv_id % 3 = 0 AND n > 1 THEN 3 - i ELSE i END AS INTEGER) AS place FROM r WHERE conv_id % 3 <> 0 OR i <= 2""",
+    "sampling_points": """
+WITH u AS (SELECT user_id, CAST(floor(epoch(max(ts))) - floor(epoch(min(ts))) AS DOUBLE) AS d, CAST(CASE WHEN count(*) <= 2 THEN count(*) ELSE least(count(*), greatest(3, least(6, (count(*) + 1) // 2))) END AS INTEGER) AS n FROM events GROUP BY 1)
+SELECT user_id, n, CAST(i - 1 AS INTEGER) AS at, round_even(d / (n + 1) * i, 2) AS point FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM u WHERE d > 0)""",
+    "mirror_targets": "SELECT doc_id, 'all' AS root, 'documents' AS collection FROM documents UNION ALL SELECT doc_id, 'by-language', coalesce(lang, '') FROM documents",
+    "link_sets": """
+SELECT user_id, count(DISTINCT event_type) FILTER (high) AS n_left, count(DISTINCT event_type) FILTER (NOT high) AS n_right, coalesce(list_sort(list_distinct(list(event_type) FILTER (high))), []) = coalesce(list_sort(list_distinct(list(event_type) FILTER (NOT high))), []) AS same
+FROM (SELECT user_id, event_type, coalesce(value > 50, false) AS high FROM events) GROUP BY 1""",
+    "document_urls": r"""
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS place, url FROM (SELECT doc_id, url, min(i) AS i
+FROM (SELECT doc_id, regexp_replace(unnest(u), '[),.;]+$', '') AS url, generate_subscripts(u, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, 'https?://[^\s]+') AS u FROM documents)) GROUP BY 1, 2)""",
     "inbox_sync": f"SELECT strftime(ts, '%Y-%m') AS month, event_type, count(*) AS added, min(event_id) AS first_event FROM ({FIRST.format(rows=f'(SELECT * FROM {LATER} WHERE timestamp >= epoch(TIMESTAMP {chr(39)}2024-01-02 18:20:00{chr(39)}))')}) WHERE url NOT IN {EARLIER} GROUP BY 1, 2",
     "inbox_dedup": f"SELECT url, event_id FROM ({FIRST.format(rows=ITEMS)})",
     "inbox_append_known": f"SELECT url, event_id FROM ({NEW})",

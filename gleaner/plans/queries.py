@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import dates, text, urls
-from gleaner.operators import comments, folds, joins, order, reports, windows
+from gleaner.operators import comments, folds, joins, order, reports, selection, status, windows
 from gleaner.streaming import inbox
 
 KEYWORDS = {"english": ["the", "that", "with", "was", "thing"], "german": ["und", "nicht", "keit", "sch"], "french": ["eau", "ment", "que", "avec"], "spanish": ["cion", "ado", "para", "los"]}
@@ -253,10 +253,74 @@ def stream_dedup(spark, sf_dir):
     return inbox.stored(spark, f"{at}/items", rows.schema).select("url", "event_id")
 
 
+#: What went wrong, one message of every kind, and one of none.
+MESSAGES = ["connect ECONNREFUSED 127.0.0.1:9222", "请输入验证码", "code 300011", "login required", "error_code=300031 x", "comment list incomplete", "comment fetch failed", "vision ocr broke", "Summary step FAILED", "No xiaohongshu tab found", "something else", ""]
+
+
+def _failures(spark, sf_dir):
+    message = F.element_at(F.array(*map(F.lit, MESSAGES)), (F.col("event_id") % len(MESSAGES) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", "event_type", message.alias("message"), F.when(F.col("value") > 90, "captcha").alias("reason"), F.when(F.col("value") < 5, "comment_incomplete").alias("warning"))
+
+
+def failure_stages(spark, sf_dir):
+    f = _failures(spark, sf_dir)
+    return f.groupBy(status.failure_stage(F.col("message"), F.col("reason"), F.col("warning")).alias("stage")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
+
+
+def task_errors(spark, sf_dir):
+    f = _failures(spark, sf_dir).select("event_id", status.task_error(F.col("message")).alias("e")).select("event_id", "e.*")
+    return f.groupBy("code", "retriable", "allow_write", "allow_fallback").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
+
+
+def recent_candidates(spark, sf_dir):
+    """The last 500 items, then those of two types, then the first of each link."""
+    return selection.recent(items(spark, sf_dir), ["ts", "event_id"], 500, F.col("event_type").isin("purchase", "click"), ["url"]).select("url", "event_id")
+
+
+def version_places(spark, sf_dir):
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    version = F.concat(F.date_format("o_orderdate", "yyyyMM"), F.lit("-"), F.format_string("%02d", F.day("o_orderdate") % 3), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("-"), (k % 4).cast("string"))))
+    v = selection.ranked_versions(o.select("o_custkey", "o_orderkey", version.alias("version")), "o_custkey", "version", ["o_orderkey"])
+    return v.select("o_custkey", "version", "o_orderkey", "place")
+
+
+def review_select(spark, sf_dir):
+    """A third of the conversations keep turns two and one, a third has no choice, a third chose what is not there."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    k = F.col("conv_id") % 3
+    chosen = c.select("conv_id").distinct().select("conv_id", F.when(k == 0, F.array(F.lit(2), F.lit(1))).when(k == 1, F.array().cast("array<int>")).otherwise(F.array(F.lit(999))).alias("positions"))
+    return selection.at_positions(c, "conv_id", ["turn"], chosen).select("conv_id", "turn", "place")
+
+
+def sampling_points(spark, sf_dir):
+    at = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    u = table(spark, sf_dir, "events").groupBy("user_id").agg((F.max(at) - F.min(at)).cast("double").alias("duration"), selection.chapter_count(F.count("*")).alias("n"))
+    return u.select("user_id", "n", F.posexplode(selection.sampling_points(F.col("duration"), F.col("n"))).alias("at", "point"))
+
+
+def mirror_targets(spark, sf_dir):
+    """Every document goes to a root for all and to one for its language; repeated targets count once."""
+    target = lambda root, name: F.struct(F.lit(root).alias("root"), name.alias("collection"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.text_of("lang").alias("lang"))
+    return selection.fan_out(docs, F.array(target("all", F.lit("documents")), target("by-language", F.col("lang")), target("all", F.lit("documents")))).select("doc_id", "root", "collection")
+
+
+def link_sets(spark, sf_dir):
+    """Whether a user's kinds of events of high and of low value are the same."""
+    high = F.coalesce(F.col("value") > 50, F.lit(False))
+    return selection.same_sets(table(spark, sf_dir, "events"), "user_id", "event_type", high, ~high)
+
+
+def document_urls(spark, sf_dir):
+    """The different links of each document, in order."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.array_distinct(text.urls_in("text"))).alias("place", "url"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         inbox_sync, inbox_dedup, inbox_append_known, inbox_append_counts, window_filter, month_archive, high_water_mark, url_source_detect, url_distinct, html_article, library_verify, verify_summary, classify_keywords, clean_text, term_rank,
         status_report, warning_histogram, result_groups, facets, comment_select, comment_threads, comment_merge, interval_bind, interval_overlap, nearest_event, caption_window, bucket_best, downsample, greedy_merge, scene_merge, latest_version, quality_report, stream_dedup,
+        failure_stages, task_errors, recent_candidates, version_places, review_select, sampling_points, mirror_targets, link_sets, document_urls,
     )
 }
