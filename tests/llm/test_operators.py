@@ -18,7 +18,8 @@ from tokenizers import Tokenizer
 sys.path.insert(0, str(Path(__file__).parents[1]))
 from oracle import differences
 
-from gleaner.llm import bpe, chat, induced, langid, ledger, lm, packing, phrases, search, simhash, suffix_dedup
+from gleaner.llm import attention, bpe, chat, induced, langid, ledger, lm, packing, phrases, search, simhash, suffix_dedup
+from gleaner.llm.common import most_frequent
 
 SF = "/root/testdata/sf0.01"
 VOCABULARY, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -275,3 +276,28 @@ def test_lm_base_and_model(spark, docs):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(c[w] > 0 for w in ws), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws))
     assert rows[rows.held_out].score.sum() > 1.1 * rows[rows.held_out].base_score.sum()
+
+
+def test_most_frequent_is_bounded(spark):
+    counts = spark.createDataFrame([("a", 5), ("b", 3), ("c", 3), ("d", 1)], "word string, n long")
+    got = {most: {r.word for r in most_frequent(counts, most).collect()} for most in (0, 1, 2, 3, 9)}
+    assert got == {0: set(), 1: {"a"}, 2: {"a"}, 3: {"a", "b", "c"}, 9: {"a", "b", "c", "d"}}
+    assert most_frequent(counts.where("false"), 3).count() == 0
+
+
+def test_tokens_of_a_class_add_up_to_one():
+    rng, tokens = np.random.default_rng(0), 300
+    class_of = np.arange(tokens) % attention.CLASSES
+    near = np.unique(rng.integers(0, 20, 500) << 16 | rng.integers(0, tokens, 500))
+    after, pairs = rng.integers(0, 9, (attention.OWN + attention.CLASSES, attention.CLASSES)), rng.integers(0, 9, (attention.CLASSES, tokens))
+    t = attention.Tables.counted(class_of, np.arange(tokens), after, pairs, near, rng.integers(1, 50, len(near)))
+    for before in (0, 7, 250):
+        all_ = np.arange(tokens)
+        same = np.full(tokens, before)
+        sums = np.bincount(class_of, np.exp(t.within(same, same, all_, class_of)), attention.CLASSES)
+        assert sums == pytest.approx(np.ones(attention.CLASSES), rel=1e-4)
+
+
+def test_empty_lexicon_holds_nothing():
+    lexicon = bpe.Lexicon(bpe.compile_lexicon({}))
+    assert lexicon.get(b"word") is None and lexicon.get(b"") is None
