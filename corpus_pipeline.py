@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import langid, packing, simhash, suffix_dedup
-from gleaner.llm.common import new_path
+from gleaner.llm import langid, packing, shingles, suffix_dedup
+from gleaner.llm.common import new_path, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,9 +26,10 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    found = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(found, "doc_id", "left_semi")
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
+    found, _ = written(shingles.groups(docs.select(COLUMNS)), "groups")
+    least = found.groupBy("label").agg(F.min("doc_id").alias("doc_id"))
+    return found.join(least, ["label", "doc_id"], "left_semi").select(COLUMNS)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

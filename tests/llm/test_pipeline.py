@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
@@ -20,3 +22,29 @@ def test_stages_keep_clean_documents(spark):
 def test_whole_run(spark):
     rows = corpus_pipeline.run(spark, SF).toPandas()
     assert rows.groupby("sequence_id").length.sum().max() <= 1024 and rows.doc_id.nunique() > 900
+
+
+def jaccard(a, b, width=5):
+    a, b = ({tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} for w in (a.encode().lower().split(), b.encode().lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_against_brute_force(spark):
+    rng, texts = random.Random(5), []
+    for k in range(60):
+        words = [f"w{rng.randint(0, 3000)}" for _ in range(rng.randint(60, 300))]
+        texts.append(" ".join(words))
+        for edits in (1, 2, 3, 4, 5, 6, 8):
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), edits):
+                copy[at] = f"x{rng.randint(0, 10**9)}"
+            texts.append(" ".join(copy))
+    pairs = {(a, b): jaccard(texts[a], texts[b]) for k in range(0, len(texts), 8) for a in range(k, k + 8) for b in range(k, a)}
+    assert all(sum(low <= s < low + 0.05 for s in pairs.values()) > 20 for low in (0.75, 0.8, 0.85, 0.9))
+    label = list(range(len(texts)))
+    for _ in range(8):
+        for (a, b), s in pairs.items():
+            if s >= 0.8:
+                label[a] = label[b] = min(label[a], label[b])
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()} == set(label)
