@@ -1,7 +1,8 @@
 """A cleaning pipeline over `documents`: language ID, near-duplicates, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Stages work on
-all that the one before kept. Null or empty texts have no letter and go with the first stage. n_chars is the length of the text as it is after a stage.
+all that the one before kept. Null or empty texts have no letter and go with the first stage. Rows without an id or with a repeated one are
+documents like any other. n_chars is the length of the text as it is after a stage.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import langid, packing, shingles, suffix_dedup
-from gleaner.llm.common import new_path, written
+from gleaner.llm.common import free_shuffles, new_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,14 +27,16 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
-    found, _ = written(shingles.groups(docs.select(COLUMNS)), "groups")
-    least = found.groupBy("label").agg(F.min("doc_id").alias("doc_id"))
-    return found.join(least, ["label", "doc_id"], "left_semi").select(COLUMNS)
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) one row stays: that with the smallest id (null last), then by hash of the row; of equal rows any one."""
+    rows, labels = shingles.groups(docs.select(COLUMNS))
+    keys = rows.select("rid", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text", "lang", "source", "n_chars"), "rid").alias("key"))
+    chosen = keys.join(labels, "rid").groupBy("label").agg(F.min("key").alias("least")).select("least.rid")
+    return rows.join(chosen, "rid", "left_semi").select(COLUMNS)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes in strings of 400 bytes that also start elsewhere are removed; every document stays."""
+    free_shuffles(spark)
     kept = suffix_dedup.remove_repeats(docs, "lang", "source")
     return kept.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 

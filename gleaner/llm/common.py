@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -43,6 +44,12 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of tables that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     """The rows of counts (with a column n) that have the highest n, `most` at most: of the n whose rows would be too many, none is taken. Only how many rows have each n comes to the driver."""
     held, _ = written(counts, "counts")

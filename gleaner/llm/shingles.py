@@ -15,10 +15,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import written
+from gleaner.llm.common import delete, written
 from gleaner.llm.components import components
 
 WIDTH, BANDS, ROWS = 5, 32, 6
@@ -91,8 +91,8 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), "rid long, node long, kinds int, keys array<long>"]))
 
 
-def verified(rows: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that have the similarity."""
+def verified(rows: DataFrame, firsts: DataFrame, pairs: DataFrame) -> tuple[DataFrame, str]:
+    """The pairs (a, b) of nodes that have the similarity, and where they are written."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -105,29 +105,36 @@ def verified(rows: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
 
     named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     texts = rows.select("rid", "node", "text").join(firsts.join(named, "node").select("rid"), "rid", "left_semi").select("node", "text")
-    held, _ = written(texts.mapInArrow(sets, "node long, held binary"), "sets")
+    held, held_at = written(texts.mapInArrow(sets, "node long, held binary"), "sets")
     both = pairs.join(held.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    out = written(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "near")
+    delete(rows.sparkSession, held_at)
+    return out
 
 
-def groups(df: DataFrame) -> DataFrame:
-    """The rows of df with their number (rid) and the label of their group of near copies."""
+def groups(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of df with their number (rid), and the label of each number's group of near copies."""
+    spark = df.sparkSession
     rows, _ = written(numbered(df), "rows")
-    firsts, _ = written(rows.groupBy("node").agg(F.min("rid").alias("rid")), "firsts")
+    firsts, firsts_at = written(rows.groupBy("node").agg(F.min("rid").alias("rid")), "firsts")
+    one_key = Window.partitionBy("key")
     keyed = rows.select("node", "kinds", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last"), F.min_by("kinds", "node").alias("a_kinds")).where("a <> last").drop("last")
-    met, _ = written(keyed.join(shared, "key").distinct(), "met")
+    keyed = keyed.withColumns({"a": F.min("node").over(one_key), "last": F.max("node").over(one_key), "a_kinds": F.min_by("kinds", "node").over(one_key)})
+    met, met_at = written(keyed.where("a <> last").drop("last").distinct(), "met")
     fits = lambda x, y: F.lit(SHARE) * F.greatest(x, y) <= F.lit(OF) * F.least(x, y)
-    stars, _ = written(met.where((F.col("node") != F.col("a")) & fits("kinds", "a_kinds")).select("a", F.col("node").alias("b")).distinct(), "pairs")
-    edges, _ = written(verified(rows, firsts, stars), "near")
+    stars, stars_at = written(met.where((F.col("node") != F.col("a")) & fits("kinds", "a_kinds")).select("a", F.col("node").alias("b")).distinct(), "pairs")
+    edges, edges_at = verified(rows, firsts, stars)
     labels = components(edges)
     now = met.select("key", "node", "kinds").join(labels, "node", "left").select("key", "node", "kinds", F.coalesce("label", "node").alias("label"))
-    mixed, _ = written(now.join(now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"), "key"), "mixed")
+    mixed, mixed_at = written(now.join(now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"), "key"), "mixed")
     other = mixed.select("key", *(F.col(c).alias(f"o_{c}") for c in ("node", "kinds", "label")))
     rest = mixed.join(other, "key").where((F.col("label") < F.col("o_label")) & fits("kinds", "o_kinds"))
     rest = rest.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    rest, _ = written(rest, "pairs")
-    more, _ = written(verified(rows, firsts, rest), "near")
+    rest, rest_at = written(rest, "pairs")
+    more, more_at = verified(rows, firsts, rest)
     if more.limit(1).count():
         labels = components(edges.union(more))
-    return rows.join(labels, "node", "left").select(*df.columns, "rid", F.coalesce("label", "node").alias("label"))
+    found, _ = written(rows.select("rid", "node").join(labels, "node", "left").select("rid", F.coalesce("label", "node").alias("label")), "labels")
+    for path in (firsts_at, met_at, stars_at, edges_at, mixed_at, rest_at, more_at):
+        delete(spark, path)
+    return rows.select(*df.columns, "rid"), found

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from test_operators import ODD
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.01"
@@ -48,3 +49,19 @@ def test_near_copies_against_brute_force(spark):
                 label[a] = label[b] = min(label[a], label[b])
     docs = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()} == set(label)
+
+
+ROWS = [(None, "a text of six words here"), (None, "another text without an id is kept"), (None, "another text without an id is kept"), (1, "one text under one id"), (1, "one text under one id"), (1, "quite a different text under that id"), (0, "quite a different text under that id"), (2, "a text of six words here"), (3, None), (4, ""), (5, " \n\t"), (6, "un"), (7, "the cat sat on the mat " * 60)]
+
+
+def test_near_copies_of_rows_without_and_with_repeated_ids(spark):
+    docs = spark.createDataFrame([(i, t, "en", "x", 0) for i, t in ROWS], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(None, ROWS[1][1]), (0, ROWS[6][1]), (1, ROWS[3][1]), (2, ROWS[7][1]), (3, None), (6, "un"), (7, ROWS[12][1])], key=str)
+
+
+def test_all_stages_on_odd_rows(spark):
+    docs = spark.createDataFrame([(*r, 0) for r in ODD], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert {r.doc_id for r in docs.collect()} == {3, 4, 5, 8}
