@@ -35,9 +35,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes in strings of 400 bytes that also start elsewhere are removed; every document stays."""
+    """Passages of 51 words and strings of 400 bytes that also start elsewhere are removed; every document stays."""
     free_shuffles(spark)
-    kept = suffix_dedup.remove_repeats(docs, "lang", "source")
+    kept = suffix_dedup.remove_passages(docs, "lang", "source")
     return kept.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -17,7 +17,8 @@ no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import arrow_schema, delete, documents, per_batch, written
+from gleaner.llm.common import arrow_schema, delete, documents, free_shuffles, per_batch, written
 from gleaner.llm.induced import repeated_starts
 
 #: Segments of one anchor that a task sorts together, under 5 MB; beyond that an anchor is hot.
@@ -121,6 +122,19 @@ def text_runs(texts: list[bytes], length: int) -> Iterator[tuple[int, int, int,
         yield from flush()
 
 
+#: Bytes that stand for a word where whole words are compared.
+CODE = 6
+
+
+def word_codes(data: bytes) -> bytes:
+    """CODE bytes for each word; words are parted by \\x20 and \\x09-\\x0D."""
+    return b"".join([xxhash.xxh64_digest(w, 42)[:CODE] for w in data.split()])
+
+
+def same_bytes(data: bytes) -> bytes:
+    return data
+
+
 RUN = "doc_id long, text_hash long, at int, n int, anchor long, s1 long, s2 long"
 
 
@@ -129,10 +143,11 @@ def halves(digest: int) -> tuple[int, int]:
     return int.from_bytes(signed[:8], "big", signed=True), int.from_bytes(signed[8:], "big", signed=True)
 
 
-def runs_of(docs: DataFrame, length: int) -> DataFrame:
+def runs_of(docs: DataFrame, length: int, form: Callable[[bytes], bytes] = same_bytes) -> DataFrame:
     def run(rows: dict) -> dict:
         texts = [t.encode() for t in rows["text"]]
         hashes = np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64)
+        texts = [form(t) for t in texts]
         out: list[list] = [[] for _ in range(7)]
         for k, at, n, anchor, segment in text_runs(texts, length):
             for column, value in zip(out, (rows["doc_id"][k], hashes[k], at, n, anchor, *halves(xxhash.xxh3_128_intdigest(segment))), strict=True):
@@ -186,9 +201,9 @@ def counted_windows(segments: DataFrame, length: int) -> DataFrame:
     return met.select("anchor", "s1", "s2", F.transform("starts", lambda i: F.struct(i.alias("first"), F.lit(1).alias("n"))).alias("ranges"))
 
 
-def repeated_spans(docs: DataFrame, length: int, shard_bytes: int) -> DataFrame:
-    """doc_id, text_hash, spans (from, to) of documents that have bytes to remove."""
-    runs, runs_at = written(runs_of(docs, length), "runs")
+def repeated_spans(docs: DataFrame, length: int, shard_bytes: int, form: Callable[[bytes], bytes] = same_bytes) -> DataFrame:
+    """doc_id, text_hash, spans (from, to) of documents that have bytes to remove; spans are in the texts' bytes after form."""
+    runs, runs_at = written(runs_of(docs, length, form), "runs")
     segment = ["anchor", "s1", "s2"]
     segments = runs.groupBy(*segment).agg(F.count("*").alias("c"), F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("known"), "doc_id", "text_hash", "at", "n")).alias("r"))
     segments, segments_at = written(segments.select(*segment, "c", "r.doc_id", "r.text_hash", "r.at", "r.n"), "segments")
@@ -200,13 +215,15 @@ def repeated_spans(docs: DataFrame, length: int, shard_bytes: int) -> DataFrame:
     several = met.where("kinds > 1")
     size = several.where(f"kinds <= {HOT}").agg(F.sum(F.col("n") + length)).first()[0] or 0
     wanted = several.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(*segment, "whole", "n", "at", "kinds")).alias("parts"))  # runs of one document
-    texts = docs.withColumn("text_hash", F.xxhash64("text")).where(F.octet_length("text") >= length)
+    texts = docs.withColumn("text_hash", F.xxhash64("text"))
+    if form is same_bytes:
+        texts = texts.where(F.octet_length("text") >= length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for text, parts in zip(b.column("text"), b.column("parts"), strict=True):
-                data = text.as_py().encode()
+                data = form(text.as_py().encode())
                 rows += [p | {"bytes": data[p["at"] : p["at"] + p["n"] + length - 1]} for p in parts.as_py()]
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
@@ -261,6 +278,37 @@ def remove_repeats(df: DataFrame, *more: str, length: int = 400) -> DataFrame:
     return per_batch(cleaned(df, *more, length=length), run, ", ".join(["doc_id long", "text string", *(f"`{c}` {types[c]}" for c in more)]))
 
 
+def word_spans(data: bytes, spans: list[dict], words: int) -> list[dict]:
+    """Spans of bytes for spans of word codes; only strings that start with a word's code are passages."""
+    places = [m.span() for m in re.finditer(rb"[^\x09-\x0d\x20]+", data)]
+    out = []
+    for s in spans:
+        first, last = -(-s["from"] // CODE), (s["to"] - words * CODE) // CODE
+        if first <= last:
+            out.append({"from": places[first][0], "to": places[last + words - 1][1]})
+    return out
+
+
+def remove_passages(df: DataFrame, *more: str, words: int = 51, length: int = 400, shard_bytes: int = 2 << 20) -> DataFrame:
+    """As remove_repeats, and passages of so many words that also start elsewhere go as well, whatever their bytes. Words are compared by 48-bit hashes, blanks between them are not."""
+
+    def run(rows: dict) -> dict:
+        texts = []
+        for t, s, w in zip(rows["text"], rows["spans"], rows["passages"], strict=True):
+            data = t.encode()
+            out = (s or []) + (word_spans(data, w, words) if w else [])
+            texts.append(without(data, merged(out)).decode("utf-8", "ignore") if out else t)
+        return {c: rows[c] for c in ("doc_id", *more)} | {"text": texts}
+
+    passages = repeated_spans(documents(df), words * CODE, shard_bytes, word_codes)
+    free_shuffles(df.sparkSession)
+    both = cleaned(df, *more, length=length, shard_bytes=shard_bytes).withColumn("_text_hash", F.xxhash64("text"))
+    passages = passages.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("passages")).dropDuplicates(["_id", "_hash"])
+    both = both.join(passages, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
+    types = dict(df.dtypes)
+    return per_batch(both.select("doc_id", *more, "text", "spans", "passages"), run, ", ".join(["doc_id long", "text string", *(f"`{c}` {types[c]}" for c in more)]))
+
+
 def removal_digests(df: DataFrame, length: int = 400, shard_bytes: int = 2 << 20) -> DataFrame:
     def run(rows: dict) -> dict:
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256")}

@@ -65,3 +65,17 @@ def test_all_stages_on_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert {r.doc_id for r in docs.collect()} == {3, 4, 5, 8}
+
+
+def test_passages_of_over_fifty_words(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(1, 5)))
+    rows, want = [], {}
+    for k, n in enumerate((45, 50, 51, 53, 55, 60, 65, 120)):
+        passage = " ".join(word() for _ in range(n))
+        for j, blank in enumerate(" \n"):
+            head, tail = (" ".join([f"{side}{k}{j}", *(word() for _ in range(80)), f"{side}{j}{k}"]) for side in "ht")
+            rows.append((2 * k + j, head + blank + passage + blank + tail))
+            want[2 * k + j] = head + blank + ("" if n > 50 else passage) + blank + tail
+    docs = spark.createDataFrame([(i, t, "en", "x", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert {r.doc_id: r.text for r in corpus_pipeline.remove_repeated_passages(spark, docs, SF).collect()} == want
