@@ -301,3 +301,33 @@ def test_tokens_of_a_class_add_up_to_one():
 def test_empty_lexicon_holds_nothing():
     lexicon = bpe.Lexicon(bpe.compile_lexicon({}))
     assert lexicon.get(b"word") is None and lexicon.get(b"") is None
+
+
+@pytest.mark.parametrize("lengths", [[3], [23], [24], [25], [49, 1, 0, 30]])
+def test_training_reaches_every_token(monkeypatch, lengths):
+    tokens, end = 300, 299
+    t = attention.Tables.counted(np.arange(tokens) % attention.CLASSES, np.arange(tokens), np.ones((attention.OWN + attention.CLASSES, attention.CLASSES)), np.ones((attention.CLASSES, tokens)), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    texts, seen, plain = [np.arange(n) for n in lengths], Counter(), attention.gradients
+
+    def watched(p, bigram, slots, classes, real=None):
+        seen.update(zip(slots[real].tolist() if real is not None else slots.ravel().tolist(), classes[real].tolist() if real is not None else classes.ravel().tolist(), strict=True))
+        return plain(p, bigram, slots, classes, real)
+
+    monkeypatch.setattr(attention, "gradients", watched)
+    p = attention.fresh()
+    assert attention.train_on(p, t, iter(texts), end) == 1 and p["top"].any()
+    want = Counter()
+    for x in texts:
+        flow = [end, *x.tolist(), end]
+        want.update((a, b % attention.CLASSES) for a, b in itertools.pairwise(flow))
+    assert seen == want
+
+
+def test_masked_gradients_leave_padding_out():
+    rng = np.random.default_rng(8)
+    p, bigram = attention.fresh(), rng.normal(size=(attention.OWN + attention.CLASSES, attention.CLASSES)).astype(np.float32)
+    p["top"] = rng.normal(size=p["top"].shape).astype(np.float32)
+    slots, classes = rng.integers(0, 100, (3, attention.WINDOW)), rng.integers(0, attention.CLASSES, (3, attention.WINDOW))
+    short = attention.gradients(p, bigram, slots[:, :7], classes[:, :7])
+    padded = attention.gradients(p, bigram, slots, classes, np.arange(attention.WINDOW) < np.full((3, 1), 7))
+    assert all(np.allclose(short[k], padded[k], atol=1e-5) for k in short)
