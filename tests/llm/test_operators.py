@@ -331,3 +331,22 @@ def test_masked_gradients_leave_padding_out():
     short = attention.gradients(p, bigram, slots[:, :7], classes[:, :7])
     padded = attention.gradients(p, bigram, slots, classes, np.arange(attention.WINDOW) < np.full((3, 1), 7))
     assert all(np.allclose(short[k], padded[k], atol=1e-5) for k in short)
+
+
+def test_search_of_repeated_query_ids(spark):
+    texts = ["red fox runs", "blue whale swims deep", "red whale", "green fox", "blue blue sky", "deep red sky", "fox whale sky", "green sea"] * 3
+    docs = spark.createDataFrame([(100 + i, f"{t} n{i}") for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    asked = [(1, "red fox"), (1, "blue whale"), (1, "red fox"), (2, "deep sky n3")]
+    got = search.search_documents(docs, spark.createDataFrame(asked, "doc_id long, text string").repartition(2), k=5).toPandas()
+    want = Counter()
+    for k, (_, t) in enumerate(asked):  # each by itself
+        for r in search.search_documents(docs, spark.createDataFrame([(k, t)], "doc_id long, text string"), k=5).collect():
+            want[(asked[k][0], r.doc_id, r.score, r["rank"])] += 1
+    assert Counter((r.query_id, r.doc_id, r.score, r.rank) for r in got[["query_id", "doc_id", "score"]].assign(rank=got["rank"]).itertuples()) == want
+    counts = [Counter(search.terms_of(f"{t} n{i}")) for i, t in enumerate(texts)]
+    mean = sum(c.total() for c in counts) / len(counts)
+    idf = {w: math.log(1 + (len(counts) - n + 0.5) / (n + 0.5)) for w, n in Counter(w for c in counts for w in c).items()}
+    for r in got.itertuples():
+        c = counts[r.doc_id - 100]
+        scores = [sum(idf[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * c.total() / mean)) for w in search.terms_of(t) if c[w]) for i, t in asked if i == r.query_id]
+        assert any(abs(s - r.score) < 1e-6 for s in scores)
