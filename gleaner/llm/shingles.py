@@ -1,7 +1,11 @@
 """Groups of near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and what they link on.
 
+Candidates come in two ways. The first is simhash.py's: 64-bit fingerprints of the shingles, joined by Golay keys within two bits (and those that are
+equal). Two bits reach few of the pairs near 0.8: such a pair differs in some 10 bits of 64, and Golay keys that allow for so many errors
+would be thousands for each text. So the rest meet by minima of their shingles.
+
 A text's words are as in simhash.py (parted by \\x20 and \\x09-\\x0D, A-Z count as a-z); a text with fewer than five has one shingle, all
-of its words, and texts without words are one group. Texts with the same set are one node. Candidates share one of BANDS keys, each
+of its words, and texts without words are one group. Texts with the same set are one node. Candidates of the second way share one of BANDS keys, each
 of ROWS minima of the shingles' hashes: two texts of similarity 0.8 share none with probability (1 - 0.8**6)**32, 6 in 100,000, and less above.
 Each candidate pair is checked on its whole sets before it links. First every node of a key is checked against the key's least node; then all pairs
 of a key that are in different components by then, so no candidate goes unchecked and a key all of whose nodes are linked costs no pairs.
@@ -20,6 +24,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import delete, written
 from gleaner.llm.components import components
+from gleaner.llm.simhash import links
 
 WIDTH, BANDS, ROWS = 5, 32, 6
 #: The least similarity, as a fraction.
@@ -62,6 +67,12 @@ def band_keys(s: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def fingerprint(s: np.ndarray) -> int:
+    """64 bits as a signed number: a bit is 1 if over half of the hashes have it."""
+    ones = sum(np.unpackbits(s[k : k + TOGETHER].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) for k in range(0, len(s), TOGETHER))
+    return int(np.packbits(2 * ones > len(s)).view(np.int64)[0]) if len(s) else 0
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two ascending sets have the similarity."""
     if len(a) > len(b):
@@ -73,22 +84,23 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """The rows of df with a number of their own (rid), their node, its number of shingles (kinds) and its keys."""
+    """The rows of df with a number of their own (rid), their node, its number of shingles (kinds), its fingerprint and its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         for b in batches:
-            node, kinds, keys = [], [], []
+            node, kinds, fp, keys = [], [], [], []
             for text in b.column("text"):
                 s = shingles(text.as_py() or "")
                 node.append(xxhash.xxh64_intdigest(s.tobytes(), 42) - (1 << 63))
                 kinds.append(len(s))
+                fp.append(fingerprint(s))
                 keys.append(band_keys(s))
-            more = [pa.array(range(at, at + b.num_rows), pa.int64()), pa.array(node, pa.int64()), pa.array(kinds, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+            more = [pa.array(range(at, at + b.num_rows), pa.int64()), pa.array(node, pa.int64()), pa.array(kinds, pa.int32()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
             at += b.num_rows
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "rid", "node", "kinds", "keys"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "rid", "node", "kinds", "fp", "keys"])
 
-    return df.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), "rid long, node long, kinds int, keys array<long>"]))
+    return df.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), "rid long, node long, kinds int, fp long, keys array<long>"]))
 
 
 def verified(rows: DataFrame, firsts: DataFrame, pairs: DataFrame) -> tuple[DataFrame, str]:
@@ -112,6 +124,17 @@ def verified(rows: DataFrame, firsts: DataFrame, pairs: DataFrame) -> tuple[Data
     return out
 
 
+def fingerprint_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes: each node with the least one of its fingerprint, and the least ones of fingerprints within two bits."""
+    least, least_at = written(rows.groupBy("fp").agg(F.min("node").alias("a"), F.max("node").alias("last")), "fingerprints")
+    same = rows.select("fp", "node").join(least.where("a <> last"), "fp").where("node <> a").select("a", F.col("node").alias("b"))
+    near = links(least.select("fp"))
+    near = near.join(least.select(F.col("fp").alias("a"), F.col("a").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("a").alias("y")), "b")
+    out, _ = written(same.union(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).where("a <> b").distinct(), "pairs")
+    delete(rows.sparkSession, least_at)
+    return out
+
+
 def groups(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of df with their number (rid), and the label of each number's group of near copies."""
     spark = df.sparkSession
@@ -122,7 +145,8 @@ def groups(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = keyed.withColumns({"a": F.min("node").over(one_key), "last": F.max("node").over(one_key), "a_kinds": F.min_by("kinds", "node").over(one_key)})
     met, met_at = written(keyed.where("a <> last").drop("last").distinct(), "met")
     fits = lambda x, y: F.lit(SHARE) * F.greatest(x, y) <= F.lit(OF) * F.least(x, y)
-    stars, stars_at = written(met.where((F.col("node") != F.col("a")) & fits("kinds", "a_kinds")).select("a", F.col("node").alias("b")).distinct(), "pairs")
+    stars = met.where((F.col("node") != F.col("a")) & fits("kinds", "a_kinds")).select("a", F.col("node").alias("b"))
+    stars, stars_at = written(stars.union(fingerprint_pairs(rows)).distinct(), "pairs")
     edges, edges_at = verified(rows, firsts, stars)
     labels = components(edges)
     now = met.select("key", "node", "kinds").join(labels, "node", "left").select("key", "node", "kinds", F.coalesce("label", "node").alias("label"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import documents, per_batch, written
+from gleaner.llm.common import delete, documents, per_batch, written
 from gleaner.llm.components import components
 
 #: The generator polynomial of the binary Golay code of length 23, and the segments (lowest bit, bits).
@@ -111,7 +111,7 @@ def links(distinct: DataFrame) -> DataFrame:
             at, key = fuzzy_keys(fps)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[at])], names=["key", "fp"])
 
-    keyed, _ = written(distinct.select("fp").mapInArrow(keys, "key long, fp long"), "keys")
+    keyed, keyed_at = written(distinct.select("fp").mapInArrow(keys, "key long, fp long"), "keys")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = keyed.join(shared, "key")
 
@@ -131,7 +131,9 @@ def links(distinct: DataFrame) -> DataFrame:
     balls = many.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("centre"))
     balls = balls.groupBy("centre").agg(F.array_sort(F.collect_list("fp")).alias("fps")).where("size(fps) > 1")
     stars = balls.select(F.col("fps")[0].alias("a"), F.explode(F.slice("fps", 2, 64)).alias("b"))
-    return near.union(stars).distinct()
+    out, _ = written(near.union(stars).distinct(), "links")
+    delete(distinct.sparkSession, keyed_at)
+    return out
 
 
 def near_duplicates(df: DataFrame, width: int = 3) -> DataFrame:
@@ -141,7 +143,8 @@ def near_duplicates(df: DataFrame, width: int = 3) -> DataFrame:
     joined = components(links(distinct))
     roots = distinct.join(joined.withColumnRenamed("node", "fp"), "fp").groupBy("label").agg(F.min("least").alias("component_id"))
     linked = joined.join(roots, "label").select(F.col("node").alias("fp"), "component_id")
-    classes = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # a table of its own: Spark splits a fingerprint that many documents have only where both sides come from their exchanges
+    classes, _ = written(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "classes")
     return docs.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

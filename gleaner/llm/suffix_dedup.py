@@ -1,8 +1,8 @@
 """Removal of every byte that lies in a long string which also starts elsewhere, by induced sorting of sharded suffixes.
 
 Sharding. Equal strings of `length` bytes must meet. Each start of such a string (a window) is sent where its anchor goes: the
-leftmost least hash among its 64-byte grams, which depends on the window's bytes alone. Neighbouring starts with one anchor
-form a run, whose bytes are a segment of at most 2 * length bytes. An anchor that occurs once in the corpus ends there: none of
+leftmost least hash among its grams (64 bytes or 8 words), which depends on the window alone. Neighbouring starts with one anchor
+form a run, whose units (bytes, or words where passages of words are sought) are a segment of at most 2 * length units. An anchor that occurs once in the corpus ends there: none of
 its windows can be repeated. Equal segments of an anchor are counted before they move (copies of a text cost one segment) and
 all their windows are repeated. Only where an anchor has several different segments are their suffixes sorted: the segments
 go, by anchor, to shards of `shard_bytes`, and each shard is sorted by induction with prefix values, see induced.py, spilling
@@ -16,9 +16,10 @@ no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +31,15 @@ from gleaner.llm.common import arrow_schema, delete, documents, free_shuffles, p
 from gleaner.llm.induced import repeated_starts
 
 #: Segments of one anchor that a task sorts together, under 5 MB; beyond that an anchor is hot.
-GRAM, HOT = 64, 6000
-#: Windows are taken from at most so many bytes at once.
+HOT = 6000
+#: Windows are taken from at most so many bytes or words at once.
 BLOCK = 1 << 20
 #: Fixed values of the rolling hash: odd multipliers.
 MULTIPLIER, FINISH = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
 class Rolling:
-    """Hashes of all grams of a byte array, from prefix sums of byte values times powers, modulo 2**64."""
+    """Hashes of all grams of an array of bytes or of words' codes, from prefix sums of values times powers, modulo 2**64."""
 
     def __init__(self, most: int):
         with np.errstate(over="ignore"):
@@ -49,7 +50,7 @@ class Rolling:
     def grams(self, data: np.ndarray, size: int) -> np.ndarray:
         n = len(data)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.value[data] * self.power[:n], out=sums[1:])
+        np.cumsum((self.value[data] if data.dtype == np.uint8 else data) * self.power[:n], out=sums[1:])
         h = (sums[size:] - sums[:-size]) * self.inverse[: n - size + 1]
         h ^= h >> np.uint64(29)
         h *= np.uint64(FINISH)
@@ -75,33 +76,107 @@ def leftmost_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(ahead[: n - width + 1], behind[width - 1 : n])
 
 
-def anchored_runs(data: np.ndarray, length: int, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First start, number of starts and anchor hash of each run among the valid starts of data (at most BLOCK bytes or so)."""
-    h = rolling().grams(data, GRAM)
+@functools.cache
+def word_pattern() -> re.Pattern:
+    return re.compile(rb"[^\x09-\x0d\x20]+")
+
+
+def units_of_word(word: bytes) -> list[bytes]:
+    """A word, or the characters of one of over LONG bytes: so text without blanks has passages, too."""
+    return [word] if len(word) <= LONG else [c.encode() for c in word.decode()]
+
+
+LONG = 60
+
+
+class Bytes:
+    """Texts as bytes."""
+
+    gram, size = 64, 1
+
+    @staticmethod
+    def codes(data: bytes) -> np.ndarray:
+        return np.frombuffer(data, np.uint8)
+
+    @staticmethod
+    def symbols(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """The parts as one text of symbols with a 0 after each, the parts' first positions, how many symbols there are, and how many stand for a unit."""
+        text = np.frombuffer(b"".join(p + b"\0" for p in parts), np.uint8).astype(np.uint16) + np.uint16(1)
+        at = np.cumsum([0, *(len(p) + 1 for p in parts)])
+        text[at[1:] - 1] = 0
+        return text, at, 257, 1
+
+
+class Words:
+    """Texts as words, each a 64-bit code; blanks between them do not count."""
+
+    gram, size, digits = 8, 8, 3
+
+    @staticmethod
+    def codes(data: bytes) -> np.ndarray:
+        digest = xxhash.xxh64_digest
+        words = data.split()
+        if words and len(max(words, key=len)) > LONG:
+            words = [u for w in words for u in units_of_word(w)]
+        return np.frombuffer(b"".join([digest(w, 42) for w in words]), np.uint64)
+
+    @staticmethod
+    def places(data: bytes) -> list[tuple[int, int]]:
+        """First byte and end of each unit."""
+        out = []
+        for m in word_pattern().finditer(data):
+            at = m.start()
+            for u in units_of_word(m.group()):
+                out.append((at, at + len(u)))
+                at += len(u)
+        return out
+
+    @classmethod
+    def symbols(cls, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """As of Bytes. The shard's own words are numbered; a number has three digits, of three alphabets, so that no match begins within a word."""
+        sizes = np.array([len(p) // cls.size for p in parts], np.int64)
+        kinds, number = np.unique(np.frombuffer(b"".join(parts), np.uint64), return_inverse=True)
+        base = max(1, int(np.ceil(len(kinds) ** (1 / 3))))
+        base += base**3 < len(kinds)
+        at = np.append(0, np.cumsum(cls.digits * sizes + 1))
+        text = np.zeros(at[-1], np.uint16)
+        first = np.arange(len(number)) * cls.digits + np.repeat(np.arange(len(parts)), sizes)
+        for k, digit in enumerate((number // base**2, number // base % base, number % base)):
+            text[first + k] = digit + 1 + k * base
+        return text, at, cls.digits * base + 1, cls.digits
+
+
+def anchored_runs(data: np.ndarray, length: int, gram: int, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First start, number of starts and anchor hash of each run among the valid starts of data (at most BLOCK units or so)."""
+    h = rolling().grams(data, gram)
     position_bits = np.uint64(24)
     keys = (h >> position_bits << position_bits) | np.arange(len(h), dtype=np.uint64)
-    anchor = (leftmost_least(keys, length - GRAM + 1) & np.uint64((1 << 24) - 1)).astype(np.int64)
+    anchor = (leftmost_least(keys, length - gram + 1) & np.uint64((1 << 24) - 1)).astype(np.int64)
     starts = np.flatnonzero(valid)
     own = anchor[starts]
     new = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (starts[1:] != starts[:-1] + 1)))
     return starts[new], np.diff(np.append(new, len(starts))), h[own[new]].view(np.int64)
 
 
-def text_runs(texts: list[bytes], length: int) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(which text, first start, starts, anchor, segment's bytes) of each run of every text."""
+def text_runs(texts: list[np.ndarray], length: int, form: type) -> Iterator[tuple[int, int, int, int, memoryview]]:
+    """(which text, first start, starts, anchor, segment's bytes) of each run of every text, starts counted in units."""
     group: list[int] = []
     held = 0
 
+    def runs(data: np.ndarray, valid: np.ndarray):
+        first, count, anchor = anchored_runs(data, length, form.gram, valid)
+        view, z = memoryview(data.tobytes()), form.size
+        for p, n, a in zip(first.tolist(), count.tolist(), anchor.tolist(), strict=True):
+            yield p, n, a, view[p * z : (p + n + length - 1) * z]
+
     def flush():
-        data = b"".join(texts[k] for k in group)
-        array = np.frombuffer(data, np.uint8)
+        data = np.concatenate([texts[k] for k in group])
         sizes = np.array([len(texts[k]) for k in group])
         ends = np.cumsum(sizes)
         owner = np.repeat(np.arange(len(group)), sizes)[: len(data) - length + 1]
-        first, count, anchor = anchored_runs(array, length, np.arange(len(owner)) + length <= ends[owner])
-        for p, n, a in zip(first.tolist(), count.tolist(), anchor.tolist(), strict=True):
+        for p, n, a, segment in runs(data, np.arange(len(owner)) + length <= ends[owner]):
             k = owner[p]
-            yield group[k], p - int(ends[k] - sizes[k]), n, a, data[p : p + n + length - 1]
+            yield group[k], p - int(ends[k] - sizes[k]), n, a, segment
 
     for k, t in enumerate(texts):
         if len(t) < length:
@@ -112,9 +187,8 @@ def text_runs(texts: list[bytes], length: int) -> Iterator[tuple[int, int, int,
         if len(t) > BLOCK:
             for at in range(0, len(t) - length + 1, BLOCK // 2):
                 part = t[at : at + BLOCK // 2 + length - 1]
-                first, count, anchor = anchored_runs(np.frombuffer(part, np.uint8), length, np.ones(len(part) - length + 1, bool))
-                for p, n, a in zip(first.tolist(), count.tolist(), anchor.tolist(), strict=True):
-                    yield k, p + at, n, a, part[p : p + n + length - 1]
+                for p, n, a, segment in runs(part, np.ones(len(part) - length + 1, bool)):
+                    yield k, p + at, n, a, segment
         else:
             group.append(k)
             held += len(t)
@@ -122,19 +196,6 @@ def text_runs(texts: list[bytes], length: int) -> Iterator[tuple[int, int, int,
         yield from flush()
 
 
-#: Bytes that stand for a word where whole words are compared.
-CODE = 6
-
-
-def word_codes(data: bytes) -> bytes:
-    """CODE bytes for each word; words are parted by \\x20 and \\x09-\\x0D."""
-    return b"".join([xxhash.xxh64_digest(w, 42)[:CODE] for w in data.split()])
-
-
-def same_bytes(data: bytes) -> bytes:
-    return data
-
-
 RUN = "doc_id long, text_hash long, at int, n int, anchor long, s1 long, s2 long"
 
 
@@ -143,13 +204,13 @@ def halves(digest: int) -> tuple[int, int]:
     return int.from_bytes(signed[:8], "big", signed=True), int.from_bytes(signed[8:], "big", signed=True)
 
 
-def runs_of(docs: DataFrame, length: int, form: Callable[[bytes], bytes] = same_bytes) -> DataFrame:
+def runs_of(docs: DataFrame, length: int, form: type) -> DataFrame:
     def run(rows: dict) -> dict:
         texts = [t.encode() for t in rows["text"]]
         hashes = np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64)
-        texts = [form(t) for t in texts]
+        codes = [form.codes(t) for t in texts]
         out: list[list] = [[] for _ in range(7)]
-        for k, at, n, anchor, segment in text_runs(texts, length):
+        for k, at, n, anchor, segment in text_runs(codes, length, form):
             for column, value in zip(out, (rows["doc_id"][k], hashes[k], at, n, anchor, *halves(xxhash.xxh3_128_intdigest(segment))), strict=True):
                 column.append(value)
         return dict(zip(("doc_id", "text_hash", "at", "n", "anchor", "s1", "s2"), out, strict=True))
@@ -165,44 +226,42 @@ def ranges_of(flags: np.ndarray) -> list[dict]:
 RESULT = "anchor long, s1 long, s2 long, ranges array<struct<first:int,n:int>>"
 
 
-def sorted_shards(segments: DataFrame, length: int, shards: int) -> DataFrame:
+def sorted_shards(segments: DataFrame, length: int, shards: int, form: type) -> DataFrame:
     """Repeated starts of segments (anchor, s1, s2, whole, n, bytes), which meet by anchor in one of so many shards."""
     arrow = arrow_schema(RESULT)
 
     def sort(table: pa.Table) -> pa.Table:
         parts = table.column("bytes").to_pylist()
-        text = np.frombuffer(b"".join(p + b"\0" for p in parts), np.uint8).astype(np.uint16) + np.uint16(1)
-        at = np.cumsum([0, *(len(p) + 1 for p in parts)])
-        text[at[1:] - 1] = 0
-        hit = repeated_starts(text, length)
+        text, at, symbols, each = form.symbols(parts)
+        hit = repeated_starts(text, length * each, symbols)
         rows = []
         for k, (anchor, s1, s2, whole, n) in enumerate(zip(*(table.column(c).to_pylist() for c in ("anchor", "s1", "s2", "whole", "n")), strict=True)):
-            if not whole and (ranges := ranges_of(hit[at[k] : at[k] + n])):
+            if not whole and (ranges := ranges_of(hit[at[k] : at[k] + n * each : each])):
                 rows.append({"anchor": anchor, "s1": s1, "s2": s2, "ranges": ranges})
         return pa.Table.from_pylist(rows, schema=arrow)
 
     return segments.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(sort, RESULT)
 
 
-def counted_windows(segments: DataFrame, length: int) -> DataFrame:
-    """The same for the segments of hot anchors: every window is counted by its hash."""
+def counted_windows(segments: DataFrame, length: int, form: type) -> tuple[DataFrame, str]:
+    """The same for the segments of hot anchors: every window is counted by its hash. Also where the windows are written."""
 
     def windows(rows: dict) -> dict:
         out: dict[str, list] = {k: [] for k in ("anchor", "s1", "s2", "whole", "i", "w1", "w2")}
         for anchor, s1, s2, whole, n, data in zip(*(rows[c] for c in ("anchor", "s1", "s2", "whole", "n", "bytes")), strict=True):
             for i in range(n):
-                for c, v in zip(out, (anchor, s1, s2, whole, i, *halves(xxhash.xxh3_128_intdigest(data[i : i + length]))), strict=True):
+                for c, v in zip(out, (anchor, s1, s2, whole, i, *halves(xxhash.xxh3_128_intdigest(data[i * form.size : (i + length) * form.size]))), strict=True):
                     out[c].append(v)
         return out
 
-    every, _ = written(per_batch(segments.select("anchor", "s1", "s2", "whole", "n", "bytes"), windows, "anchor long, s1 long, s2 long, whole boolean, i int, w1 long, w2 long"), "windows")
+    every, at = written(per_batch(segments.select("anchor", "s1", "s2", "whole", "n", "bytes"), windows, "anchor long, s1 long, s2 long, whole boolean, i int, w1 long, w2 long"), "windows")
     twice = every.groupBy("w1", "w2").agg((F.count("*") + F.max(F.col("whole").cast("int"))).alias("c")).where("c > 1").select("w1", "w2")
     met = every.where("not whole").join(twice, ["w1", "w2"]).groupBy("anchor", "s1", "s2").agg(F.collect_list("i").alias("starts"))  # at most `length` starts
-    return met.select("anchor", "s1", "s2", F.transform("starts", lambda i: F.struct(i.alias("first"), F.lit(1).alias("n"))).alias("ranges"))
+    return met.select("anchor", "s1", "s2", F.transform("starts", lambda i: F.struct(i.alias("first"), F.lit(1).alias("n"))).alias("ranges")), at
 
 
-def repeated_spans(docs: DataFrame, length: int, shard_bytes: int, form: Callable[[bytes], bytes] = same_bytes) -> DataFrame:
-    """doc_id, text_hash, spans (from, to) of documents that have bytes to remove; spans are in the texts' bytes after form."""
+def repeated_spans(docs: DataFrame, length: int, shard_bytes: int, form: type = Bytes) -> tuple[DataFrame, str]:
+    """doc_id, text_hash, spans (from, to) of documents that have something to remove, one row for an id and text, spans counted in units; and where they are written."""
     runs, runs_at = written(runs_of(docs, length, form), "runs")
     segment = ["anchor", "s1", "s2"]
     segments = runs.groupBy(*segment).agg(F.count("*").alias("c"), F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("known"), "doc_id", "text_hash", "at", "n")).alias("r"))
@@ -213,31 +272,32 @@ def repeated_spans(docs: DataFrame, length: int, shard_bytes: int, form: Callabl
     found = met.where("whole").select(*segment, F.array(F.struct(F.lit(0).alias("first"), F.col("n"))).alias("ranges"))
 
     several = met.where("kinds > 1")
-    size = several.where(f"kinds <= {HOT}").agg(F.sum(F.col("n") + length)).first()[0] or 0
+    size = several.where(f"kinds <= {HOT}").agg(F.sum((F.col("n") + length) * form.size)).first()[0] or 0
     wanted = several.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(*segment, "whole", "n", "at", "kinds")).alias("parts"))  # runs of one document
     texts = docs.withColumn("text_hash", F.xxhash64("text"))
-    if form is same_bytes:
-        texts = texts.where(F.octet_length("text") >= length)
+    texts = texts.where(F.octet_length("text") >= length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for text, parts in zip(b.column("text"), b.column("parts"), strict=True):
-                data = form(text.as_py().encode())
-                rows += [p | {"bytes": data[p["at"] : p["at"] + p["n"] + length - 1]} for p in parts.as_py()]
+                data = form.codes(text.as_py().encode())
+                rows += [p | {"bytes": data[p["at"] : p["at"] + p["n"] + length - 1].tobytes()} for p in parts.as_py()]
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     arrow = pa.schema([("anchor", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("whole", pa.bool_()), ("n", pa.int32()), ("kinds", pa.int64()), ("bytes", pa.binary())])
     same = [texts["doc_id"].eqNullSafe(wanted["doc_id"]), texts["text_hash"] == wanted["text_hash"]]
     cut_out = texts.join(wanted, same).select("text", "parts").mapInArrow(cut, "anchor long, s1 long, s2 long, whole boolean, n int, kinds long, bytes binary").dropDuplicates(segment)
     cut_out, cut_at = written(cut_out, "segments")
-    found = found.union(sorted_shards(cut_out.where(f"kinds <= {HOT}"), length, max(1, -(-size // shard_bytes))))
-    found = found.union(counted_windows(cut_out.where(f"kinds > {HOT}"), length))
+    found = found.union(sorted_shards(cut_out.where(f"kinds <= {HOT}"), length, max(1, -(-size // shard_bytes)), form))
+    hot, hot_at = counted_windows(cut_out.where(f"kinds > {HOT}"), length, form)
+    found = found.union(hot)
     spans = runs.join(found, segment).select("doc_id", "text_hash", F.transform("ranges", lambda r: F.struct((F.col("at") + r["first"]).alias("from"), (F.col("at") + r["first"] + r["n"] + F.lit(length - 1)).alias("to"))).alias("spans"))
-    spans, _ = written(spans.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")  # of one document
-    for path in (runs_at, met_at, cut_at):
+    spans, spans_at = written(spans.groupBy("doc_id", "text_hash").agg(F.flatten(F.array_distinct(F.collect_list("spans"))).alias("spans")), "spans")  # of one document
+    for path in (runs_at, met_at, cut_at, hot_at):
         delete(docs.sparkSession, path)
-    return spans
+    free_shuffles(docs.sparkSession)
+    return spans, spans_at
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -258,68 +318,57 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*keep, data[at:]])
 
 
-def cleaned(df: DataFrame, *more: str, length: int = 400, shard_bytes: int = 2 << 20) -> DataFrame:
-    """doc_id, the columns named in more, text, spans (null: nothing to remove): each document beside what to remove."""
+def word_spans(data: bytes, spans: list[dict]) -> list[tuple[int, int]]:
+    """Spans of bytes, ascending and merged, for spans of words."""
+    places = Words.places(data)
+    return merged([{"from": places[s["from"]][0], "to": places[s["to"] - 1][1]} for s in spans])
+
+
+def cleaned(df: DataFrame, *more: str, length: int = 0, words: int = 0, shard_bytes: int = 2 << 20) -> DataFrame:
+    """doc_id, the columns named in more, text, spans, passages (null: nothing to remove): each document beside its repeated strings of `length` bytes and passages of so many words (0: not sought)."""
     docs = documents(df)
-    spans = repeated_spans(docs, length, shard_bytes).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "spans")
+    spans = df.sparkSession.createDataFrame([], "_id long, _hash long, kind string, spans array<struct<from:int,to:int>>")
+    for kind, least, form in (("spans", length, Bytes), ("passages", words, Words)):
+        if least:
+            found, _ = repeated_spans(docs, least, shard_bytes, form)
+            spans = spans.union(found.select("doc_id", "text_hash", F.lit(kind), "spans"))
+    spans = spans.groupBy("_id", "_hash").agg(*(F.first(F.when(F.col("kind") == k, F.col("spans")), True).alias(k) for k in ("spans", "passages")))
     whole = documents(df, *more).withColumn("_text_hash", F.xxhash64("text"))
-    spans = spans.dropDuplicates(["_id", "_hash"])
     return whole.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left").drop("_id", "_hash", "_text_hash")
 
 
-def remove_repeats(df: DataFrame, *more: str, length: int = 400) -> DataFrame:
-    """The documents with their repeated bytes removed; what remains of a cut character goes too."""
-
-    def run(rows: dict) -> dict:
-        texts = [t if not s else without(t.encode(), merged(s)).decode("utf-8", "ignore") for t, s in zip(rows["text"], rows["spans"], strict=True)]
-        return {c: rows[c] for c in ("doc_id", *more)} | {"text": texts}
-
-    types = dict(df.dtypes)
-    return per_batch(cleaned(df, *more, length=length), run, ", ".join(["doc_id long", "text string", *(f"`{c}` {types[c]}" for c in more)]))
-
-
-def word_spans(data: bytes, spans: list[dict], words: int) -> list[dict]:
-    """Spans of bytes for spans of word codes; only strings that start with a word's code are passages."""
-    places = [m.span() for m in re.finditer(rb"[^\x09-\x0d\x20]+", data)]
-    out = []
-    for s in spans:
-        first, last = -(-s["from"] // CODE), (s["to"] - words * CODE) // CODE
-        if first <= last:
-            out.append({"from": places[first][0], "to": places[last + words - 1][1]})
-    return out
-
-
-def remove_passages(df: DataFrame, *more: str, words: int = 51, length: int = 400, shard_bytes: int = 2 << 20) -> DataFrame:
-    """As remove_repeats, and passages of so many words that also start elsewhere go as well, whatever their bytes. Words are compared by 48-bit hashes, blanks between them are not."""
+def remove_repeats(df: DataFrame, *more: str, length: int = 400, words: int = 0, shard_bytes: int = 2 << 20) -> DataFrame:
+    """The documents without their repeated strings of `length` bytes and passages of so many words (0: not sought); what remains of a cut character goes too."""
 
     def run(rows: dict) -> dict:
         texts = []
         for t, s, w in zip(rows["text"], rows["spans"], rows["passages"], strict=True):
-            data = t.encode()
-            out = (s or []) + (word_spans(data, w, words) if w else [])
-            texts.append(without(data, merged(out)).decode("utf-8", "ignore") if out else t)
+            if s or w:
+                data = t.encode()
+                t = without(data, merged([*(s or []), *({"from": a, "to": b} for a, b in word_spans(data, w or []))])).decode("utf-8", "ignore")
+            texts.append(t)
         return {c: rows[c] for c in ("doc_id", *more)} | {"text": texts}
 
-    passages = repeated_spans(documents(df), words * CODE, shard_bytes, word_codes)
-    free_shuffles(df.sparkSession)
-    both = cleaned(df, *more, length=length, shard_bytes=shard_bytes).withColumn("_text_hash", F.xxhash64("text"))
-    passages = passages.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("passages")).dropDuplicates(["_id", "_hash"])
-    both = both.join(passages, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
     types = dict(df.dtypes)
-    return per_batch(both.select("doc_id", *more, "text", "spans", "passages"), run, ", ".join(["doc_id long", "text string", *(f"`{c}` {types[c]}" for c in more)]))
+    both = cleaned(df, *more, length=length, words=words, shard_bytes=shard_bytes)
+    return per_batch(both, run, ", ".join(["doc_id long", "text string", *(f"`{c}` {types[c]}" for c in more)]))
+
 
+def removal_digests(df: DataFrame, length: int = 400, words: int = 51, shard_bytes: int = 2 << 20) -> DataFrame:
+    """What removing the repeated strings of `length` bytes does to each document; beside it n_passage_bytes, the bytes in passages of so many words that also start elsewhere, whatever their bytes."""
 
-def removal_digests(df: DataFrame, length: int = 400, shard_bytes: int = 2 << 20) -> DataFrame:
     def run(rows: dict) -> dict:
-        out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256")}
-        for text, spans in zip(rows["text"], rows["spans"], strict=True):
+        out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes")}
+        for text, spans, passages in zip(rows["text"], rows["spans"], rows["passages"], strict=True):
             data, runs = text.encode(), merged(spans or [])
             kept = without(data, runs)
-            for c, v in zip(out, (len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()), strict=True):
+            inside = sum(b - a for a, b in word_spans(data, passages)) if passages else 0
+            for c, v in zip(out, (len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), inside), strict=True):
                 out[c].append(v)
         return out | {"doc_id": rows["doc_id"]}
 
-    return per_batch(cleaned(df, length=length, shard_bytes=shard_bytes), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    both = cleaned(df, length=length, words=words, shard_bytes=shard_bytes)
+    return per_batch(both, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long")
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

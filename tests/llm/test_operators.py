@@ -186,7 +186,8 @@ def test_suffix_dedup(spark, docs, monkeypatch, hot):
         a, b = rng.choice(rows)[1], rng.choice(rows)[1]
         at = rng.randint(0, len(a))
         rows.append((5000 + k, b[: rng.randint(0, len(b))] + a[at : at + rng.randint(380, 900)] + b[-50:]))
-    rows += [(6000, "a" * 1500), (6001, "xyzé" * 300), (6002, None), (6000, "a" * 1500)]
+    rows += [(6000, "a" * 1500), (6001, "xyzé" * 300), (6002, None), (6000, "a" * 1500), (6003, "我能吞下玻璃而不伤身体" * 9), (6004, "x " * 51), (6005, "x " * 52)]
+    passages = Counter(tuple(words[k : k + 51]) for _, t in rows for words in [[u for w in (t or "").encode().split() for u in suffix_dedup.units_of_word(w)]] for k in range(len(words) - 50))
     seen = Counter(p for _, t in rows for b in [(t or "").encode()] for i in range(len(b) - 399) for p in [b[i : i + 400]])
     want = []
     for i, t in rows:
@@ -197,7 +198,12 @@ def test_suffix_dedup(spark, docs, monkeypatch, hot):
                 hit[p] += 1
                 hit[p + 400] -= 1
         out = np.cumsum(hit)[:-1] > 0
-        want.append((i, len(b), int(out.sum()), int((np.diff(np.append(0, out.astype(int))) == 1).sum()), hashlib.sha256(bytes(x for x, o in zip(b, out, strict=True) if not o)).hexdigest()))
+        places = suffix_dedup.Words.places(b)
+        words, inside = [b[x:y] for x, y in places], set()
+        for k in range(len(words) - 50):
+            if passages[tuple(words[k : k + 51])] > 1:
+                inside.update(range(places[k][0], places[k + 50][1]))
+        want.append((i, len(b), int(out.sum()), int((np.diff(np.append(0, out.astype(int))) == 1).sum()), hashlib.sha256(bytes(x for x, o in zip(b, out, strict=True) if not o)).hexdigest(), len(inside)))
     got = suffix_dedup.removal_digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), shard_bytes=20_000).collect()
     assert sorted(map(tuple, got)) == sorted(want)
 

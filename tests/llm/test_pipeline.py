@@ -14,7 +14,7 @@ def test_stages_keep_clean_documents(spark):
     assert known.columns == corpus_pipeline.COLUMNS
     assert {r.doc_id for r in known.collect()} == {r.doc_id for r in docs.where("text rlike '[a-zA-Z]'").collect()}
     one = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
-    assert one.columns == corpus_pipeline.COLUMNS and one.count() == docs.select("text").distinct().count()
+    assert one.columns == corpus_pipeline.COLUMNS and one.count() == 197  # of 198 texts two have a similarity of 0.967
     whole = corpus_pipeline.remove_repeated_passages(spark, docs, SF)
     assert whole.columns == corpus_pipeline.COLUMNS and {r.doc_id for r in whole.collect()} == kept
     assert whole.where(F.length("text") != F.col("n_chars")).count() == 0
