@@ -27,7 +27,9 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) one row stays: that with the smallest id (null last), then by hash of the row; of equal rows any one."""
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) one row stays: that with the smallest id (null last), then by hash of the row; of equal rows any one.
+
+    Candidates meet by SimHash fingerprints and Golay keys, and by minima of shingles where two bits do not reach; all are checked on their whole sets."""
     rows, labels = shingles.groups(docs.select(COLUMNS))
     keys = rows.select("rid", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text", "lang", "source", "n_chars"), "rid").alias("key"))
     chosen = keys.join(labels, "rid").groupBy("label").agg(F.min("key").alias("least")).select("least.rid")
@@ -37,7 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 51 words and strings of 400 bytes that also start elsewhere are removed; every document stays."""
     free_shuffles(spark)
-    kept = suffix_dedup.remove_passages(docs, "lang", "source")
+    kept = suffix_dedup.remove_repeats(docs, "lang", "source", words=51)
     return kept.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
