@@ -4,8 +4,8 @@ Sharding. Equal strings of `length` bytes must meet. Each start of such a string
 leftmost least hash among its grams (64 bytes or 8 words), which depends on the window alone. Neighbouring starts with one anchor
 form a run, whose units (bytes, or words where passages of words are sought) are a segment of at most 2 * length units. An anchor that occurs once in the corpus ends there: none of
 its windows can be repeated. Equal segments of an anchor are counted before they move (copies of a text cost one segment) and
-all their windows are repeated. Only where an anchor has several different segments are their suffixes sorted: the segments
-go, by anchor, to shards of `shard_bytes`, and each shard is sorted by induction with prefix values, see induced.py, spilling
+all their windows are repeated. Where an anchor has several different segments, those that share what stands on one side of it (a
+window has half its units at least on one side) have their suffixes sorted: the segments go, by anchor, to shards of `shard_bytes`, and each shard is sorted by induction with prefix values, see induced.py, spilling
 its queues. An anchor with over HOT different segments, such as that of a passage which a third of all documents have, would
 be one large group: its windows are counted one by one, each by its own 128-bit hash, in an aggregate that combines before it shuffles.
 
@@ -146,8 +146,8 @@ class Words:
         return text, at, cls.digits * base + 1, cls.digits
 
 
-def anchored_runs(data: np.ndarray, length: int, gram: int, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First start, number of starts and anchor hash of each run among the valid starts of data (at most BLOCK units or so)."""
+def anchored_runs(data: np.ndarray, length: int, gram: int, valid: np.ndarray) -> tuple[np.ndarray, ...]:
+    """First start, number of starts, anchor hash and the hashes of what stands left and right of the anchor, of each run among the valid starts of data (at most BLOCK units or so)."""
     h = rolling().grams(data, gram)
     position_bits = np.uint64(24)
     keys = (h >> position_bits << position_bits) | np.arange(len(h), dtype=np.uint64)
@@ -155,48 +155,58 @@ def anchored_runs(data: np.ndarray, length: int, gram: int, valid: np.ndarray) -
     starts = np.flatnonzero(valid)
     own = anchor[starts]
     new = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (starts[1:] != starts[:-1] + 1)))
-    return starts[new], np.diff(np.append(new, len(starts))), h[own[new]].view(np.int64)
+    at, side = own[new], beside(length, gram)
+    sides = rolling().grams(data, side)
+    left = np.where(at >= side, sides[np.maximum(at - side, 0)], 0)
+    right = np.where(at + gram + side <= len(data), sides[np.minimum(at + gram, len(sides) - 1)], 0)
+    return starts[new], np.diff(np.append(new, len(starts))), *(x.view(np.int64) for x in (h[at], left.astype(np.uint64), right.astype(np.uint64)))
 
 
-def text_runs(texts: list[np.ndarray], length: int, form: type) -> Iterator[tuple[int, int, int, int, memoryview]]:
-    """(which text, first start, starts, anchor, segment's bytes) of each run of every text, starts counted in units."""
+def beside(length: int, gram: int) -> int:
+    """A window has so many units at least on one side of its anchor."""
+    return max(1, (length - gram + 1) // 2)
+
+
+def text_runs(texts: list[np.ndarray], length: int, form: type) -> Iterator[list[np.ndarray]]:
+    """Columns of runs: which text, first start, starts, anchor, left, right, and two halves of the segment's hash; starts are counted in units."""
     group: list[int] = []
     held = 0
 
-    def runs(data: np.ndarray, valid: np.ndarray):
-        first, count, anchor = anchored_runs(data, length, form.gram, valid)
-        view, z = memoryview(data.tobytes()), form.size
-        for p, n, a in zip(first.tolist(), count.tolist(), anchor.tolist(), strict=True):
-            yield p, n, a, view[p * z : (p + n + length - 1) * z]
+    def runs(data: np.ndarray, valid: np.ndarray) -> list[np.ndarray]:
+        first, count, *hashes = anchored_runs(data, length, form.gram, valid)
+        view, digest = memoryview(data.tobytes()), xxhash.xxh3_128_digest
+        ends = (first + count + length - 1) * form.size
+        halves = np.frombuffer(b"".join([digest(view[a:z]) for a, z in zip((first * form.size).tolist(), ends.tolist(), strict=True)]), ">i8").astype(np.int64).reshape(-1, 2)
+        return [first, count, *hashes, halves[:, 0], halves[:, 1]]
 
-    def flush():
+    def flush() -> list[np.ndarray]:
         data = np.concatenate([texts[k] for k in group])
         sizes = np.array([len(texts[k]) for k in group])
         ends = np.cumsum(sizes)
         owner = np.repeat(np.arange(len(group)), sizes)[: len(data) - length + 1]
-        for p, n, a, segment in runs(data, np.arange(len(owner)) + length <= ends[owner]):
-            k = owner[p]
-            yield group[k], p - int(ends[k] - sizes[k]), n, a, segment
+        first, *rest = runs(data, np.arange(len(owner)) + length <= ends[owner])
+        k = owner[first]
+        return [np.array(group)[k], first - (ends - sizes)[k], *rest]
 
     for k, t in enumerate(texts):
         if len(t) < length:
             continue
         if held + len(t) > BLOCK and group:
-            yield from flush()
+            yield flush()
             group, held = [], 0
         if len(t) > BLOCK:
             for at in range(0, len(t) - length + 1, BLOCK // 2):
                 part = t[at : at + BLOCK // 2 + length - 1]
-                for p, n, a, segment in runs(part, np.ones(len(part) - length + 1, bool)):
-                    yield k, p + at, n, a, segment
+                first, *rest = runs(part, np.ones(len(part) - length + 1, bool))
+                yield [np.full(len(first), k), first + at, *rest]
         else:
             group.append(k)
             held += len(t)
     if group:
-        yield from flush()
+        yield flush()
 
 
-RUN = "doc_id long, text_hash long, at int, n int, anchor long, s1 long, s2 long"
+RUN = "doc_id long, text_hash long, at int, n int, anchor long, l long, r long, s1 long, s2 long"
 
 
 def halves(digest: int) -> tuple[int, int]:
@@ -205,17 +215,17 @@ def halves(digest: int) -> tuple[int, int]:
 
 
 def runs_of(docs: DataFrame, length: int, form: type) -> DataFrame:
-    def run(rows: dict) -> dict:
-        texts = [t.encode() for t in rows["text"]]
-        hashes = np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64)
-        codes = [form.codes(t) for t in texts]
-        out: list[list] = [[] for _ in range(7)]
-        for k, at, n, anchor, segment in text_runs(codes, length, form):
-            for column, value in zip(out, (rows["doc_id"][k], hashes[k], at, n, anchor, *halves(xxhash.xxh3_128_intdigest(segment))), strict=True):
-                column.append(value)
-        return dict(zip(("doc_id", "text_hash", "at", "n", "anchor", "s1", "s2"), out, strict=True))
+    arrow = arrow_schema(RUN)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t.encode() for t in b.column("text").to_pylist()]
+            hashes = np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64)
+            for which, *columns in text_runs([form.codes(t) for t in texts], length, form):
+                columns = [b.column("doc_id").take(pa.array(which)), hashes[which], *columns]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type, safe=False) if isinstance(c, np.ndarray) else c for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return per_batch(docs, run, RUN)
+    return docs.mapInArrow(run, RUN)
 
 
 def ranges_of(flags: np.ndarray) -> list[dict]:
@@ -240,7 +250,7 @@ def sorted_shards(segments: DataFrame, length: int, shards: int, form: type) ->
                 rows.append({"anchor": anchor, "s1": s1, "s2": s2, "ranges": ranges})
         return pa.Table.from_pylist(rows, schema=arrow)
 
-    return segments.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(sort, RESULT)
+    return segments.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).repartitionByRange(shards, "shard").groupBy("shard").applyInArrow(sort, RESULT)
 
 
 def counted_windows(segments: DataFrame, length: int, form: type) -> tuple[DataFrame, str]:
@@ -264,14 +274,18 @@ def repeated_spans(docs: DataFrame, length: int, shard_bytes: int, form: type =
     """doc_id, text_hash, spans (from, to) of documents that have something to remove, one row for an id and text, spans counted in units; and where they are written."""
     runs, runs_at = written(runs_of(docs, length, form), "runs")
     segment = ["anchor", "s1", "s2"]
-    segments = runs.groupBy(*segment).agg(F.count("*").alias("c"), F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("known"), "doc_id", "text_hash", "at", "n")).alias("r"))
-    segments, segments_at = written(segments.select(*segment, "c", "r.doc_id", "r.text_hash", "r.at", "r.n"), "segments")
+    place = ["doc_id", "text_hash", "at", "n", "l", "r"]
+    segments, segments_at = written(runs.groupBy(*segment).agg(F.count("*").alias("c"), *(F.first(c).alias(c) for c in place)), "segments")  # where any one of them is
     anchors = segments.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("c").alias("all")).where("all > 1").select("anchor", "kinds")
     met, met_at = written(segments.join(anchors, "anchor").withColumn("whole", F.col("c") > 1), "met")
     delete(docs.sparkSession, segments_at)
     found = met.where("whole").select(*segment, F.array(F.struct(F.lit(0).alias("first"), F.col("n"))).alias("ranges"))
 
-    several = met.where("kinds > 1")
+    # segments with a window in common also have what stands on one side of the anchor in common
+    sides = met.where("kinds > 1").select("anchor", F.explode(F.array("l", "r")).alias("side"), *segment[1:])
+    shared = sides.groupBy("anchor", "side").agg(F.count("*").alias("m")).where("m > 1").select("anchor", "side")
+    alike = sides.join(shared, ["anchor", "side"]).select(*segment).distinct()
+    several, several_at = written(met.where("kinds > 1").join(alike, segment, "left_semi"), "several")
     size = several.where(f"kinds <= {HOT}").agg(F.sum((F.col("n") + length) * form.size)).first()[0] or 0
     wanted = several.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(*segment, "whole", "n", "at", "kinds")).alias("parts"))  # runs of one document
     texts = docs.withColumn("text_hash", F.xxhash64("text"))
@@ -293,8 +307,8 @@ def repeated_spans(docs: DataFrame, length: int, shard_bytes: int, form: type =
     hot, hot_at = counted_windows(cut_out.where(f"kinds > {HOT}"), length, form)
     found = found.union(hot)
     spans = runs.join(found, segment).select("doc_id", "text_hash", F.transform("ranges", lambda r: F.struct((F.col("at") + r["first"]).alias("from"), (F.col("at") + r["first"] + r["n"] + F.lit(length - 1)).alias("to"))).alias("spans"))
-    spans, spans_at = written(spans.groupBy("doc_id", "text_hash").agg(F.flatten(F.array_distinct(F.collect_list("spans"))).alias("spans")), "spans")  # of one document
-    for path in (runs_at, met_at, cut_at, hot_at):
+    spans, spans_at = written(spans.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")  # of one document
+    for path in (runs_at, met_at, several_at, cut_at, hot_at):
         delete(docs.sparkSession, path)
     free_shuffles(docs.sparkSession)
     return spans, spans_at
