@@ -356,3 +356,20 @@ def test_search_of_repeated_query_ids(spark):
         c = counts[r.doc_id - 100]
         scores = [sum(idf[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * c.total() / mean)) for w in search.terms_of(t) if c[w]) for i, t in asked if i == r.query_id]
         assert any(abs(s - r.score) < 1e-6 for s in scores)
+
+
+def test_search_reads_few_postings(docs):
+    held = search.Postings()
+    for i, t in zip(docs.doc_id, docs.text, strict=True):
+        held.add(i, t or "")
+    mean, n = sum(held.lengths) / len(held.ids), len(held.ids)
+    whole, pruned = (search.Shard(held.row(), mean) for _ in range(2))
+    for t in docs.text[::50]:
+        c = Counter(search.terms_of(t or ""))
+        terms = np.array([whole.number[x] for x in c], np.int64)
+        df = whole.start[terms + 1] - whole.start[terms]
+        weights = np.log(1 + (n - df + 0.5) / (df + 0.5)) * np.array(list(c.values()))
+        best = whole.best(terms, weights, 0.0, 10)
+        if len(best) == 10:
+            assert pruned.best(terms, weights, best[-1][0] - 1e-8, 10) == best
+    assert 0 < pruned.read < 0.7 * whole.read
