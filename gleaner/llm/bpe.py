@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import documents, per_batch
+from gleaner.llm.common import documents, most_frequent, per_batch
 
 #: Fixed values of the public vocabulary: its split pattern, and the string that is one token wherever it stands.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -361,8 +361,8 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lexicon(docs: DataFrame, path: str, words: int = 50_000) -> bytes:
-    """Compiles the `words` most frequent words, the fixed bound of what comes to the driver."""
-    top = count_words(docs).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
+    """Compiles the `words` most frequent words or so, the fixed bound of what comes to the driver."""
+    top = most_frequent(count_words(docs), words).select("word").collect()
     v = vocabulary(path)
     return compile_lexicon({r.word.encode(): v.merge(r.word) for r in top})
 

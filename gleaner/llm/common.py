@@ -51,15 +51,16 @@ def free_shuffles(spark: SparkSession) -> None:
 
 
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The rows of counts (with a column n) that have the highest n, `most` at most: of the n whose rows would be too many, none is taken. Only how many rows have each n comes to the driver."""
+    """The rows of counts (with a column n) that have the highest n, `most` or so: of those that tie for the last places, a share by hash. Only how many rows have each n comes to the driver."""
     held, _ = written(counts, "counts")
-    taken, least = 0, None
+    left, least, share = most, 0, 1.0
     for r in held.groupBy("n").agg(F.count("*").alias("rows")).orderBy(F.desc("n")).toLocalIterator():
-        taken += r["rows"]
-        if taken > most:
+        least, share = r["n"], min(1.0, left / r["rows"])
+        left -= r["rows"]
+        if left <= 0:
             break
-        least = r["n"]
-    return held.where(F.lit(False) if least is None else F.col("n") >= least)
+    tied = F.pmod(F.xxhash64(*(c for c in held.columns if c != "n")), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
+    return held.where((F.col("n") > least) | (F.col("n") == least) & tied)
 
 
 def documents(df: DataFrame, *more: str) -> DataFrame:

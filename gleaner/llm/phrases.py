@@ -175,7 +175,7 @@ def fingerprint_documents(df: DataFrame) -> DataFrame:
         return pd.Series([[{"bucket": int(b), "look": False}] + ([{"bucket": before[p], "look": True}] if p in before else []) for b, p in zip(own, place, strict=True)])
 
     sent = docs.withColumn("go", F.explode(goes_to("place"))).select("go.*", "doc_id", "place", F.xxhash64("text").alias("tie"), "text")
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "look", "place", "tie").drop("place", "tie").mapInArrow(with_next, COLUMNS)
+    return sent.repartitionByRange(buckets, "bucket").sortWithinPartitions("bucket", "look", "place", "tie").drop("place", "tie").mapInArrow(with_next, COLUMNS)
 
 
 def op6_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
