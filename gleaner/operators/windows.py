@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def caption_windows(shots: DataFrame, chapter: str, at: str, order: list[str], start: Column, end: Column, fallback: float = 4.0) -> DataFrame:
-    """window_start, window_end of each shot: half-way to its neighbours, the chapter's edges at its ends, never beyond them; a few seconds each way where that is empty."""
+def caption_windows(shots: DataFrame, chapter: str, at: str, order: list[str], start: Column, end: Column, fallback: float = 4.0, lone: float = 8.0) -> DataFrame:
+    """window_start, window_end of each shot: half-way to its neighbours, the chapter's edges at its ends, never beyond them; without a chapter (null edges) as far as to the other neighbour, or `lone` seconds; a few seconds each way where that is empty."""
     w = Window.partitionBy(chapter).orderBy(*order)
     t = F.col(at)
-    a = F.greatest(F.coalesce((F.lag(at).over(w) + t) / 2, start), start)
-    b = F.least(F.coalesce((F.lead(at).over(w) + t) / 2, end), end)
+    before, after = F.lag(at).over(w), F.lead(at).over(w)
+    a = F.greatest(F.coalesce((before + t) / 2, start, t - (after - t) / 2, t - lone), start)  # greatest and least skip nulls
+    b = F.least(F.coalesce((after + t) / 2, end, t + (t - before) / 2, t + lone), end)
     empty = b <= a
     return shots.withColumns({"window_start": F.bround(F.when(empty, F.greatest(F.lit(0.0), t - fallback)).otherwise(a), 2), "window_end": F.bround(F.when(empty, t + fallback).otherwise(b), 2)})
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gleaner.operators import status
+from gleaner.plans import cases
 from gleaner.plans.queries import KEYWORDS, MESSAGES, NAMED
 
 ITEMS = "(SELECT event_id, ts, epoch(ts) AS timestamp, 'https://inbox.example.com/' || user_id || '/' || event_type AS url, event_type FROM events)"
@@ -100,7 +101,7 @@ SELECT page_id, CASE
     "classify_keywords": f"SELECT doc_id, {category_case()} AS category FROM (SELECT doc_id, {category_scores()} FROM documents)",
     "clean_text": r"""
 SELECT doc_id, md5(trim(regexp_replace(text, '[\s\x{FEFF}]+', ' ', 'g'))) AS squeezed_md5, substr(trim(regexp_replace(regexp_replace(split_part(text, chr(10), 1), '[\\/:*?"<>|]', '_', 'g'), '\s+', ' ', 'g')), 1, 40) AS name,
-  regexp_matches(substr(text, 1, 200), '\d{4}-\d{2}-\d{2}') OR regexp_matches(substr(text, 1, 200), '\d{2}-\d{2}') AS has_date, CAST(len(regexp_extract_all(text, 'https?://[^\s]+')) AS INTEGER) AS n_urls FROM documents""",
+  regexp_matches(text, '\d{4}-\d{2}-\d{2}') OR regexp_matches(text, '\d{2}-\d{2}') AS has_date, CAST(len(regexp_extract_all(text, 'https?://[^\s]+')) AS INTEGER) AS n_urls FROM documents""",
     "term_rank": r"""
 WITH s AS (SELECT doc_id, i, trim(regexp_replace(s, '\s+', ' ', 'g')) AS sentence FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[.!?\n]+')) AS s, generate_subscripts(regexp_split_to_array(text, '[.!?\n]+'), 1) AS i FROM documents)),
 r AS (SELECT * FROM s WHERE sentence <> ''), w AS (SELECT doc_id, i, unnest(string_split(sentence, ' ')) AS word FROM r), f AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY 1, 2),
@@ -126,7 +127,8 @@ SELECT event_id, CASE WHEN z <= a THEN greatest(0.0, secs - 4) ELSE a END AS win
     "bucket_best": f"SELECT user_id, CAST(bucket AS INTEGER) AS bucket, event_id FROM (SELECT *, ntile(4) OVER (PARTITION BY user_id ORDER BY secs, event_id) AS bucket FROM {SHOTS}) QUALIFY row_number() OVER (PARTITION BY user_id, bucket ORDER BY value DESC, secs, event_id) = 1",
     "downsample": f"SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY secs, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) - 1 AS last FROM {SHOTS}) WHERE last < 5 OR i IN (0, round_even(last / 4, 0), round_even(last / 2, 0), round_even(3 * last / 4, 0), last)",
     "greedy_merge": r"""
-WITH RECURSIVE r AS (SELECT conv_id, turn, t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM (SELECT conv_id, turn, substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 30) AS t FROM conversations) WHERE t <> ''),
+WITH RECURSIVE w AS (SELECT conv_id, turn, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS words FROM conversations),
+r AS (SELECT conv_id, turn, t, row_number() OVER (PARTITION BY conv_id ORDER BY turn, j) AS i FROM (SELECT conv_id, turn, unnest(words) AS t, generate_subscripts(words, 1) AS j FROM w) WHERE t <> ''),
 g AS (SELECT conv_id, i, turn, t, 1 AS grp, length(t) AS chars, 1 AS n FROM r WHERE i = 1
   UNION ALL SELECT r.conv_id, r.i, r.turn, r.t, CASE WHEN done THEN g.grp + 1 ELSE g.grp END, CASE WHEN done THEN length(r.t) ELSE g.chars + length(r.t) END, CASE WHEN done THEN 1 ELSE g.n + 1 END
   FROM (SELECT *, chars >= 80 OR n >= 8 OR regexp_matches(t, '[。！？.!?]$') AS done FROM g) g JOIN r ON r.conv_id = g.conv_id AND r.i = g.i + 1)
@@ -145,3 +147,4 @@ WITH i AS (SELECT source, text, count(*) AS n FROM documents GROUP BY 1, 2), r A
 SELECT *, concat_ws(',', CASE WHEN n_repeated > 0 THEN 'duplicate-items' END, CASE WHEN average < 1500 THEN 'items-too-short' END) AS warnings FROM r""",
     "stream_dedup": f"SELECT url, event_id FROM ({FIRST.format(rows=ITEMS)})",
 }
+SQL |= cases.SQL

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import dates, text, urls
 from gleaner.operators import comments, folds, joins, order, reports, selection, status, windows
+from gleaner.plans import cases
 from gleaner.streaming import inbox
 
 KEYWORDS = {"english": ["the", "that", "with", "was", "thing"], "german": ["und", "nicht", "keit", "sch"], "french": ["eau", "ment", "que", "avec"], "spanish": ["cion", "ado", "para", "los"]}
@@ -112,7 +113,7 @@ def classify_keywords(spark, sf_dir):
 def clean_text(spark, sf_dir):
     t = text.text_of("text")
     line = F.substring_index(t, "\n", 1)
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.squeezed(t)).alias("squeezed_md5"), text.safe_name(line, 40).alias("name"), text.clean_date(F.substring(t, 1, 200)).rlike(r"^\d{4}-\d{2}-\d{2}$").alias("has_date"), F.size(text.urls_in(t)).alias("n_urls"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.squeezed(t)).alias("squeezed_md5"), text.safe_name(line, 40).alias("name"), text.clean_date(t).rlike(r"^\d{4}-\d{2}-\d{2}$").alias("has_date"), F.size(text.urls_in(t)).alias("n_urls"))
 
 
 def term_rank(spark, sf_dir):
@@ -219,8 +220,10 @@ def downsample(spark, sf_dir):
 
 
 def greedy_merge(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").withColumn("end", F.col("turn"))
-    m = folds.merge_segments(c, "conv_id", "turn", F.substring(text.squeezed("text"), 1, 30), "turn", "end", 80, 8)
+    """The words of a conversation's turns stand for the pieces of a transcript."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split(text.squeezed("text"), " ")).alias("at", "word"))
+    c = c.withColumns({"end": F.col("turn"), "place": F.col("turn") * 1_000_000 + F.col("at")})
+    m = folds.merge_segments(c, "conv_id", "place", F.col("word"), "turn", "end", 80, 8)
     return m.select("conv_id", F.col("turn").alias("first_turn"), F.col("end").alias("last_turn"), "n", F.md5("text").alias("text_md5"))
 
 
@@ -245,7 +248,8 @@ def quality_report(spark, sf_dir):
 
 def stream_dedup(spark, sf_dir):
     """inbox_dedup by a stream that takes in all there is and stores new links alone."""
-    at = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}").rstrip("/") + f"/inbox-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='gleaner-')}"  # the last in tests alone
+    at = f"{shared.rstrip('/')}/inbox-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = source.select("event_id", "ts", F.concat(F.lit("https://inbox.example.com/"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_type")).alias("url"))
@@ -324,3 +328,4 @@ QUERIES = {
         failure_stages, task_errors, recent_candidates, version_places, review_select, sampling_points, mirror_targets, link_sets, document_urls,
     )
 }
+QUERIES |= cases.QUERIES
