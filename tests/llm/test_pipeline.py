@@ -1,9 +1,12 @@
 import random
 
 import corpus_pipeline
+import pytest
 from test_operators import ODD
 from pyspark.sql import functions as F
 
+from gleaner.llm import shingles
+
 SF = "/root/testdata/sf0.01"
 
 
@@ -30,7 +33,10 @@ def jaccard(a, b, width=5):
     return len(a & b) / len(a | b)
 
 
-def test_near_copies_against_brute_force(spark):
+@pytest.mark.parametrize(("rounds", "block"), [(3, 128), (0, 3)])
+def test_near_copies_against_brute_force(spark, monkeypatch, rounds, block):
+    monkeypatch.setattr(shingles, "ROUNDS", rounds)
+    monkeypatch.setattr(shingles, "BLOCK", block)
     rng, texts = random.Random(5), []
     for k in range(60):
         words = [f"w{rng.randint(0, 3000)}" for _ in range(rng.randint(60, 300))]
