@@ -28,10 +28,11 @@ def query(sql: str):
 
 
 def expected(columns: str, *rows: tuple) -> str:
-    """SQL of given rows."""
+    """SQL of given rows; a column may have a type after a colon."""
     quote = lambda v: "NULL" if v is None else f"'{v.replace(chr(39), chr(39) * 2)}'" if isinstance(v, str) else str(v).upper() if isinstance(v, bool) else f"{v}::DOUBLE" if isinstance(v, float) else str(v)
-    names = ", ".join(f'"{c}"' for c in columns.split(", "))
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in rows)}) AS t({names})"
+    typed = [c.partition(":") for c in columns.split(", ")]
+    names, kept = ", ".join(f'"{c}"' for c, _, _ in typed), ", ".join(f'CAST("{c}" AS {t}) AS "{c}"' if t else f'"{c}"' for c, _, t in typed)
+    return f"SELECT {kept} FROM (VALUES {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in rows)}) AS t({names})"
 
 
 def given(spark: SparkSession, schema: str, *rows: tuple) -> DataFrame:
@@ -73,7 +74,7 @@ def sync_modes(spark, sf_dir):
     return out
 
 
-@query(expected("k, since, label, n", (1, 0.0, "今天", 0), (2, 77.0, "最近 3 个月", 3), (3, 50.0, "", 0), (4, 50.0, "最近 7 天", 7), (5, 0.0, "最近 2 年", 2), (6, 50.0, "", 0)))
+@query(expected("k, since, label, n:BIGINT", (1, 0.0, "今天", 0), (2, 77.0, "最近 3 个月", 3), (3, 50.0, "", 0), (4, 50.0, "最近 7 天", 7), (5, 0.0, "最近 2 年", 2), (6, 50.0, "", 0)))
 def sync_windows(spark, sf_dir):
     rows = given(spark, "k int, mode string, preset string, value string, unit string", (1, "all", "Today", "", ""), (2, "window", "", "3.9", "month"), (3, "odd", "", "x", "day"), (4, "latest", " 7D ", "7", ""), (5, "recent", None, "2", "YEAR"), (6, None, "9d", "-4", "day"))
     since = sync.since_of(sync.mode_of(F.col("mode")), F.lit(50.0), F.lit(77.0))
@@ -253,7 +254,7 @@ COMMENTS = [
 ]
 
 
-@query(expected("note_id, seq, comment_id, root_id, parent_id, author, content, date, level, like_count, reply_count, is_author", (1, 0, "a", "a", "", "A", "hi there", "2024-05-06 07:08", 0, 3, 2, True), (1, 1, "b", "a", "a", "", "x", "", 1, 0, 0, False), (1, 2, "c", "a", "b", "", "deep", "", 2, 0, 0, False), (2, 0, "d", "r", "", "D", "y", "", 0, 0, 0, False)))
+@query(expected("note_id:BIGINT, seq, comment_id, root_id, parent_id, author, content, date, level, like_count:BIGINT, reply_count:BIGINT, is_author", (1, 0, "a", "a", "", "A", "hi there", "2024-05-06 07:08", 0, 3, 2, True), (1, 1, "b", "a", "a", "", "x", "", 1, 0, 0, False), (1, 2, "c", "a", "b", "", "deep", "", 2, 0, 0, False), (2, 0, "d", "r", "", "D", "y", "", 0, 0, 0, False)))
 def nested_replies(spark, sf_dir):
     pages = given(spark, "note_id long, comments string", *((i, json.dumps(c) if c else "no list") for i, c in COMMENTS))
     return replies.flattened(pages).withColumn("time", notes.comment_time("time")).withColumnRenamed("time", "date")
@@ -283,7 +284,7 @@ def _favorites(spark):
     return favorites.pages_of(given(spark, "page int, body string", *((k, json.dumps(b)) for k, b in FAVORITES)))
 
 
-@query(expected("page, n, has_more, next_offset, totals, first_title", (0, 3, True, 20, 5, "T"), (1, 3, False, 0, 0, "Q"), (2, 1, True, 0, 0, "")))
+@query(expected("page, n, has_more, next_offset:BIGINT, totals:BIGINT, first_title", (0, 3, True, 20, 5, "T"), (1, 3, False, 0, 0, "Q"), (2, 1, True, 0, 0, "")))
 def favorite_pages(spark, sf_dir):
     return _favorites(spark).select("page", F.size("items").alias("n"), "has_more", "next_offset", "totals", F.col("items")[0]["title"].alias("first_title"))
 
@@ -309,7 +310,7 @@ HTML = [
 ]
 
 
-@query(expected("page_id, canonical_url, title, author, author_link, date, content, image", (1, "https://mp.weixin.qq.com/s/real", "Title", "Me", "/me", "2024-05-06", "Helloyou", "https://i/1"), (2, "https://zhuanlan.zhihu.com/p/2", "Head", "Ann", "https://www.zhihu.com/people/a", "2024-01-02", "Text", "o"), (3, "https://blog.csdn.net/a/article/details/3", "C", "", "", "long ago", "Clong agoAll text", None)))
+@query(expected("page_id:BIGINT, canonical_url, title, author, author_link, date, content, image", (1, "https://mp.weixin.qq.com/s/real", "Title", "Me", "/me", "2024-05-06", "Helloyou", "https://i/1"), (2, "https://zhuanlan.zhihu.com/p/2", "Head", "Ann", "https://www.zhihu.com/people/a", "2024-01-02", "Text", "o"), (3, "https://blog.csdn.net/a/article/details/3", "C", "", "", "long ago", "Clong agoAll text", None)))
 def article_pages(spark, sf_dir):
     a = articles.articles(given(spark, "page_id long, url string, source_type string, html string", *HTML))
     return a.select("page_id", "canonical_url", "title", "author", "author_link", "date", "content", F.get("images", F.lit(0)).alias("image"))
@@ -363,7 +364,7 @@ def one_to_one_binding(spark, sf_dir):
     return captions.bind_one_to_one(met.select(F.col("user_id").alias("video"), "chapter", "chapter_start", "shot", "at", F.round(score, 9).alias("score")))
 
 
-@query(expected("video, chapter, shot", (1, 10, 2), (1, 11, 3), (2, 20, 5)))
+@query(expected("video:BIGINT, chapter:BIGINT, shot:BIGINT", (1, 10, 2), (1, 11, 3), (2, 20, 5)))
 def shared_shots(spark, sf_dir):
     """A screenshot on the edge of two chapters goes to the first that wants it; a chapter without any left gets none."""
     rows = given(spark, "video long, chapter long, chapter_start double, shot long, at double, score double", (1, 11, 10.0, 2, 10.0, 0.9), (1, 11, 10.0, 3, 12.0, 0.1), (1, 10, 0.0, 2, 10.0, 0.5), (1, 10, 0.0, 1, 5.0, 0.4), (2, 20, 0.0, 5, 1.0, 0.3), (2, 20, 0.0, 6, 2.0, 0.3), (2, 21, 1.0, 5, 1.0, 0.3))
