@@ -1,6 +1,6 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from gleaner.llm import bpe, chat, langid, ledger, lm, packing, phrases, search, simhash, suffix_dedup
+from gleaner.llm import bpe, centroids, chat, codebooks, langid, ledger, lm, packing, phrases, pieces, search, simhash, suffix_dedup
 
 QUERIES = {
     f.__name__: f
@@ -15,6 +15,9 @@ QUERIES = {
         langid.op8_language_id,
         ledger.op9_token_counts,
         simhash.op10_simhash_near_dedup,
+        centroids.op11_centroid_clustering,
+        codebooks.op12_vector_codes,
+        pieces.op13_sentencepiece_roundtrip,
     )
 }
-ORACLE_SQL = {"op9_token_counts": ledger.OP9_SQL}
+ORACLE_SQL = {"op9_token_counts": ledger.OP9_SQL, "op11_centroid_clustering": centroids.OP11_SQL, "op12_vector_codes": codebooks.OP12_SQL}
