@@ -2,32 +2,12 @@
 
 from __future__ import annotations
 
-import json
 
 from pyspark.sql import functions as F
 
 from gleaner.functions import checks, text
 from gleaner.operators import boards
-from gleaner.plans.cases import events, expected, given, query
-
-TASK = {"type": "note-save", "source": "web", "input": "https://ex.example/"}
-TASKS = [
-    TASK, None, {**TASK, "type": ""}, {**TASK, "source": 0}, {**TASK, "input": None}, {**TASK, "input": ""}, {**TASK, "input": "", "options": {"mode": "current"}},
-    {**TASK, "route": 5}, {**TASK, "deliveryMode": None}, {**TASK, "metadata": []}, {**TASK, "metadata": {}, "route": ""}, {**TASK, "type": "list", "input": False}, [],
-]
-
-
-@query(expected("k, fault", (0, None), (1, "Invalid task"), (2, "Task type is required"), (3, "Task source is required"), (4, "Task input is required"), (5, "Note save task requires input or current mode"), (6, None), (7, "Task route must be a string"), (8, "Task deliveryMode must be a string"), (9, "Task metadata must be an object"), (10, None), (11, None), (12, "Invalid task"), (13, "Invalid task")))
-def task_faults(spark, sf_dir):
-    rows = [(k, json.dumps(t)) for k, t in enumerate(TASKS)] + [(len(TASKS), "{broken")]
-    return given(spark, "k int, task string", *rows).select("k", checks.task_fault("task").alias("fault"))
-
-
-@query(expected("k, fault", (1, None), (2, "Fetched Xiaohongshu note is missing noteId"), (3, "Fetched Xiaohongshu note is missing title and content"), (4, "Fetched article is missing title"), (5, "Fetched article is missing content"), (6, None), (7, None)))
-def page_faults(spark, sf_dir):
-    rows = given(spark, "k int, s string, n string, t string, c string", (1, "xiaohongshu", "a", "t", None), (2, "xiaohongshu", " ", "t", "c"), (3, "xiaohongshu", "a", " ", ""), (4, "zhihu", None, None, "c"), (5, "zhihu", None, "t", "\n"), (6, "csdn", None, "t", "c"), (7, "xiaohongshu", "a", "", "c"))
-    return rows.select("k", checks.page_fault(*(F.col(c) for c in "sntc")).alias("fault"))
-
+from gleaner.plans.cases import events, query
 
 @query("SELECT page_id, contains(url, 'mp.weixin.qq.com') OR contains(url, 'zhihu.com') AS verified FROM (SELECT page_id, url || CASE WHEN page_id % 3 = 0 THEN '?from=zhihu.com' ELSE '' END AS url FROM pages)")
 def verified_hosts(spark, sf_dir):
@@ -36,18 +16,6 @@ def verified_hosts(spark, sf_dir):
     return pages.select("page_id", checks.is_verified_host(url).alias("verified"))
 
 
-@query(expected("k, more, replies", (1, True, False), (2, False, True), (3, False, False), (4, False, False), (5, True, False), (6, False, False), (7, False, False), (8, False, False)))
-def comment_controls(spark, sf_dir):
-    rows = given(spark, "k int, c string", (1, " 查看  更多 "), (2, "展开 3 条回复"), (3, "登录查看更多"), (4, "展开全文"), (5, "View all"), (6, "more more more"), (7, None), (8, "回复"))
-    return rows.select("k", checks.loads_more("c").alias("more"), checks.expands_replies("c").alias("replies"))
-
-
-@query(expected("k, account, author", (1, "Me_u1", True), (2, "unknown_000000", False), (3, "a_b_9", True), (4, "x y_000000", False)))
-def account_keys(spark, sf_dir):
-    rows = given(spark, "k int, n string, u string, tags array<string>", (1, "Me关注", " u1 ", ["Author"]), (2, None, None, None), (3, "a/b 关注", "9", [None, "作者"]), (4, "x  y", "", []))
-    return rows.select("k", checks.account_key("n", "u").alias("account"), checks.has_author_tag(F.col("tags")).alias("author"))
-
-
 @query("SELECT coalesce(arg_min('u' || user_id || '_000000', event_id), 'unknown_000000') AS account, 1 AS k FROM events WHERE event_type = 'purchase' UNION ALL SELECT 'unknown_000000', 2")
 def default_accounts(spark, sf_dir):
     """The account of the first purchase; other events have no key."""
@@ -77,40 +45,9 @@ def board_totals(spark, sf_dir):
     return boards.board_totals(_united(spark, sf_dir), "board")
 
 
-@query(expected("k, name", (1, "a-b c"), (2, "untitled-7"), (3, "untitled-7"), (4, "x" * 120), (5, "a")))
-def note_file_names(spark, sf_dir):
-    rows = given(spark, "k int, t string", (1, 'a/:b  c?'), (2, None), (3, "??"), (4, "x" * 130), (5, "--a-"))
-    return rows.select("k", checks.note_file_name("t", F.lit("7")).alias("name"))
-
-
-@query(expected("k, id, title", (1, "d1", "T"), (2, "d2", None), (3, None, None), (4, None, None)))
-def store_rows(spark, sf_dir):
-    raw = [{"doc": {"basic_info": {"docid": "d1", "title": "T"}}}, {"doc": {"basic_info": None}, "basic_info": {"basic_info": {"docid": "d2"}}}, {"doc": {"basic_info": {}}, "basic_info": {"basic_info": {"docid": "no"}}}, {}]
-    rows = given(spark, "k int, raw string", *((k, json.dumps(r)) for k, r in enumerate(raw, 1)))
-    return rows.select("k", checks.basic_info("raw", "doc", "docid").alias("id"), checks.basic_info("raw", "doc", "title").alias("title"))
-
-
-@query(expected("k, links", (1, "d,p,x,y"), (2, "")))
-def image_scenes(spark, sf_dir):
-    rows = given(spark, "k int, i array<struct<imageScene:string,url:string>>", (1, [("a", "x"), ("WB_PRV", "p"), (None, "y"), ("WB_DFT", "d"), ("b", None)]), (2, []))
-    return rows.select("k", F.array_join(checks.scene_links(F.col("i")), ",").alias("links"))
-
-
 @query("SELECT doc_id, len(s)::INT AS n_sentences, md5(array_to_string(s, '|')) AS digest FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(replace(coalesce(text, ''), '.', '。'), '[。！？!?\\n]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents)")
 def text_sentences(spark, sf_dir):
     """Whole texts; full stops stand for those of the language that the rule is for."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     s = checks.sentences(F.replace(text.text_of("text"), F.lit("."), F.lit("。")))
     return docs.select("doc_id", F.size(s).alias("n_sentences"), F.md5(F.array_join(s, "|")).alias("digest"))
-
-
-@query(expected("k, change", (1, 0.0), (2, 0.25), (3, 1.0), (4, 0.0), (5, 1.0), (6, 0.0)))
-def text_changes(spark, sf_dir):
-    rows = given(spark, "k int, v int, t string", (1, 1, "abcd"), (2, 1, "bcde"), (3, 1, None), (4, 1, ""), (5, 1, "q"), (6, 2, "z"))
-    return boards.text_change(rows, "v", ["k"], "t").select("k", "change")
-
-
-@query(expected("k, slug, cut, held", (1, "hello-世界_a", "Hello", '{"a": {"b": 1}}'), (2, "", "", None)))
-def names_and_answers(spark, sf_dir):
-    rows = given(spark, "k int, t string, a string", (1, "Hello, 世界_a!", 'So: {"a": {"b": 1}} done'), (2, None, "none"))
-    return rows.select("k", text.slug("t").alias("slug"), text.truncated("t", 5).alias("cut"), text.json_object_in("a").alias("held"))
