@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from gleaner.operators.order import new_rows
 
 
-def stored(spark: SparkSession, path: str, schema) -> DataFrame:
+def committed(spark: SparkSession, path: str, schema) -> DataFrame:
     """The rows of committed batches. A batch is a folder; one that was cut off is written again under the same name."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -17,21 +18,26 @@ def stored(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(*done) if done else spark.createDataFrame([], schema)
 
 
+stored = committed
+
+
 def append_batch(batch: DataFrame, name: str, path: str, keys: list[str], order: list[str]) -> None:
     """Stores a batch's first row of each key that no other batch has. Storing a batch again gives the same rows, so a retried batch is exact."""
     spark = batch.sparkSession
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    new_rows(batch, stored(spark, path, batch.schema), keys, order).write.parquet(f"{path}/{name}")
+    new_rows(batch, committed(spark, path, batch.schema), keys, order).write.parquet(f"{path}/{name}")
 
 
-def collect_available(source: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str]) -> None:
+def collect_available(source: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str]) -> StreamingQuery:
     """Takes in all that a streaming source has now. No watermark: late rows are as good as others."""
 
     def store(batch: DataFrame, number: int) -> None:
         append_batch(batch, f"batch-{number:09d}", path, keys, order)
 
-    source.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    query = source.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
 
 def high_water_mark(pulled: DataFrame, modified: str, mode: str, truncated: bool, mark: float) -> float:
