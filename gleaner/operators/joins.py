@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.tables import numbered
+
 #: Characters of needles that one pass over the texts looks for.
 NEEDLE_CHARS = 32_000_000
 
@@ -72,12 +74,24 @@ def overlapping(a: DataFrame, b: DataFrame, key: str, a_span: tuple[str, str], b
     return x.join(y, on).where(F.col("_bin") == bin_of(F.greatest(F.col(a_span[0]), F.col(b_span[0])), width)).drop("_bin", "_key", "_other")
 
 
-def nearest(points: DataFrame, targets: DataFrame, key: str, point_id: str, at: str, target_id: str, target_at: str) -> DataFrame:
-    """Each point with the target of its key that is nearest in time (the smaller id of equals), null without targets. One sort instead of a join of all pairs."""
-    once = targets.groupBy(key, target_at).agg(F.min(target_id).alias("_target"))
-    both = points.select(key, F.col(at).alias("_at"), F.col(point_id).alias("_point"), F.lit(None).cast("long").alias("_target")).union(once.select(key, target_at, F.lit(None).cast("long"), "_target"))
-    here = F.when(F.col("_target").isNotNull(), F.struct(F.col("_at").alias("at"), F.col("_target").alias("id")))
-    w = Window.partitionBy(key).orderBy("_at")
-    met = both.select(key, "_at", "_point", F.last(here, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)).alias("before"), F.first(here, ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)).alias("after")).where("_point is not null")
+def nearest(points: DataFrame, targets: DataFrame, key: str, point_id: str, at: str, target_id: str, target_at: str, rows: int = 50_000) -> DataFrame:
+    """Each point with the target of its key that is nearest in time (the smaller id of equals), null without targets. Points and targets without a key or a time are left out.
+
+    One sort instead of a join of all pairs. The sorted rows are cut into blocks whatever their key, so a hot key is many blocks; what a block's first and last points miss comes from a table with
+    the first and last target of each key and block.
+    """
+    once = targets.groupBy(key, F.col(target_at).alias("_at")).agg(F.min(target_id).alias("_target"))
+    both = points.select(key, F.col(at).alias("_at"), F.col(point_id).alias("_point"), F.lit(None).cast("long").alias("_target")).union(once.select(key, "_at", F.lit(None).cast("long"), "_target"))
+    both = both.where(F.col(key).isNotNull() & F.col("_at").isNotNull()).withColumn("_is_point", F.col("_target").isNull())
+    placed, _ = numbered(both, [key, "_at", "_is_point"], "_n")  # a target comes before the points of its time
+    blocks = placed.withColumns({"_block": F.floor(F.col("_n") / rows), "_here": F.when(~F.col("_is_point"), F.struct(F.col("_at").alias("at"), F.col("_target").alias("id")))})
+    in_block = Window.partitionBy("_block", key).orderBy("_n")
+    before = F.last("_here", ignorenulls=True).over(in_block.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("_here", ignorenulls=True).over(in_block.rowsBetween(0, Window.unboundedFollowing))
+    met = blocks.withColumns({"_before": before, "_after": after}).where("_is_point")
+    ends = blocks.groupBy(key, "_block").agg(F.min("_here").alias("_first"), F.max("_here").alias("_last"))
+    in_order = Window.partitionBy(key).orderBy("_block")  # one row a block
+    carried = ends.select(key, "_block", F.last("_last", ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"), F.first("_first", ignorenulls=True).over(in_order.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
     rank = lambda x: F.when(x.isNotNull(), F.struct(F.abs(x["at"] - F.col("_at")).alias("distance"), x["id"].alias("id")))
-    return met.withColumn("best", F.least(rank(F.col("before")), rank(F.col("after")))).select(key, F.col("_point").alias(point_id), F.col("best.id").alias(target_id), F.col("best.distance").alias("distance"))
+    best = F.least(rank(F.coalesce("_before", "_earlier")), rank(F.coalesce("_after", "_later")))
+    return met.join(carried, [key, "_block"]).withColumn("best", best).select(key, F.col("_point").alias(point_id), F.col("best.id").alias(target_id), F.col("best.distance").alias("distance"))

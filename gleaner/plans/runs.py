@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import safe_name, text_of
-from gleaner.operators import keeping, naming
+from gleaner.operators import context, keeping, naming, themes
 from gleaner.plans.cases import events, query
 from gleaner.sources.readers import items_of
 from gleaner.streaming import inbox, pushes
@@ -95,3 +95,73 @@ def stream_pages(spark, sf_dir):
     for most in (7, 1_000_000):
         pull(spark, f"{at}/pages", at, 1704153600.0, most)
     return inbox.stored(spark, f"{at}/items", "page long, place int, source string, url string, title string, timestamp double").select("url", "page", "place", "timestamp")
+
+
+H = 3600.0
+
+
+@query("""
+WITH RECURSIVE l AS (SELECT user_id, event_id AS line, a, z, (a + z) / 2 AS m, text, weak, row_number() OVER (PARTITION BY user_id ORDER BY (a + z) / 2, event_id) AS n FROM (
+    SELECT user_id, event_id, epoch_us(ts) / 1e6 - 3600 AS a, epoch_us(ts) / 1e6 + 3600 AS z, event_type || ' ' || CAST(floor(value) AS BIGINT) AS text, value < 4 AS weak FROM events WHERE event_type <> 'purchase')),
+w AS (SELECT user_id, event_id AS win, epoch_us(ts) / 1e6 AS t, t - 7200 AS a, t + 7200 AS z, floor(t / 172800) * 172800 AS early, early + 172800 AS late FROM events WHERE event_type = 'purchase'),
+o AS (SELECT win, list(n ORDER BY n) AS ns, bool_or(l.weak) AS weak FROM w JOIN l ON w.user_id = l.user_id AND l.z > w.a AND l.a < w.z GROUP BY win),
+f AS (SELECT win, arg_min(n, (abs(m - t), line)) AS n FROM w JOIN l USING (user_id) WHERE win NOT IN (SELECT win FROM o) GROUP BY win),
+s AS (SELECT w.*, coalesce(o.ns, [f.n]) AS ns, o.win IS NOT NULL AS met, CASE WHEN o.win IS NULL THEN 1 ELSE 3 END AS least FROM w LEFT JOIN o USING (win) LEFT JOIN f USING (win) WHERE o.win IS NOT NULL OR f.win IS NOT NULL),
+g AS (SELECT user_id, win, t, early, late, ns, met, least, 0 AS step FROM s
+  UNION ALL SELECT g.user_id, win, t, early, late, CASE WHEN dl <= dr THEN list_prepend(ns[1] - 1, ns) ELSE list_append(ns, ns[-1] + 1) END, met, least, step + 1 FROM (
+    SELECT g.*, CASE WHEN x.m BETWEEN early AND late AND abs(x.m - t) <= 43200 THEN abs(x.m - t) ELSE 1e18 END AS dl, CASE WHEN y.m BETWEEN early AND late AND abs(y.m - t) <= 43200 THEN abs(y.m - t) ELSE 1e18 END AS dr
+    FROM g LEFT JOIN l x ON x.user_id = g.user_id AND x.n = g.ns[1] - 1 LEFT JOIN l y ON y.user_id = g.user_id AND y.n = g.ns[-1] + 1) g WHERE least(dl, dr) < 1e18),
+x AS (SELECT win, step, text, min(l.n) AS n, arg_min(weak, l.n) AS weak FROM (SELECT win, user_id, step, unnest(ns) AS n FROM g) JOIN l USING (user_id, n) GROUP BY win, step, text),
+c AS (SELECT win, step, CASE WHEN count(*) > 1 AND bool_or(NOT weak) THEN count(*) FILTER (NOT weak) ELSE count(*) END AS k, CASE WHEN count(*) > 1 AND bool_or(NOT weak) THEN sum(length(text)) FILTER (NOT weak) ELSE sum(length(text)) END AS chars FROM x GROUP BY win, step),
+d AS (SELECT win, coalesce(min(step) FILTER (k >= least AND chars >= 18), max(step)) AS step FROM g JOIN c USING (win, step) GROUP BY win)
+SELECT g.user_id, g.win AS window_id, array_to_string(list(l.line ORDER BY l.n), ',') AS lines, any_value(met) AS met FROM (SELECT user_id, win, met, unnest(ns) AS n FROM g JOIN d USING (win, step)) g JOIN l USING (user_id, n) GROUP BY ALL""")
+def context_lines(spark, sf_dir):
+    """What happened around a purchase: events of two hours, and others within twelve hours and the same two days until three lines and 18 characters are there."""
+    e = events(spark, sf_dir).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    early = F.floor(F.col("t") / 172800) * 172800.0
+    windows = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("window"), (F.col("t") - 2 * H).alias("window_start"), (F.col("t") + 2 * H).alias("window_end"), F.col("t").alias("at"), early.alias("earliest"), (early + 172800.0).alias("latest"))
+    text = F.concat("event_type", F.lit(" "), F.floor("value").cast("string"))
+    lines = e.where("event_type <> 'purchase'").select("user_id", F.col("event_id").alias("line"), (F.col("t") - H).alias("line_start"), (F.col("t") + H).alias("line_end"), text.alias("text"), (F.col("value") < 4).alias("weak"))
+    got = context.expanded(windows, lines, "user_id", 24 * H, 12 * H)
+    return got.select("user_id", F.col("window").alias("window_id"), F.array_join(F.transform("lines", lambda x: x.cast("string")), ",").alias("lines"), "met")
+
+
+SENTENCES, CLAUSES = r"[.!?\n]", r"[,.!?\n:;]"
+#: Rules over the words of the tables' four languages; two share a keyword, and one has a keyword within another.
+THEMES = [themes.Theme("English prose", ("the ", "that", "thing"), 4), themes.Theme("Deutsche Texte", ("nicht", "und", "keit"), 6, "lesen"), themes.Theme("Le français", ("ment", "eau", "eaux", "que"), 3), themes.Theme("Español", ("cion", "para", "que"), 5)]
+MARKERS = [themes.Marker(("that", "nicht", "avec", "para"), 6.0), themes.Marker(("with", "keit", "pas"), 2.0), themes.Marker(("thing", "sch"), 3.0)]
+THEME_ROWS = "(VALUES (0, 'English prose', 'the ', 4, ''), (0, 'English prose', 'that', 4, ''), (0, 'English prose', 'thing', 4, ''), (1, 'Deutsche Texte', 'nicht', 6, 'lesen'), (1, 'Deutsche Texte', 'und', 6, 'lesen'), (1, 'Deutsche Texte', 'keit', 6, 'lesen'), (2, 'Le français', 'ment', 3, ''), (2, 'Le français', 'eau', 3, ''), (2, 'Le français', 'eaux', 3, ''), (2, 'Le français', 'que', 3, ''), (3, 'Español', 'cion', 5, ''), (3, 'Español', 'para', 5, ''), (3, 'Español', 'que', 5, '')) AS t(r, title, word, priority, goal)"
+PARTS = r"(SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS i, s FROM (SELECT doc_id, k, trim(regexp_replace(p[k], '\s+', ' ', 'g')) AS s FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS k FROM (SELECT doc_id, regexp_split_to_array(text, '{cut}') AS p FROM documents))) WHERE s <> '')"
+
+
+@query(f"""
+WITH s AS {PARTS.format(cut=SENTENCES)}, t AS (SELECT doc_id, r, title, goal, CAST(sum(length(word) + greatest(0, 5 - i) * 3 + priority) AS DOUBLE) AS score FROM s JOIN {THEME_ROWS} ON contains(s, word) GROUP BY ALL),
+c AS (SELECT doc_id, 10 + i AS r, trim(substr([trim(x) for x in regexp_split_to_array(s, '{CLAUSES}') if trim(x) <> ''][1], 1, 18), '') AS title, '' AS goal, CAST(60 - i AS DOUBLE) AS score FROM s WHERE i < 3),
+u AS (SELECT * FROM t UNION ALL SELECT doc_id, r, title, goal, score FROM c WHERE title IS NOT NULL UNION ALL SELECT doc_id, 99, 'untitled', '', 1.0 FROM documents),
+d AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY doc_id, title ORDER BY score DESC, r) = 1)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, r) AS INTEGER) AS place, title, score, goal FROM d""")
+def title_choices(spark, sf_dir):
+    """Title candidates of whole documents: themes, first clauses, and one for all."""
+    return themes.title_candidates(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", THEMES, SENTENCES, CLAUSES, "untitled")
+
+
+@query(f"""
+WITH c AS {PARTS.format(cut=CLAUSES)},
+p AS (SELECT doc_id, i, trim(substr(s, 1, 72)) AS point, greatest(0, 6 - i) + CASE WHEN regexp_matches(s, 'that|nicht|avec|para') THEN 6 ELSE 0 END + CASE WHEN regexp_matches(s, 'with|keit|pas') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(s, 'thing|sch') THEN 3 ELSE 0 END AS score FROM c WHERE length(s) >= 4),
+d AS (SELECT doc_id, point, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS o FROM p QUALIFY row_number() OVER (PARTITION BY doc_id, point ORDER BY score DESC, i) = 1),
+b AS (SELECT doc_id, point, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS place FROM d QUALIFY place <= 3),
+f AS (SELECT doc_id, point, min(i) AS i FROM (SELECT doc_id, i, trim(substr(s, 1, 48)) AS point FROM c) WHERE (doc_id, point) NOT IN (SELECT (doc_id, point) FROM b) GROUP BY ALL),
+n AS (SELECT doc_id, count(*) AS n FROM b GROUP BY 1), m AS (SELECT f.*, coalesce(n, 0) + row_number() OVER (PARTITION BY f.doc_id ORDER BY i) AS place FROM f LEFT JOIN n USING (doc_id))
+SELECT doc_id, CAST(place AS INTEGER) AS place, md5(point) AS point_md5 FROM b UNION ALL SELECT doc_id, CAST(place AS INTEGER), md5(point) FROM m WHERE place <= 2""")
+def point_choices(spark, sf_dir):
+    """Key points of whole documents, up to three, at least two where there are clauses."""
+    got = themes.key_points(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", MARKERS, clause=CLAUSES)
+    return got.select("doc_id", "place", F.md5("point").alias("point_md5"))
+
+
+@query(f"""
+WITH s AS {PARTS.format(cut=SENTENCES)}, k AS (SELECT doc_id, i, s, 10.0 * (CAST(contains(s, 'that') AS INT) + CAST(contains(s, 'nicht') AS INT) + CAST(contains(s, 'avec') AS INT) + CAST(contains(s, 'para') AS INT) + CAST(contains(s, 'ch') AS INT)) AS m FROM s WHERE length(s) >= 4)
+SELECT doc_id, md5(s) AS sentence_md5, CAST(m + greatest(0, 6 - i) AS DOUBLE) AS score FROM k WHERE m > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) = 1""")
+def marked_sentences(spark, sf_dir):
+    got = themes.best_sentences(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", ("that", "nicht", "avec", "para", "ch"), SENTENCES)
+    return got.select("doc_id", F.md5("sentence").alias("sentence_md5"), "score")
