@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import text_of, trimmed
 from gleaner.operators.joins import bin_of, nearest, points_in_intervals
+from gleaner.tables import delete, written
 
 
 def chapter_score(at: Column, start: Column, end: Column, content: Column, visual: Column, words: Column, blur: Column, has_text: Column) -> Column:
@@ -21,19 +21,23 @@ def chapter_score(at: Column, start: Column, end: Column, content: Column, visua
 def bind_one_to_one(candidates: DataFrame) -> DataFrame:
     """(video, chapter, shot) from candidates (video, chapter, chapter_start, shot, at, score): each chapter in order takes its best screenshot that no chapter before took; the earlier of equals.
 
-    Chapters compete only where their candidates overlap, so a video is folded by itself; a video has a bounded number of chapters.
+    Chapters don't wait for each other: all ask for their best, a screenshot goes to the earliest that asks, and with it all later chapters lose it; those that lost theirs ask again. As every
+    screenshot prefers earlier chapters, that gives what taking turns gives, in as many rounds as chapters in a row push each other on. All steps are aggregates and joins by screenshot.
     """
-
-    def bind(rows: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for chapter, own in rows.sort_values(["chapter_start", "chapter"]).groupby("chapter", sort=False):
-            free = own[~own["shot"].isin(taken)].sort_values(["score", "at", "shot"], ascending=[False, True, True])
-            if len(free):
-                taken.add(free["shot"].iloc[0])
-                out.append((free["video"].iloc[0], chapter, free["shot"].iloc[0]))
-        return pd.DataFrame(out, columns=["video", "chapter", "shot"])
-
-    return candidates.groupBy("video").applyInPandas(bind, "video long, chapter long, shot long")
+    spark = candidates.sparkSession
+    order = F.struct("chapter_start", "chapter")
+    left, left_at = written(candidates.select("video", "shot", order.alias("turn"), F.struct((-F.col("score")).alias("score"), F.col("at"), F.col("shot")).alias("rank")), "candidates")
+    while True:
+        asked = left.groupBy("video", "turn").agg(F.min_by("shot", "rank").alias("shot"))
+        given, given_at = written(asked.groupBy("video", "shot").agg(F.min("turn").alias("best"), F.count("*").alias("n")), "given")
+        if given.where("n > 1").isEmpty():
+            delete(spark, left_at)
+            return given.select("video", F.col("best.chapter").alias("chapter"), "shot")
+        rest = left.join(given.select("video", "shot", "best"), ["video", "shot"], "left").where(F.col("best").isNull() | (F.col("turn") <= F.col("best"))).drop("best")
+        new, new_at = written(rest, "candidates")
+        delete(spark, left_at)
+        delete(spark, given_at)
+        left, left_at = new, new_at
 
 
 def representative_segments(chapters: DataFrame, segments: DataFrame, key: str, width: float) -> DataFrame:
@@ -60,26 +64,21 @@ BLOCK = "path string, alt string, at double, chapter string, window_start double
 
 
 def merged_by_path(blocks: DataFrame) -> DataFrame:
-    """Caption blocks (BLOCK) of one screenshot become one: the widest window, all different lines, and the head of the block that has more lines, or as many and more recognised text, than what was merged so far."""
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        out = None
-        for r in rows.sort_values(["at", "window_start", "window_end"]).to_dict("records"):
-            r["lines"], r["chapter"], r["ocr"] = list(r["lines"] if r["lines"] is not None else []), r["chapter"] or "", r["ocr"] or ""
-            if out is None:
-                out = r
-                continue
-            better = (len(r["lines"]), len(r["ocr"].strip())) > (len(out["lines"]), len(out["ocr"].strip()))
-            out["window_start"], out["window_end"] = min(out["window_start"], r["window_start"]), max(out["window_end"], r["window_end"])
-            out["lines"] += [x for x in dict.fromkeys(r["lines"]) if x not in out["lines"]]
-            if better:
-                out["alt"], out["at"] = r["alt"], r["at"]
-            for c in ("chapter", "ocr"):
-                if r[c] and (better or not out[c]):
-                    out[c] = r[c]
-        return pd.DataFrame([out])[rows.columns.tolist()]
-
-    return blocks.groupBy("path").applyInPandas(merge, BLOCK)
+    """Caption blocks (BLOCK) of one screenshot become one: the widest window, all different lines in order, and place and description of the block that says more (lines, then recognised text) than all before it
+    together; chapter and recognised text come from that block, too, or from the first that has any. A screenshot has a block for each chapter that shows it, so its blocks fit in a row."""
+    said = F.struct("at", "window_start", "window_end", "alt", text_of("chapter").alias("chapter"), F.coalesce("lines", F.array().cast("array<string>")).alias("lines"), text_of("ocr").alias("ocr"))
+    weight = lambda b: F.struct(F.size(b["lines"]), F.length(trimmed(b["ocr"])))
+
+    def take(all_: Column, b: Column) -> Column:
+        more = weight(b) > weight(all_)
+        other = lambda c: F.when((b[c] != "") & (more | (all_[c] == "")), b[c]).otherwise(all_[c]).alias(c)
+        lead = lambda c: F.when(more, b[c]).otherwise(all_[c]).alias(c)
+        lines = F.concat(all_["lines"], F.array_except(b["lines"], all_["lines"]))
+        return F.struct(lead("at"), F.least(all_["window_start"], b["window_start"]).alias("window_start"), F.greatest(all_["window_end"], b["window_end"]).alias("window_end"), lead("alt"), other("chapter"), lines.alias("lines"), other("ocr"))
+
+    sorted_ = blocks.groupBy("path").agg(F.array_sort(F.collect_list(said)).alias("b"))
+    one = F.aggregate(F.slice("b", F.lit(2), F.size("b")), F.col("b")[0], take)
+    return sorted_.select("path", one.alias("x")).select("path", "x.alt", "x.at", "x.chapter", "x.window_start", "x.window_end", "x.lines", "x.ocr")
 
 
 def paragraph(clauses: Column, most: int = 3, chars: int = 26) -> Column:
