@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from gleaner.operators import status
-from gleaner.plans import cases, fields, rules, runs, stores  # noqa: F401
+from gleaner.plans import cases, fields, rules, runs, shapes, stores  # noqa: F401
 from gleaner.plans.queries import KEYWORDS, MESSAGES, NAMED
 
 ITEMS = "(SELECT event_id, ts, epoch(ts) AS timestamp, 'https://inbox.example.com/' || user_id || '/' || event_type AS url, event_type FROM events)"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import dates, text, urls
 from gleaner.operators import comments, folds, joins, order, reports, selection, status, windows
-from gleaner.plans import cases, fields, rules, runs, stores  # noqa: F401
+from gleaner.plans import cases, fields, rules, runs, shapes, stores  # noqa: F401
 from gleaner.streaming import inbox
 
 KEYWORDS = {"english": ["the", "that", "with", "was", "thing"], "german": ["und", "nicht", "keit", "sch"], "french": ["eau", "ment", "que", "avec"], "spanish": ["cion", "ado", "para", "los"]}
