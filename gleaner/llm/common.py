@@ -3,45 +3,13 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where the session names none (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='gleaner-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def hadoop_fs(spark: SparkSession, path: str):
-    """Hadoop's file system of a path and the path, for checks and deletes that work in any store."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    fs, p = hadoop_fs(spark, path)
-    fs.delete(p, True)
-
-
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Writes df to the shared folder and reads it back, so that a lost executor costs no earlier work. Also returns the path, for delete()."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+from gleaner.tables import delete, hadoop_fs, new_path, shared_dir, written  # noqa: F401
 
 
 def free_shuffles(spark: SparkSession) -> None:

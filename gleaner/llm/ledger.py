@@ -4,34 +4,60 @@ A change of the corpus is a set of signed rows: an insert adds a document's coun
 A batch of changes is summed to one row a group before anything is stored, and stored in a folder of its own name; a
 batch is committed once Spark's success marker is there. Committing a name again does nothing; a batch whose writing was
 cut off is overwritten by the next try. Totals are the sums over a snapshot and all batches that it doesn't contain,
-so neither order nor retries matter. compact() writes the next snapshot. All of it is DataFrame operations.
+so neither order nor retries matter. compact() writes the next snapshot. The ledger is DataFrame operations; a tokenizer
+version is whatever counts a text's tokens, and the query's two are public byte-level vocabularies, which count in Arrow batches.
 
-A null source or language is a group like any other. A null text counts as empty, with no tokens. Repeated rows count again. A group whose
-documents are all gone has a row of zeros. Without batches there are no rows. Extra columns are ignored.
+A null source or language is a group like any other. A null text counts as empty, with no tokens. Texts of any length are counted whole. Repeated rows
+and equal counts count again. A group whose documents are all gone has a row of zeros. Without batches, or from empty tables, there are no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import hadoop_fs, new_path, written
+from gleaner.llm.common import delete, hadoop_fs, new_path, written
+from gleaner.llm.packing import token_ids
 
 GROUP = ["source", "lang", "tokenizer"]
 MEASURES = ["n_docs", "n_tokens", "n_chars"]
 SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long"
-#: Tokenizer versions that count within the JVM: words apart by white space; letters or digits together and other marks one by one.
-TOKENIZERS = {"words-v1": r"[^\x20\x09-\x0D]+", "marks-v2": r"[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]"}
+#: Counters within the JVM, for use without a vocabulary: words apart by white space; letters or digits together and other marks one by one.
+PATTERNS = {"words-v1": r"[^\x20\x09-\x0D]+", "marks-v2": r"[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]"}
+#: The tokenizer versions of the query: files of public byte-level ranks.
+RANKS = {"byte-bpe-50k": "byte_bpe_50k.tiktoken", "byte-bpe-multi-50k": "byte_bpe_multi_50k.tiktoken"}
+
+
+def counted(df: DataFrame, columns: dict[str, str], ranks: dict[str, str]) -> DataFrame:
+    """df with, for each version of ranks and each of columns (name: text column), a long column version:name with the text's tokens; the text columns go."""
+    kept = [c for c in df.columns if c not in columns.values()]
+    made = [f"{v}:{c}" for v in ranks for c in columns]
+    types = dict(df.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoders = [token_ids(path) for path in ranks.values()]
+        for b in batches:
+            texts = {c: [x.as_py() or "" for x in b.column(t)] for c, t in columns.items()}
+            counts = [pa.array([len(encode(t)) for t in texts[c]], pa.int64()) for encode in encoders for c in columns]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *counts], names=[*kept, *made])
+
+    return df.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in kept), *(f"`{m}` long" for m in made)]))
 
 
-def count_tokens(text: Column, tokenizer: str) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(TOKENIZERS[tokenizer])), F.lit(0)).cast("long")
+def counted_by_patterns(df: DataFrame, columns: dict[str, str], patterns: dict[str, str]) -> DataFrame:
+    """The same by regular expressions."""
+    kept = [c for c in df.columns if c not in columns.values()]
+    made = [F.coalesce(F.regexp_count(t, F.lit(p)), F.lit(0)).cast("long").alias(f"{v}:{c}") for v, p in patterns.items() for c, t in columns.items()]
+    return df.select(*kept, *made)
 
 
 def signed(rows: DataFrame, tokenizer: str, sign: int, tokens: str = "n_tokens", chars: str = "n_chars") -> DataFrame:
     """Delta rows of documents (source, lang and their counts): sign 1 adds them, -1 takes them away."""
     s = F.lit(sign).cast("long")
-    return rows.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit(tokenizer).alias("tokenizer"), s.alias("n_docs"), (s * F.col(tokens)).alias("n_tokens"), (s * F.col(chars)).alias("n_chars"))
+    return rows.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit(tokenizer).alias("tokenizer"), s.alias("n_docs"), (s * F.col(f"`{tokens}`")).alias("n_tokens"), (s * F.col(chars)).alias("n_chars"))
 
 
 class Ledger:
@@ -54,7 +80,7 @@ class Ledger:
         at = f"{self.path}/batches/{name}"
         if self._committed(at) or name in self._folded():
             return False
-        deltas.groupBy(*GROUP).agg(*(F.sum(m).alias(m) for m in MEASURES)).coalesce(1).write.mode("overwrite").parquet(at)
+        deltas.groupBy(*GROUP).agg(*(F.sum(m).alias(m) for m in MEASURES)).write.mode("overwrite").parquet(at)
         return True
 
     def _snapshot(self) -> str | None:
@@ -75,8 +101,8 @@ class Ledger:
         """Folds all committed batches into a new snapshot, which counts from the moment its marker is written."""
         names = sorted(self._folded() | set(self.batches()))
         at = f"{self.path}/snapshots/{len(self._names('snapshots')):09d}"
-        self.totals().coalesce(1).write.mode("overwrite").parquet(f"{at}/totals")
-        self.spark.createDataFrame([(n,) for n in names], "name string").coalesce(1).write.mode("overwrite").parquet(f"{at}/names")
+        self.totals().write.mode("overwrite").parquet(f"{at}/totals")
+        self.spark.createDataFrame([(n,) for n in names], "name string").write.mode("overwrite").parquet(f"{at}/names")
         fs, p = hadoop_fs(self.spark, f"{at}/_SUCCESS")
         fs.create(p, True).close()
 
@@ -86,32 +112,38 @@ def with_subtotals(totals: DataFrame) -> DataFrame:
     return totals.rollup(*GROUP).agg(*(F.sum(m).alias(m) for m in MEASURES), F.grouping_id().cast("int").alias("level"))
 
 
-def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loads all documents (twice, the second time without effect), deletes those labelled toxic, revises those labelled of low quality to their first line, and loads what is left by a second tokenizer version."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    text = F.coalesce("text", F.lit(""))
+def kept_totals(docs: DataFrame, labels: DataFrame, count: Callable[[DataFrame, dict[str, str]], DataFrame], versions: tuple[str, str]) -> DataFrame:
+    """Loads all documents (twice, the second time without effect), deletes those labelled toxic, revises those labelled of low quality to their first line, and loads what is left by a second tokenizer version. count gives the columns version:text and version:line."""
+    spark, (v1, v2), text = docs.sparkSession, versions, F.coalesce(F.col("text").cast("string"), F.lit(""))
     line = F.substring_index(text, "\n", 1)
-    v1, v2 = TOKENIZERS
-    counts, _ = written(
-        docs.select("doc_id", "source", "lang", F.length(text).cast("long").alias("n_chars"), count_tokens(text, v1).alias("n_tokens"), count_tokens(text, v2).alias("marks"), F.length(line).cast("long").alias("line_chars"), count_tokens(line, v1).alias("line_tokens")),
-        "counts",
-    )
+    measured = docs.select("doc_id", "source", "lang", F.length(text).cast("long").alias("n_chars"), F.length(line).cast("long").alias("line_chars"), text.alias("whole"), line.alias("first"))
+    counts, counts_at = written(count(measured, {"text": "whole", "line": "first"}), "counts")
     toxic, low = (labels.where(x).select("doc_id").distinct() for x in ("toxic = 1", "quality = 0"))
     kept = counts.join(toxic, "doc_id", "left_anti")
     revised = kept.join(low, "doc_id", "left_semi")
     ledger = Ledger(spark, new_path(spark, "ledger"))
-    ledger.commit("load-1", signed(counts, v1, 1))
-    ledger.commit("load-1", signed(counts, v1, 1))
-    ledger.commit("toxic-2", signed(counts.join(toxic, "doc_id", "left_semi"), v1, -1))
+    ledger.commit("load-1", signed(counts, v1, 1, f"{v1}:text"))
+    ledger.commit("load-1", signed(counts, v1, 1, f"{v1}:text"))
+    ledger.commit("toxic-2", signed(counts.join(toxic, "doc_id", "left_semi"), v1, -1, f"{v1}:text"))
     ledger.compact()
-    ledger.commit("revise-3", signed(revised, v1, -1).union(signed(revised, v1, 1, "line_tokens", "line_chars")))
-    ledger.commit("load-4", signed(kept, v2, 1, "marks"))
-    ledger.commit("toxic-2", signed(counts.join(toxic, "doc_id", "left_semi"), v1, -1))
+    ledger.commit("revise-3", signed(revised, v1, -1, f"{v1}:text").union(signed(revised, v1, 1, f"{v1}:line", "line_chars")))
+    ledger.commit("load-4", signed(kept, v2, 1, f"{v2}:text"))
+    ledger.commit("toxic-2", signed(counts.join(toxic, "doc_id", "left_semi"), v1, -1, f"{v1}:text"))
+    delete(spark, counts_at)
     return with_subtotals(ledger.totals())
 
 
-OP9_SQL = r"""
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The totals of documents by two public vocabularies, after deletes and revisions by labels."""
+    import public_tokenizers
+
+    ranks = {v: public_tokenizers.path(f) for v, f in RANKS.items()}
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return kept_totals(docs, labels, lambda d, columns: counted(d, columns, ranks), tuple(RANKS))
+
+
+#: The same of PATTERNS, whose counts SQL can give.
+PATTERNS_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, lang, coalesce(text, '') AS text, split_part(coalesce(text, ''), chr(10), 1) AS line FROM documents
 ), c AS (

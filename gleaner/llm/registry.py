@@ -20,4 +20,4 @@ QUERIES = {
         pieces.op13_sentencepiece_roundtrip,
     )
 }
-ORACLE_SQL = {"op9_token_counts": ledger.OP9_SQL, "op11_centroid_clustering": centroids.OP11_SQL, "op12_vector_codes": codebooks.OP12_SQL}
+ORACLE_SQL = {"op11_centroid_clustering": centroids.OP11_SQL, "op12_vector_codes": codebooks.OP12_SQL}

@@ -268,7 +268,59 @@ def test_phrase_fingerprints(spark, docs):
 
 
 def test_token_ledger(spark):
-    assert differences(spark, ledger.op9_token_counts, ledger.OP9_SQL, SF) == ""
+    query = lambda s, sf: ledger.kept_totals(s.read.parquet(f"{sf}/documents.parquet"), s.read.parquet(f"{sf}/labels.parquet"), lambda d, c: ledger.counted_by_patterns(d, c, ledger.PATTERNS), tuple(ledger.PATTERNS))
+    assert differences(spark, query, ledger.PATTERNS_SQL, SF) == ""
+
+
+def test_token_counts_of_public_vocabularies(spark):
+    docs, labels = (pd.read_parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    toxic, low = set(labels[labels.toxic == 1].doc_id), set(labels[labels.quality == 0].doc_id)
+    count = {v: packing.token_ids(public_tokenizers.path(f)) for v, f in ledger.RANKS.items()}
+    want: dict[tuple, list] = {}
+    for d in docs.itertuples():
+        for v, encode in count.items():
+            first = v == "byte-bpe-50k"
+            if first or d.doc_id not in toxic:
+                text = d.text.split("\n")[0] if first and d.doc_id in low else d.text
+                own = want.setdefault((d.source, d.lang, v), [0, 0, 0])
+                if d.doc_id not in toxic:
+                    own[:] = [own[0] + 1, own[1] + len(encode(text)), own[2] + len(text)]
+    got = {(r.source, r.lang, r.tokenizer): [r.n_docs, r.n_tokens, r.n_chars] for r in ledger.op9_token_counts(spark, SF).where("level = 0").collect()}
+    assert got == want and len(ids_of(docs.text[0])) == len(count["byte-bpe-50k"](docs.text[0]))
+
+
+def test_ledger_of_odd_rows(spark, odd, empty):
+    labels = spark.createDataFrame([(1, 0, 1), (3, 1, 0), (3, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    run = lambda d: ledger.kept_totals(d, labels, lambda x, c: ledger.counted_by_patterns(x, c, ledger.PATTERNS), tuple(ledger.PATTERNS))
+    assert run(empty).where("level = 0").count() == 0
+    got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in run(odd).where("level = 0").collect()}
+    assert got["x", None, "words-v1"][0] == 1 and got["y", None, "marks-v2"] == (1, 0) and got[None, "de", "words-v1"] == (1, 4)
+
+
+def test_ledger_survives_cuts_and_repeats(spark, tmp_path):
+    book, rows = ledger.Ledger(spark, f"file://{tmp_path}/l"), spark.createDataFrame([(None, "en", 5, 9), ("s", None, 2, 3)], "source string, lang string, n_tokens long, n_chars long")
+    assert book.totals().count() == 0 and book.commit("a", ledger.signed(rows, "t", 1)) and not book.commit("a", ledger.signed(rows, "t", 1))
+    (tmp_path / "l/batches/b").mkdir()  # cut off before its marker
+    (tmp_path / "l/batches/b/part-0.parquet").write_bytes(b"broken")
+    assert {r.source: (r.n_docs, r.n_tokens) for r in book.totals().collect()} == {None: (1, 5), "s": (1, 2)}
+    assert book.commit("b", ledger.signed(rows.where("source = 's'"), "t", -1))
+    book.compact()
+    (tmp_path / "l/snapshots/000000001/totals").mkdir(parents=True)  # a snapshot that was cut off doesn't count
+    assert not book.commit("a", ledger.signed(rows, "t", 1)) and book.commit("c", ledger.signed(rows, "t", 1))
+    assert {r.source: (r.n_docs, r.n_tokens, r.n_chars) for r in book.totals().collect()} == {None: (2, 10, 18), "s": (1, 2, 3)}
+
+
+def test_scores_do_not_depend_on_partitions(spark, docs):
+    some = spark.createDataFrame(docs[["doc_id", "text"]][:150].values.tolist() + [[7, "again and again"]] * 5, "doc_id long, text string")
+    each = [sorted(map(tuple, lm.score(d, RANKS).select("doc_id", "score", "base_score").collect())) for d in (some.repartition(2), some.repartition(7, "text"), some.orderBy("text").coalesce(1))]
+    assert all(np.allclose([r[1:] for r in each[0]], [r[1:] for r in other], rtol=1e-6) and [r[0] for r in other] == [r[0] for r in each[0]] for other in each[1:])
+
+
+def test_shards_hold_every_flow_in_one_order(spark):
+    flows = [bytes([k % 256, k // 256]) * (1 + k % 5) for k in range(300)] + [b"aa"] * 200
+    cut = [lm.in_shards(spark.createDataFrame([(f,) for f in flows], "ids binary").repartition(n), 100)[0] for n in (2, 5)]
+    a, b = ([(r.shard, bytes(r.ids)) for r in c.orderBy("at").collect()] for c in cut)
+    assert a == b and sorted(x for _, x in a) == sorted(flows) and len({s for s, _ in a}) > 5
 
 
 def test_lm_base_and_model(spark, docs):
