@@ -5,7 +5,7 @@ A result has status, collection, filepath, warnings (array of code, message, ste
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import first_nonempty, trimmed
@@ -32,16 +32,21 @@ def warning_codes(warnings: Column, comment_code: Column) -> Column:
     return F.filter(F.array_distinct(F.concat(F.array(trimmed(comment_code)), codes)), lambda c: c != "")
 
 
+def by_size() -> WindowSpec:
+    """The order of groups, of which there is one row each."""
+    return Window.orderBy(F.when(F.col("group") == FAILURE, 0).otherwise(1), F.desc("n_items"), F.collate("group", "zh"))
+
+
 def groups(results: DataFrame) -> DataFrame:
     """group, n_items, n_links, n_warned, place: failures first, then large groups, then by name. One row a group."""
     g = results.groupBy("group").agg(F.count("*").alias("n_items"), F.countDistinct("link").alias("n_links"), F.count_if(F.size("warnings") > 0).alias("n_warned"))
-    order = Window.orderBy(F.when(F.col("group") == FAILURE, 0).otherwise(1), F.desc("n_items"), F.collate("group", "zh"))  # one row a group
-    return g.withColumn("place", F.row_number().over(order))
+    return g.withColumn("place", F.row_number().over(by_size()))
 
 
 def in_order(results: DataFrame) -> DataFrame:
     """The results with the place of their group, sorted by it, then (but for failures) by warnings, then by label as Chinese readers expect."""
-    placed = results.join(F.broadcast(groups(results).select("group", F.col("place").alias("group_place"))), "group")  # collections, not results
+    sizes = results.groupBy("group").agg(F.count("*").alias("n_items"))
+    placed = results.join(sizes.withColumn("group_place", F.row_number().over(by_size())).drop("n_items"), "group")
     weight = F.when(F.col("group") == FAILURE, 0).otherwise(-F.size("warnings"))
     return placed.withColumn("weight", weight).orderBy("group_place", "weight", F.collate("label", "zh"))
 

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from gleaner.operators import status
 from gleaner.plans import cases, fields, rules, runs, shapes, stores  # noqa: F401
-from gleaner.plans.queries import KEYWORDS, MESSAGES, NAMED
+from gleaner.plans.queries import NAMED
 
 ITEMS = "(SELECT event_id, ts, epoch(ts) AS timestamp, 'https://inbox.example.com/' || user_id || '/' || event_type AS url, event_type FROM events)"
 FIRST = "SELECT url, event_id, ts, event_type FROM {rows} QUALIFY row_number() OVER (PARTITION BY url ORDER BY ts, event_id) = 1"
@@ -18,22 +17,13 @@ def sql_list(values: list[str]) -> str:
     return ", ".join("'" + v + "'" for v in values)
 
 
-def category_scores() -> str:
-    return ", ".join(" + ".join(f"(CASE WHEN contains(lower(text), '{w}') THEN 1 ELSE 0 END)" for w in words) + f" AS s{k}" for k, words in enumerate(KEYWORDS.values()))
-
-
-def category_case() -> str:
-    n = range(len(KEYWORDS))
-    top = f"greatest({', '.join(f's{k}' for k in n)})"
-    return f"CASE WHEN {top} = 0 THEN 'unclassified' " + " ".join(f"WHEN s{k} = {top} THEN '{c}'" for k, c in enumerate(KEYWORDS)) + " END"
-
-
 VERIFY = """
 SELECT b.item_id, count(d.doc_id) AS match_count, coalesce(bool_or(d.source = 'src0'), false) AS has_total, coalesce(bool_or(d.source <> 'src0'), false) AS has_classified, min(d.doc_id) AS first_doc
 FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id"""
 SHOTS = """(SELECT user_id, event_id, CAST(floor(epoch(ts)) AS DOUBLE) AS secs, value, first, last FROM events JOIN (SELECT user_id, CAST(floor(epoch(min(ts))) AS DOUBLE) AS first, CAST(floor(epoch(max(ts))) AS DOUBLE) AS last FROM events GROUP BY 1) USING (user_id) WHERE event_type = 'view')"""
 SPAN = "(SELECT user_id, event_id AS id, ts AS a, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS z FROM events WHERE event_type = '{kind}' QUALIFY z IS NOT NULL)"
 COMMENTS = r"""(SELECT conv_id, turn, conv_id || '-' || turn AS id, role, role = 'assistant' AS by_author, CASE WHEN role = 'user' THEN 0 ELSE 1 END AS level, trim(regexp_replace(text, '\s+', ' ', 'g')) AS content FROM conversations)"""
+#: Stock phrases, and what makes a comment worth keeping.
 STOCK = "(?i)^(蹲|dd|mark|来了|确实|好看|不错|厉害|学习了|收藏了|收到)$"
 SIGNAL = r"(?i)https?://|www\.|\.com\b|工具|网站|链接|网址|提示词|模型|Gemini|gpt|Claude|Vibe|Dribbble|Excalidraw|复刻|截图|配色|字体|图标|资源站|经验|踩坑|纠错|不是|打错|应该|可以用"
 USEFUL = f"""(
@@ -44,21 +34,17 @@ USEFUL = f"""(
         WHERE content <> '' AND (by_author OR NOT (regexp_matches(content, '{STOCK}') OR regexp_matches(content, '^[赞好棒强牛]+$') OR length(content) <= 2)))) WHERE good OR n = 0)
   WHERE place <= CASE WHEN n = 0 THEN 20 ELSE 40 END)"""
 
-FAILURES = f"(SELECT event_id, ([{sql_list(MESSAGES)}])[event_id % {len(MESSAGES)} + 1] AS message, CASE WHEN value > 90 THEN 'captcha' END AS reason, CASE WHEN value < 5 THEN 'comment_incomplete' END AS warning FROM events)"
-
-
-def stage_case() -> str:
-    own = {1: " OR coalesce(reason = 'captcha', false)", 5: " OR coalesce(warning = 'comment_incomplete', false)"}
-    return "CASE " + " ".join(f"WHEN regexp_matches(message, '{p}'){own.get(k, '')} THEN '{s}'" for k, (s, p) in enumerate(status.STAGES)) + " ELSE 'unknown' END"
-
-
-def error_case() -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(message, '{p}') THEN '{c}'" for c, p, _ in status.ERRORS) + " ELSE 'unknown' END"
-
+#: The messages of failures (fixed values) in their own order.
+FAILURES = "(SELECT event_id, (['connect ECONNREFUSED 127.0.0.1:9222', '请输入验证码', 'code 300011', 'login required', 'error_code=300031 x', 'comment list incomplete', 'comment fetch failed', 'vision ocr broke', 'Summary step FAILED', 'No xiaohongshu tab found', 'something else', ''])[event_id % 12 + 1] AS message, CASE WHEN value > 90 THEN 'captcha' END AS reason, CASE WHEN value < 5 THEN 'comment_incomplete' END AS warning FROM events)"
+STAGE = """CASE WHEN regexp_matches(message, '(?i)9222|econnrefused') THEN 'browser_connection' WHEN reason = 'captcha' OR contains(message, '验证码') THEN 'login_gate' WHEN regexp_matches(message, '300011|406|(?i)rate') THEN 'comment_permission'
+  WHEN regexp_matches(message, '(?i)login required|sign in') THEN 'login_gate' WHEN regexp_matches(message, '(?i)300031|no xiaohongshu tab found') THEN 'detail_page' WHEN warning = 'comment_incomplete' OR regexp_matches(message, '(?i)comment.*incomplete') THEN 'comment_loading' ELSE 'unknown' END"""
+ERROR = """CASE WHEN contains(message, 'ECONNREFUSED') THEN 'chrome_unavailable' WHEN message = 'login required' THEN 'login_required' WHEN contains(message, 'tab found') THEN 'no_xiaohongshu_tab' WHEN contains(message, '300011') THEN 'account_risk_control' WHEN contains(message, '300031') THEN 'note_unavailable'
+  WHEN regexp_matches(message, 'comment.*fail') THEN 'comment_fetch_failed' WHEN starts_with(message, 'vision ocr') THEN 'vision_ocr_failed' WHEN starts_with(message, 'Summary') THEN 'ai_failed' ELSE 'unknown' END"""
+SCORES = "(CASE WHEN contains(t, 'the') THEN 1 ELSE 0 END) + (CASE WHEN contains(t, 'that') THEN 1 ELSE 0 END) + (CASE WHEN contains(t, 'with') THEN 1 ELSE 0 END) + (CASE WHEN contains(t, 'was') THEN 1 ELSE 0 END) + (CASE WHEN contains(t, 'thing') THEN 1 ELSE 0 END) AS english, contains(t, 'und')::INT + contains(t, 'nicht')::INT + contains(t, 'keit')::INT + contains(t, 'sch')::INT AS german, contains(t, 'eau')::INT + contains(t, 'ment')::INT + contains(t, 'que')::INT + contains(t, 'avec')::INT AS french, contains(t, 'cion')::INT + contains(t, 'ado')::INT + contains(t, 'para')::INT + contains(t, 'los')::INT AS spanish"
 
 SQL = {
-    "failure_stages": f"SELECT {stage_case()} AS stage, count(*) AS n, min(event_id) AS first_event FROM {FAILURES} GROUP BY 1",
-    "task_errors": f"SELECT code, code = 'chrome_unavailable' AS retriable, code IN ({sql_list(status.PARTIAL)}) AS allow_write, code IN ({sql_list(status.PARTIAL)}) AS allow_fallback, count(*) AS n, min(event_id) AS first_event FROM (SELECT event_id, {error_case()} AS code FROM {FAILURES}) GROUP BY 1",
+    "failure_stages": f"SELECT {STAGE} AS stage, count(*) AS n, min(event_id) AS first_event FROM {FAILURES} GROUP BY 1",
+    "task_errors": f"SELECT code, code = 'chrome_unavailable' AS retriable, code IN ('comment_fetch_failed', 'vision_ocr_failed', 'ai_failed') AS allow_write, code IN ('comment_fetch_failed', 'vision_ocr_failed', 'ai_failed') AS allow_fallback, count(*) AS n, min(event_id) AS first_event FROM (SELECT event_id, {ERROR} AS code FROM {FAILURES}) GROUP BY ALL",
     "recent_candidates": f"SELECT url, arg_min(event_id, (ts, event_id)) AS event_id FROM (SELECT * FROM {ITEMS} ORDER BY ts DESC, event_id DESC LIMIT 500) WHERE event_type IN ('purchase', 'click') GROUP BY url",
     "version_places": """
 WITH v AS (SELECT o_custkey, max(o_orderkey) AS o_orderkey, base, k, base || CASE WHEN k = 0 THEN '' ELSE '-' || k END AS version
@@ -98,7 +84,7 @@ SELECT page_id, CASE
     "html_article": r"""SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '(?is)<meta[^>]+property="og:title"[^>]+content="([^"]*)"', 1)), ''), nullif(trim(regexp_extract(html, '(?is)<meta[^>]+name="title"[^>]+content="([^"]*)"', 1)), ''), nullif(trim(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)), ''), nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '')) AS title, CAST(len(regexp_extract_all(html, '(?i)<a href=')) AS INTEGER) AS n_links FROM pages""",
     "library_verify": VERIFY,
     "verify_summary": f"SELECT count(*) AS candidates, count(*) FILTER (has_total AND has_classified) AS ok_both, count(*) FILTER (NOT has_total) AS missing_total, count(*) FILTER (NOT has_classified) AS missing_classified FROM ({VERIFY})",
-    "classify_keywords": f"SELECT doc_id, {category_case()} AS category FROM (SELECT doc_id, {category_scores()} FROM documents)",
+    "classify_keywords": f"SELECT doc_id, CASE WHEN greatest(english, german, french, spanish) = 0 THEN 'unclassified' WHEN english >= greatest(german, french, spanish) THEN 'english' WHEN german >= greatest(french, spanish) THEN 'german' WHEN french >= spanish THEN 'french' ELSE 'spanish' END AS category FROM (SELECT doc_id, {SCORES} FROM (SELECT doc_id, lower(text) AS t FROM documents))",
     "clean_text": r"""
 SELECT doc_id, md5(trim(regexp_replace(text, '[\s\x{FEFF}]+', ' ', 'g'))) AS squeezed_md5, substr(trim(regexp_replace(regexp_replace(split_part(text, chr(10), 1), '[\\/:*?"<>|]', '_', 'g'), '\s+', ' ', 'g')), 1, 40) AS name,
   regexp_matches(text, '\d{4}-\d{2}-\d{2}') OR regexp_matches(text, '\d{2}-\d{2}') AS has_date, CAST(len(regexp_extract_all(text, 'https?://[^\s]+')) AS INTEGER) AS n_urls FROM documents""",

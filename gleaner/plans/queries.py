@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +9,7 @@ from gleaner.functions import dates, text, urls
 from gleaner.operators import comments, folds, joins, order, reports, selection, status, windows
 from gleaner.plans import cases, fields, rules, runs, shapes, stores  # noqa: F401
 from gleaner.streaming import inbox
+from gleaner.tables import new_path
 
 KEYWORDS = {"english": ["the", "that", "with", "was", "thing"], "german": ["und", "nicht", "keit", "sch"], "french": ["eau", "ment", "que", "avec"], "spanish": ["cion", "ado", "para", "los"]}
 HOUR = 3600.0
@@ -248,8 +246,7 @@ def quality_report(spark, sf_dir):
 
 def stream_dedup(spark, sf_dir):
     """inbox_dedup by a stream that takes in all there is and stores new links alone."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='gleaner-')}"  # the last in tests alone
-    at = f"{shared.rstrip('/')}/inbox-{uuid.uuid4().hex}"
+    at = new_path(spark, "inbox")
     schema = table(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = source.select("event_id", "ts", F.concat(F.lit("https://inbox.example.com/"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_type")).alias("url"))

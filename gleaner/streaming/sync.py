@@ -49,7 +49,7 @@ def pull(pushes: DataFrame, max_pages: int, max_items: int = 0, url: str = "url"
     pages = pushes.groupBy("page").agg(F.sum(is_item).alias("_items"))
     pages = pages.withColumns({"_before": F.coalesce(F.sum("_items").over(in_order), F.lit(0)), "page_no": F.row_number().over(Window.orderBy("page"))})
     pages = pages.withColumns({"n_pages": F.count("*").over(Window.partitionBy()), "n_items": F.sum("_items").over(Window.partitionBy())})
-    seen = pushes.join(F.broadcast(pages.where(F.col("page_no") <= max_pages)), "page")  # at most max_pages rows
+    seen = pushes.join(pages.where(F.col("page_no") <= max_pages), "page")
     here = F.sum(is_item).over(Window.partitionBy("page").orderBy("place"))
     seen = seen.withColumn("_upto", F.col("_before") + here)
     if max_items:
