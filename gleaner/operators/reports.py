@@ -53,3 +53,26 @@ def quality(df: DataFrame, group: str, item: Column, measure: Column, least: flo
     out = items.groupBy(group).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_distinct"), F.count_if(F.col("n") > 1).alias("n_repeated"), F.bround(F.sum("s") / F.sum("n"), 2).alias("average"), F.min("a").alias("least"), F.max("z").alias("greatest"))
     warnings = F.array_compact(F.array(F.when(F.col("n_repeated") > 0, "duplicate-items"), F.when(F.col("average") < least, "items-too-short")))
     return out.withColumn("warnings", F.array_join(warnings, ","))
+
+
+def archives(comments: DataFrame, note: str, comment: str) -> DataFrame:
+    """(note, total, archive): a note's comments (a struct column that begins with their order) as the JSON of one file. A file holds all comments of its note, as its readers want."""
+    rows = comments.groupBy(note).agg(F.array_sort(F.collect_list(comment)).alias("comments"), F.count("*").alias("total"))
+    return rows.select(note, "total", F.to_json(F.struct(F.col(note).alias("noteId"), F.col("total").alias("totalComments"), "comments")).alias("archive"))
+
+
+def batch_manifest(results: DataFrame, name: Column, failed: Column) -> DataFrame:
+    """One row: the batch's name, and how many of its results are there, done and failed."""
+    return results.agg(F.count("*").alias("total"), F.count_if(~failed).alias("done"), F.count_if(failed).alias("failed")).select(name.alias("name"), "total", "done", "failed")
+
+
+def failure_lines(results: DataFrame, failed: Column, order: list[str], line: Column) -> DataFrame:
+    """The lines of a list of failures, with their order, to be written as text."""
+    return results.where(failed).select(*order, line.alias("line"))
+
+
+def favorites_report(results: DataFrame, ok: str, message: str) -> DataFrame:
+    """(code, message, n, total, successes): each different warning with its count, beside the counts of the whole."""
+    counts = results.agg(F.count("*").alias("total"), F.count_if(F.col(ok)).alias("successes"))
+    warned = results.select(F.trim(F.coalesce(F.col(message), F.lit(""))).alias("message")).where("message <> ''").groupBy("message").agg(F.count("*").alias("n"))
+    return warned.select(F.lit("favorites_warning").alias("code"), "message", "n").crossJoin(counts)  # one row of counts
