@@ -26,8 +26,8 @@ Fold = Callable[[tuple | None, tuple], tuple[tuple, str]]
 def folded(df: DataFrame, key: str, order: list[str], state: list[str], fold: Fold, rows: int = 20_000) -> tuple[DataFrame, int]:
     """df with a column `verdict`, and how many rounds it took. Rows without a key are left out; nulls in state columns are None; rows that tie in key and order come in any order."""
     spark, types, columns = df.sparkSession, dict(df.dtypes), df.columns
-    table, path = numbered(df.where(F.col(key).isNotNull()), [key, *order])
-    dealt, dealt_at = written(table.withColumn("_block", F.floor(F.col("at") / rows).cast("long")), "blocks")
+    table, path = numbered(df.where(F.col(key).isNotNull()), [key, *order], "_row")
+    dealt, dealt_at = written(table.withColumn("_block", F.floor(F.col("_row") / rows).cast("long")), "blocks")
     delete(spark, path)
     ends_schema = f"_block long, _key {types[key]}, " + ", ".join(f"`_{c}` {types[c]}" for c in state)
     names = ["_block", "_key", *(f"_{c}" for c in state)]
@@ -47,11 +47,11 @@ def folded(df: DataFrame, key: str, order: list[str], state: list[str], fold: Fo
     def end(group: pa.Table, incoming: pa.Table) -> pa.Table:
         if not group.num_rows:  # the state after the last block
             return arrow_ends.empty_table()
-        last = [group.column("_block")[0].as_py(), *go(group.sort_by("at"), incoming)[1]]
+        last = [group.column("_block")[0].as_py(), *go(group.sort_by("_row"), incoming)[1]]
         return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(last, arrow_ends, strict=True)], schema=arrow_ends)
 
     def judge(group: pa.Table, incoming: pa.Table) -> pa.Table:
-        group = group.sort_by("at")
+        group = group.sort_by("_row")
         verdicts = go(group, incoming)[0] if group.num_rows else []
         return group.select(columns).append_column("verdict", pa.array(verdicts, pa.string()))
 

@@ -1,67 +1,44 @@
-"""Greedy merges of neighbouring rows. The state of such a fold ends at certain rows; the sequence is cut there first, so only short runs are folded one row after another."""
+"""Greedy merges of neighbouring rows: which rows belong together is a fold over blocks (blocks.py), so a key of any size is spread; what they come to is an aggregate."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.operators.blocks import folded
+
 SENTENCE_END = r"[。！？.!?]$"
 
 
 def merge_segments(df: DataFrame, key: str, order: str, text: Column, start: str, end: str, chars: int = 80, most: int = 8) -> DataFrame:
-    """(key, start, end, text, n): segments are joined until they have so many characters, so many are together, or one ends a sentence. Empty ones are left out."""
-    rows = df.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(start).alias("a"), F.col(end).alias("z"), text.alias("t")).where("t <> ''")
-    ended = F.sum(F.col("t").rlike(SENTENCE_END).cast("long")).over(Window.partitionBy("k").orderBy("o").rowsBetween(Window.unboundedPreceding, -1))
-    runs = rows.withColumn("run", F.coalesce(ended, F.lit(0))).groupBy("k", "run").agg(F.sort_array(F.collect_list(F.struct("o", "a", "z", "t"))).alias("rows"))
-
-    def step(acc: Column, x: Column) -> Column:
-        n, length = acc["n"] + 1, acc["length"] + F.length(x["t"])
-        full = (length >= chars) | (n >= most)
-        group = F.get(acc["groups"], F.size(acc["groups"]) - 1)
-        joined = F.struct(F.coalesce(group["a"], x["a"]).alias("a"), x["z"].alias("z"), F.concat_ws(" ", group["t"], x["t"]).alias("t"), n.alias("n"))
-        new = F.struct(x["a"].alias("a"), x["z"].alias("z"), x["t"].alias("t"), F.lit(1).cast("long").alias("n"))
-        groups = F.when(acc["n"] > 0, F.concat(F.slice(acc["groups"], 1, F.size(acc["groups"]) - 1), F.array(joined))).otherwise(F.concat(acc["groups"], F.array(new)))
-        zero = F.lit(0).cast("long")
-        return F.struct(F.when(full, zero).otherwise(n).alias("n"), F.when(full, zero).otherwise(length).alias("length"), groups.alias("groups"))
+    """(key, start, end, text, n): segments are joined until they have so many characters, so many are together, or one ends a sentence. Empty ones, and those without a key, are left out."""
+    rows = df.select(F.col(key).alias("k"), F.col(order).cast("long").alias("o"), F.col(start).alias("a"), F.col(end).alias("z"), text.alias("t")).where("t <> ''")
+    rows = rows.withColumns({"first": F.col("o"), "chars": F.length("t").cast("long"), "n": F.lit(1).cast("long"), "ends": F.col("t").rlike(SENTENCE_END)})
 
-    a, z = (dict(df.dtypes)[c] for c in (start, end))
-    zero = F.lit(0).cast("long")
-    begin = F.struct(zero.alias("n"), zero.alias("length"), F.array().cast(f"array<struct<a:{a},z:{z},t:string,n:bigint>>").alias("groups"))
-    folded = runs.select("k", F.explode(F.aggregate("rows", begin, step, lambda acc: acc["groups"])).alias("g"))
-    return folded.select(F.col("k").alias(key), F.col("g.a").alias(start), F.col("g.z").alias(end), F.col("g.t").alias("text"), F.col("g.n").alias("n"))
+    def join(group, row):
+        if group is None or group[1] >= chars or group[2] >= most or group[3]:
+            return row, str(row[0])
+        return (group[0], group[1] + row[1], group[2] + row[2], row[3]), str(group[0])
 
-
-CARD = "chapter long, title string, path string, at double, window_start double, window_end double, score double, n_blocks long"
+    together, _ = folded(rows, "k", ["o"], ["first", "chars", "n", "ends"], join)
+    parts = F.array_sort(F.collect_list(F.struct("o", "t")))  # `most` at the most
+    merged = together.groupBy("k", "verdict").agg(F.min_by("a", "o").alias(start), F.max_by("z", "o").alias(end), F.array_join(F.transform(parts, lambda p: p["t"]), " ").alias("text"), F.count("*").alias("n"))
+    return merged.select(F.col("k").alias(key), start, end, "text", "n")
 
 
 def scene_cards(blocks: DataFrame, gap: float) -> DataFrame:
-    """Cards from blocks (chapter, id, at, title, path, window_start, window_end, score): a block joins the card before it in its chapter if they have one path, or one title and at most `gap` seconds between the card's time and the block's. A card takes title, path and time of a block whose score is at least its own."""
-    w = Window.partitionBy("chapter").orderBy("at", "id")
-    apart = (F.lag("title").over(w) != F.col("title")) & (F.lag("path").over(w) != F.col("path"))
-    first = F.coalesce(apart, F.lit(True))
-    marked = blocks.withColumn("_new", (first & (F.row_number().over(w) > 1)).cast("long")).withColumn("_run", F.sum("_new").over(w))
-    names = ["at", "id", "title", "path", "window_start", "window_end", "score"]
-    runs = marked.groupBy("chapter", "_run").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("rows"))
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cards = []
-            for chapter, rows in zip(b.column("chapter").to_pylist(), b.column("rows").to_pylist(), strict=True):
-                card = None
-                for r in rows:
-                    if card and (card["path"] == r["path"] or card["title"] == r["title"] and r["at"] - card["at"] <= gap):
-                        card["window_start"], card["window_end"] = min(card["window_start"], r["window_start"]), max(card["window_end"], r["window_end"])
-                        card["n_blocks"] += 1
-                        if r["score"] >= card["score"]:
-                            card |= {k: r[k] for k in ("title", "path", "at")}
-                        card["score"] = max(card["score"], r["score"])
-                    else:
-                        card = {"chapter": chapter, "n_blocks": 1} | {k: r[k] for k in names if k != "id"}
-                        cards.append(card)
-            yield pa.RecordBatch.from_pylist(cards, schema=schema)
-
-    schema = pa.schema([("chapter", pa.int64()), ("title", pa.string()), ("path", pa.string()), ("at", pa.float64()), ("window_start", pa.float64()), ("window_end", pa.float64()), ("score", pa.float64()), ("n_blocks", pa.int64())])
-    return runs.select("chapter", "rows").mapInArrow(fold, CARD)
+    """Cards from blocks (chapter, id, at, title, path, window_start, window_end, score): a block joins the card before it in its chapter if they have one path, or one title and at most `gap` seconds
+    between the card's time and the block's. A card takes title, path and time of its best block (the later of equals), the widest window, and counts its blocks."""
+    rows = blocks.withColumns({"_first": F.col("id"), "_at": F.col("at")})
+
+    def join(card, row):
+        title, path, at, score, _ = row
+        if card is None or not (card[1] == path or (card[0] == title and at - card[2] <= gap)):
+            return row, str(row[4])
+        head = (title, path, at, score) if score >= card[3] else card[:4]
+        return (*head, card[4]), str(card[4])
+
+    together, _ = folded(rows, "chapter", ["at", "id"], ["title", "path", "_at", "score", "_first"], join)
+    best = F.max_by(F.struct("title", "path", "at"), F.struct("score", "at", "id")).alias("head")
+    cards = together.groupBy("chapter", "verdict").agg(best, F.min("window_start").alias("window_start"), F.max("window_end").alias("window_end"), F.max("score").alias("score"), F.count("*").alias("n_blocks"))
+    return cards.select("chapter", "head.*", "window_start", "window_end", "score", "n_blocks")

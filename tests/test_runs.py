@@ -139,3 +139,23 @@ def test_stream_stopped_between_pages_loses_and_repeats_none(spark, tmp_path):
     pushes.store_pages(more.withColumn("type", F.lit("link")), f"{at}/pages")
     runs.pull(spark, f"{at}/pages", at, 0.0, 50)  # after the mark only what is new comes
     assert inbox.stored(spark, f"{at}/items", "page long, place int, url string").count() == len(got) + 1
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_merges_equal_a_loop_over_any_cut(spark, seed, monkeypatch):
+    from gleaner.operators import folds
+
+    real = blocks.folded
+    monkeypatch.setattr(folds, "folded", lambda *a: real(*a, rows=9))
+    rng = random.Random(seed)
+    rows = [(rng.choice([1, 1, 2]), k, rng.choice(["ab", "abcdef", "end.", ""]), k * 10, k * 10 + 5) for k in range(70)]
+    want = []
+    for u in (1, 2):
+        group = []
+        for r in [r for r in rows if r[0] == u and r[2]] + [None]:
+            if group and (r is None or sum(len(x[2]) for x in group) >= 12 or len(group) >= 4 or group[-1][2].endswith(".")):
+                want.append((u, group[0][3], group[-1][4], " ".join(x[2] for x in group), len(group)))
+                group = []
+            group.append(r)
+    got = folds.merge_segments(spark.createDataFrame(rows, "u long, k long, t string, a long, z long"), "u", "k", F.col("t"), "a", "z", 12, 4)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
