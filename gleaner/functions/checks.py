@@ -61,19 +61,27 @@ def is_verified_host(url: Column | str) -> Column:
     return F.exists(F.array(*map(F.lit, VERIFIED_HOSTS)), lambda host: F.contains(text_of(url), host))
 
 
-def _control(label: Column | str, most: int, wanted: str, refused: str) -> Column:
+#: The longest labels of controls for more comments and for replies, what they say, and what they must not say.
+MORE_LENGTH, MORE, NOT_MORE = 12, r"(?i)更多|展开|查看|more|view", ["回复", "登录", "展开全文|阅读全文|收起"]
+REPLIES_LENGTH, REPLIES, NOT_REPLIES, ABOUT_REPLIES = 18, r"(?i)展开|查看|全部|更多|more|view", ["登录", "展开全文|阅读全文|收起"], "回复"
+
+
+def _control(label: Column | str, most: int, wanted: str, refused: list[str]) -> Column:
     value = squeezed(label)
-    return (value != "") & (F.length(value) <= most) & ~value.rlike(refused) & value.rlike(wanted)
+    said = (value != "") & (F.length(value) <= most) & value.rlike(wanted)
+    for words in refused:
+        said = said & ~value.rlike(words)
+    return said
 
 
 def loads_more(label: Column | str) -> Column:
     """Whether a control's label promises more comments."""
-    return _control(label, 12, "(?i)更多|展开|查看|more|view", "回复|登录|展开全文|阅读全文|收起")
+    return _control(label, MORE_LENGTH, MORE, NOT_MORE)
 
 
 def expands_replies(label: Column | str) -> Column:
     """Whether a control's label promises replies to a comment."""
-    return F.contains(text_of(label), F.lit("回复")) & _control(label, 18, "(?i)展开|查看|全部|更多|more|view", "登录|展开全文|阅读全文|收起")
+    return F.contains(text_of(label), F.lit(ABOUT_REPLIES)) & _control(label, REPLIES_LENGTH, REPLIES, NOT_REPLIES)
 
 
 def has_author_tag(tags: Column) -> Column:

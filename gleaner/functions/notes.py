@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,13 @@ CAPTCHA, RISK = r"(?i)验证码|captcha", r"(?i)300011|406|账号异常|风控|
 #: What recognisers read wrongly, in the order of mending.
 OCR_RULES = [("收藏天", "收藏夹"), ("收蔵", "收藏"), ("小红书收矛夹", "小红书收藏夹"), ("小红书收藏天", "小红书收藏夹"), ("Al", "AI"), ("A1", "AI"), ("寡问一问", "问一问"), ("寡", "的")]
 FILLER, PLAIN = "小红书", "笔记"
+#: What a subtitle loses, in this order.
+SPOKEN = [r"^(?:呃|嗯|额|啊)+", r"(?:呃|嗯|额)(?=[\u4e00-\u9fffA-Za-z0-9])", r"(?<=[\u4e00-\u9fffA-Za-z0-9])(?:呃|嗯|额)(?=\s)", r"(?<=[\u4e00-\u9fffA-Za-z0-9])(?:呃|嗯|额|啊)+$"]
+#: What a collection's title loses, in this order; what its folder's name can't have, and the name without any.
+TITLE_TAILS = [r"\s*[-|｜_·]\s*知乎(?:\s*[-|｜_·].*)?$", r"\s*[-|｜_·]\s*收藏夹$"]
+REFUSED, UNNAMED = r'[\\/:*?"<>|]', "未命名收藏夹"
+#: Signs that recognised text is wrong, as a pattern, and what each share weighs; for the first it is the share that is missing.
+ANOMALIES = {"chinese": (r"[\u4e00-\u9fff]", 0.6), "symbols": (r"[~`!@#$%^&*()_+\-=\[\]{};':\"\\|,.<>/?]", 0.3), "garbled": (r"[�□■]", 0.1)}
 
 
 def comment_warning(explicit: Column | str, message: Column | str, total: Column, collected: Column) -> Column:
@@ -61,9 +70,10 @@ def ocr_mended(text: Column | str) -> Column:
 def ocr_anomaly(text: Column | str) -> Column:
     """0 (nothing odd, or no text) to 1: few Chinese characters, many symbols, broken ones."""
     t = text_of(text)
-    share = lambda pattern: F.regexp_count(t, F.lit(pattern)) / F.length(t)
-    cjk, symbols, garbled = share("[一-鿿]"), share(r"[~`!@#$%^&*()_+\-=\[\]{};':\"\\|,.<>/?]"), share("[�□■]")
-    return F.when(t == "", 0.0).otherwise(F.least(F.lit(1.0), 0.6 * (1 - cjk) + 0.3 * symbols + 0.1 * garbled))
+    share = {kind: F.regexp_count(t, F.lit(pattern)) / F.length(t) for kind, (pattern, _) in ANOMALIES.items()}
+    share["chinese"] = 1 - share["chinese"]
+    score = sum((weight * share[kind] for kind, (_, weight) in ANOMALIES.items()), F.lit(0.0))
+    return F.when(t == "", 0.0).otherwise(F.least(F.lit(1.0), score))
 
 
 def body_of(markdown: Column | str) -> Column:
@@ -73,12 +83,13 @@ def body_of(markdown: Column | str) -> Column:
     return F.when(t.startswith("---"), trimmed(cut)).otherwise(t)
 
 
+def without(text: Column, patterns: list[str]) -> Column:
+    return functools.reduce(lambda t, p: F.regexp_replace(t, p, ""), patterns, text)
+
+
 def spoken_cleaned(text: Column | str) -> Column:
     """A subtitle's text without words that only fill."""
-    word, out = "[一-鿿A-Za-z0-9]", F.trim(text_of(text))
-    for pattern in (r"^(?:呃|嗯|额|啊)+", rf"(?:呃|嗯|额)(?={word})", rf"(?<={word})(?:呃|嗯|额)(?=\s)", rf"(?<={word})(?:呃|嗯|额|啊)+$"):
-        out = F.regexp_replace(out, pattern, "")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    return F.trim(F.regexp_replace(without(F.trim(text_of(text)), SPOKEN), r"\s+", " "))
 
 
 def description_tags(text: Column | str) -> Column:
@@ -105,13 +116,12 @@ def telling_line(logs: Column, message: Column | str) -> Column:
 
 def collection_title(value: Column | str) -> Column:
     """A collection's title without the site's name and its kind after dashes."""
-    t = F.regexp_replace(text_of(value), r"\s+", " ")
-    t = F.regexp_replace(t, r"\s*[-|｜_·]\s*知乎(?:\s*[-|｜_·].*)?$", "")
-    return F.trim(F.regexp_replace(t, r"\s*[-|｜_·]\s*收藏夹$", ""))
+    return F.trim(without(F.regexp_replace(text_of(value), r"\s+", " "), TITLE_TAILS))
 
 
 def folder_title(value: Column | str) -> Column:
-    return first_nonempty(F.regexp_replace(F.regexp_replace(text_of(value), r'[\\/:*?"<>|]', " "), r"\s+", " "), F.lit("未命名收藏夹"))
+    """A title as the name of a folder."""
+    return first_nonempty(F.regexp_replace(F.regexp_replace(text_of(value), REFUSED, " "), r"\s+", " "), F.lit(UNNAMED))
 
 
 def first_date(text: Column | str) -> Column:
