@@ -54,11 +54,7 @@ def sync_modes(spark, sf_dir):
     e = events(spark, sf_dir)
     url = F.when(F.col("event_type") != "error", F.concat(F.lit("https://inbox.example.com/"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_type")))
     rows = e.select("event_id", F.floor(F.col("event_id") / 500).alias("page"), (F.col("event_id") % 500).alias("place"), epoch(F.col("ts")).alias("modified"), url.alias("url"))
-    stored, out = rows.where("event_id % 7 = 0").select("url"), None
-    for mode, since, pages, most in MODES:
-        one = sync.synced(sync.pull(rows.where(F.col("modified") > since), pages, most), stored, mode, since, pages, most)
-        out = one if out is None else out.union(one)
-    return out
+    return sync.synced(rows, rows.where("event_id % 7 = 0").select("url"), spark.createDataFrame(MODES, sync.PULL))
 
 
 # --- results

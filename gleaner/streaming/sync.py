@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import trimmed
-from gleaner.operators.order import new_rows
 
 MODES = ("latest", "all", "bootstrap", "recent", "window")
 
@@ -38,40 +37,41 @@ def window_label(preset: Column, value: Column, unit: Column) -> Column:
     return days.otherwise("")
 
 
-def pull(pushes: DataFrame, max_pages: int, max_items: int = 0, url: str = "url") -> DataFrame:
-    """The pushes (page, place, modified, url or null) that a pull sees, with n_pages and n_items of the whole source before the caps.
+#: A pull: its mode, from which second on, and its most pages and items (0: no cap).
+PULL = "mode string, since double, max_pages long, max_items long"
 
-    Pages come in order until max_pages are fetched. With max_items it ends right after the push that gives the last item. Pages are counted one row each;
-    within a page, which the source bounds, pushes are counted in order.
+
+def pulled(pushes: DataFrame, pulls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pushes (page, place, modified, url or null) that each of some pulls (PULL; a handful, each mode once) sees, and the pages of each (mode, page, page_no, items before it). All pulls go in one pass.
+
+    A pull's pages are those with a push changed after `since`. They come in order until max_pages are fetched; with max_items a pull ends right after the push that gives the last item. Pages are
+    counted one row each; within a page, which the source bounds, pushes are counted in order.
     """
-    is_item = F.col(url).isNotNull().cast("long")
-    in_order = Window.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)  # one row a page
-    pages = pushes.groupBy("page").agg(F.sum(is_item).alias("_items"))
-    pages = pages.withColumns({"_before": F.coalesce(F.sum("_items").over(in_order), F.lit(0)), "page_no": F.row_number().over(Window.orderBy("page"))})
-    pages = pages.withColumns({"n_pages": F.count("*").over(Window.partitionBy()), "n_items": F.sum("_items").over(Window.partitionBy())})
-    seen = pushes.join(pages.where(F.col("page_no") <= max_pages), "page")
-    here = F.sum(is_item).over(Window.partitionBy("page").orderBy("place"))
-    seen = seen.withColumn("_upto", F.col("_before") + here)
-    if max_items:
-        seen = seen.where(F.col("_upto") - is_item < max_items)
-    return seen.drop("_items", "_before", "_upto")
-
-
-def synced(seen: DataFrame, stored: DataFrame, mode: str, since: float, max_pages: int, max_items: int = 0) -> DataFrame:
-    """One row: what a sync in this mode adds and skips, the next mark, whether the mark moves on, and its warnings.
-
-    The mark is the greatest time of all pushes that were seen, those without a link too. It stays after a truncated pull and in modes that look back.
+    is_item = F.col("url").isNotNull().cast("long")
+    each = pushes.select("page", "place", "modified", "url").join(F.broadcast(pulls), F.col("modified") > F.col("since"))  # a pull is a mode, of which there are five
+    in_order = Window.partitionBy("mode").orderBy("page")
+    pages = each.groupBy("mode", "page").agg(F.sum(is_item).alias("items"))
+    pages = pages.withColumns({"page_no": F.row_number().over(in_order), "before": F.coalesce(F.sum("items").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    here = F.sum(is_item).over(Window.partitionBy("mode", "page").orderBy("place"))
+    seen = each.join(pages.select("mode", "page", "page_no", "before"), ["mode", "page"]).where(F.col("page_no") <= F.col("max_pages")).withColumn("_upto", F.col("before") + here)
+    return seen.where((F.col("max_items") == 0) | (F.col("_upto") - is_item < F.col("max_items"))).drop("_upto", "before"), pages
+
+
+def synced(pushes: DataFrame, stored: DataFrame, pulls: DataFrame) -> DataFrame:
+    """A row for each pull: what a sync in this mode adds and skips, the next mark, whether the mark moves on, and its warnings.
+
+    The mark is the greatest time of all pushes that were seen, those without a link too. It stays after a truncated pull and in modes that look back. A pull that sees nothing adds nothing and keeps its mark.
     """
-    items = seen.where("url is not null")
-    added = new_rows(items.select("url", "page", "place"), stored, ["url"], ["page", "place"])
-    total = seen.agg(F.count("url").alias("total"), F.max("modified").alias("top"), F.max("page_no").alias("pages_fetched"), F.first("n_pages").alias("n_pages"))
-    row = total.crossJoin(added.agg(F.count("*").alias("added")))  # two single rows
-    capped = (F.lit(max_items) > 0) & (F.col("total") >= max_items)
-    paged = ~capped & (F.col("n_pages") > max_pages)
-    warning = F.when(capped, f"Pull capped at maxItems={max_items}.").when(paged, f"Pull reached maxPages={max_pages}.").otherwise("")
-    truncated = F.coalesce(capped | paged, F.lit(False))
+    seen, pages = pulled(pushes, pulls)
+    fetched = seen.groupBy("mode").agg(F.count("url").alias("total"), F.max("modified").alias("top"), F.max("page_no").alias("fetched"))
+    added = seen.where("url is not null").select("mode", "url").distinct().join(stored.select("url").distinct(), "url", "left_anti").groupBy("mode").agg(F.count("*").alias("added"))
+    whole = pages.groupBy("mode").agg(F.max("page_no").alias("n_pages"))
+    row = pulls.join(fetched, "mode", "left").join(added, "mode", "left").join(whole, "mode", "left").fillna(0, ["total", "fetched", "added", "n_pages"])
+    capped = (F.col("max_items") > 0) & (F.col("total") >= F.col("max_items"))
+    paged = ~capped & (F.col("n_pages") > F.col("max_pages"))
+    warning = F.when(capped, F.concat(F.lit("Pull capped at maxItems="), "max_items", F.lit("."))).when(paged, F.concat(F.lit("Pull reached maxPages="), "max_pages", F.lit("."))).otherwise("")
+    truncated = capped | paged
     return row.select(
-        F.lit(mode).alias("mode"), F.lit(since).alias("since"), "added", (F.col("total") - F.col("added")).alias("skipped"), "total", F.greatest(F.lit(since), F.col("top")).alias("next_modified"),
-        F.coalesce("pages_fetched", F.lit(0)).cast("long").alias("pages_fetched"), truncated.alias("truncated"), (~truncated & F.lit(mode not in ("recent", "window"))).alias("state_advanced"), warning.alias("warning"),
-        F.when(truncated & F.lit(mode != "recent"), "Result was truncated, so the mark was not advanced.").otherwise("").alias("state_warning"),
+        "mode", "since", "added", (F.col("total") - F.col("added")).alias("skipped"), "total", F.greatest("since", "top").alias("next_modified"), F.col("fetched").cast("long").alias("pages_fetched"), truncated.alias("truncated"),
+        (~truncated & ~F.col("mode").isin("recent", "window")).alias("state_advanced"), warning.alias("warning"), F.when(truncated & (F.col("mode") != "recent"), "Result was truncated, so the mark was not advanced.").otherwise("").alias("state_warning"),
     )
