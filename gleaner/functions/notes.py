@@ -150,3 +150,11 @@ def request_time(text: Column | str, now: Column) -> Column:
     n = t.try_cast("double")
     parsed = F.when(F.coalesce(n > 0, F.lit(False)), F.timestamp_seconds(F.when(n > 1e12, n / 1000).otherwise(n))).otherwise(F.try_to_timestamp(F.nullif(t, F.lit(""))))
     return F.coalesce(parsed, now)
+
+
+def manual_action(required: Column, explicit: Column | str, code: Column | str, message: Column | str) -> Column:
+    """(required, reason) of a fetched note: as it says itself, else by its message and its comments' warning."""
+    given = trimmed(explicit)
+    stated = F.coalesce(required, F.lit(False)) | (given != "")
+    found = manual_reason(F.lit(""), code, message)
+    return F.struct((stated | (found != "")).alias("required"), F.when(stated, given).otherwise(found).alias("reason"))

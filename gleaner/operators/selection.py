@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import text_of
 from gleaner.operators.order import first_seen
+from gleaner.tables import numbered
 
 
 def recent(df: DataFrame, order: list[str], most: int, wanted: Column, key: list[str]) -> DataFrame:
@@ -58,3 +59,32 @@ def same_sets(df: DataFrame, group: str, item: str, left: Column, right: Column)
     """Whether a group's items on the left are those on the right, with the numbers of different items. No group's items are gathered."""
     items = df.groupBy(group, item).agg(F.max(left).alias("l"), F.max(right).alias("r"))
     return items.groupBy(group).agg(F.count_if("l").alias("n_left"), F.count_if("r").alias("n_right"), F.bool_and(F.col("l") == F.col("r")).alias("same"))
+
+
+def united(frames: list[DataFrame], keys: list[str], order: list[str]) -> DataFrame:
+    """Rows of several tables, whatever columns each lacks, each key once: its first row in order, of an earlier table before a later one."""
+    out = None
+    for k, f in enumerate(frames):
+        one = f.withColumn("_table", F.lit(k))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return first_seen(out, keys, ["_table", *order]).drop("_table")
+
+
+def new_place(before: DataFrame, after: DataFrame, name: str, at: str) -> DataFrame:
+    """One row: of the names that came in, the only one, or the newest of several; if none came in, the newest of all; the greater name of equals. No row without any."""
+    fresh = after.join(before.select(name).distinct(), name, "left_anti")
+    newest = lambda df: df.agg(F.max_by(name, F.struct(at, name)).alias(name), F.count("*").alias("_n"))
+    both = newest(fresh).select(F.col(name).alias("_new"), F.col("_n")).crossJoin(newest(after).select(F.col(name).alias("_any")))  # two single rows
+    return both.select(F.coalesce("_new", "_any").alias(name), (F.col("_n") > 0).alias("is_new")).where(F.col(name).isNotNull())
+
+
+def with_bridges(blocks: DataFrame, key: str, order: list[str], lines: str, goes_on: Column, subject: Column) -> DataFrame:
+    """Blocks with the subject of the block before in front of their lines, where the first line only goes on (goes_on, of `first`) and the subject isn't among them.
+
+    subject(s): the block's own subject, from its lines, empty if it has none. The block before is found by one numbering of all blocks, so a key may have any number.
+    """
+    placed, _ = numbered(blocks.withColumns({"first": F.coalesce(F.get(lines, F.lit(0)), F.lit("")), "_subject": subject}), [key, *order], "_at")
+    before = placed.select((F.col("_at") + 1).alias("_at"), F.col(key).alias("_key"), F.col("_subject").alias("_before"))
+    met = placed.join(before, "_at", "left").withColumn("_before", F.when(F.col("_key") == F.col(key), F.col("_before")))
+    bridge = F.coalesce(goes_on & (F.col("_before") != "") & ~F.array_contains(lines, F.col("_before")), F.lit(False))
+    return met.withColumn(lines, F.when(bridge, F.concat(F.array("_before"), F.col(lines))).otherwise(F.col(lines))).drop("_at", "_key", "_before", "_subject", "first")

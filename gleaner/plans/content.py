@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleaner.functions import content, text
-from gleaner.operators import reports
+from gleaner.functions import content, notes, text
+from gleaner.operators import reports, selection
 from gleaner.plans.cases import events, query
 from gleaner.plans.fields import documents, pages, pick, say
 
@@ -129,3 +129,52 @@ def favorites_report(spark, sf_dir):
     k = F.col("event_id")
     e = events(spark, sf_dir).select((F.col("event_type") != "error").alias("ok"), F.when(k % 6 == 0, say(" list ", "$user_id")).when(k % 6 == 1, " ").alias("message"))
     return reports.favorites_report(e, "ok", "message")
+
+
+@query("""
+SELECT user_id, event_id, line FROM (SELECT user_id, event_id, unnest(CASE WHEN goes AND s <> '' AND s <> x THEN [s, x] ELSE [x] END) AS line FROM (SELECT *, event_type = 'view' AS goes, 'then ' || event_type AS x, lag(CASE WHEN event_type IN ('purchase', 'signup') THEN 'then ' || event_type ELSE '' END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM events))""")
+def bridged_blocks(spark, sf_dir):
+    """A user's events as blocks of a line; a view goes on with what was before, if that was a purchase or a signup."""
+    e = events(spark, sf_dir)
+    b = e.select("user_id", "event_id", "ts", F.array(say("then ", "$event_type")).alias("lines"))
+    subject = F.when(F.get("lines", F.lit(0)).isin("then purchase", "then signup"), F.get("lines", F.lit(0))).otherwise("")
+    got = selection.with_bridges(b, "user_id", ["ts", "event_id"], "lines", F.col("first") == "then view", subject)
+    return got.select("user_id", "event_id", F.explode("lines").alias("line"))
+
+
+@query("""
+SELECT key, lang, quality FROM (SELECT doc_id AS key, NULL AS lang, quality, 0 AS t FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, lang, NULL, 1 FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT item_id, 'b', NULL, 2 FROM benchmark) QUALIFY row_number() OVER (PARTITION BY key ORDER BY t) = 1""")
+def united_rows(spark, sf_dir):
+    """Rows of three tables with different columns, each number once, of the first table that has it."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    frames = [read("labels").where("quality = 1").select(F.col("doc_id").alias("key"), "quality"), read("documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("key"), "lang"), read("benchmark").select(F.col("item_id").alias("key"), F.lit("b").alias("lang"))]
+    return selection.united(frames, ["key"], ["key"]).select("key", "lang", "quality")
+
+
+@query("""
+WITH a AS (SELECT event_type || '/' || user_id AS place, max(ts) AS t FROM events GROUP BY 1), b AS (SELECT event_type || '/' || user_id AS place FROM events WHERE user_id % 2 = 0)
+SELECT 1 AS k, arg_max(place, (t, place)) FILTER (place NOT IN (SELECT place FROM b)) AS place, true AS is_new FROM a UNION ALL SELECT 2, arg_max(place, (t, place)), false FROM a""")
+def new_places(spark, sf_dir):
+    """The newest place that wasn't there before, and the newest of all where nothing is new."""
+    e = events(spark, sf_dir).select(say("$event_type", "/", "$user_id").alias("place"), "user_id", "ts")
+    after = e.groupBy("place").agg(F.max("ts").alias("at"))
+    each = [selection.new_place(b.select("place"), after, "place", "at").select(F.lit(k).alias("k"), "place", "is_new") for k, b in ((1, e.where("user_id % 2 = 0")), (2, e))]
+    return each[0].union(each[1])
+
+
+@query("""
+SELECT l.doc_id, l.quality, md5(d.text) AS text_md5 FROM labels l LEFT JOIN documents d USING (doc_id)""")
+def note_contents(spark, sf_dir):
+    """Labels as notes' basic data, each with its content by one join instead of a look-up a row."""
+    notes_, docs = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("labels", "documents"))
+    return notes_.join(docs.select("doc_id", "text"), "doc_id", "left").select("doc_id", "quality", F.md5("text").alias("text_md5"))
+
+
+@query("""
+SELECT required, reason, count(*) AS n FROM (SELECT event_id % 13 = 0 OR event_id % 17 = 0 AS stated, CASE WHEN event_id % 17 = 0 THEN 'set' ELSE '' END AS given, event_id % 5 AS m, event_id % 7 = 0 AS login FROM events) e,
+LATERAL (SELECT CASE WHEN m = 1 THEN 'captcha' WHEN login OR m = 2 THEN 'login_required' WHEN m = 3 THEN 'risk_control' ELSE '' END AS found), LATERAL (SELECT stated OR found <> '' AS required, CASE WHEN stated THEN given ELSE found END AS reason) GROUP BY 1, 2""")
+def manual_actions(spark, sf_dir):
+    """Which notes somebody has to act on, and why: as they say, by a warning, or by messages of every kind."""
+    k = F.col("event_id")
+    act = notes.manual_action(F.when(k % 13 == 0, True), F.when(k % 17 == 0, " set "), F.when(k % 7 == 0, "comment_login_required"), pick(k, "fine", "请输入验证码", "无登录信息", "code 406", ""))
+    return events(spark, sf_dir).select(act.alias("a")).groupBy("a.required", "a.reason").agg(F.count("*").alias("n"))
