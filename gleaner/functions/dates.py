@@ -16,10 +16,6 @@ def from_epoch(x: Column, milliseconds_from: float = 1e12) -> Column:
     return F.timestamp_seconds(F.when(x > milliseconds_from, x / 1000).otherwise(x))
 
 
-def iso_time(text: Column, otherwise: Column) -> Column:
-    return F.coalesce(F.try_to_timestamp(text), otherwise)
-
-
 def add_months(ts: Column, months: int) -> Column:
     """Calendar months later (or earlier), where a day that the month lacks runs over into the next: 30 April less 2 months is 1 March in a leap year."""
     day = F.date_add(F.add_months(F.trunc(ts, "MM"), months), F.day(ts) - 1)

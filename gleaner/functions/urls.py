@@ -32,10 +32,6 @@ def detect_source(url: Column) -> Column:
     return out.otherwise(GENERIC)
 
 
-def note_id(url: Column) -> Column:
-    return F.nullif(F.regexp_extract(url, r"/(?:explore|discovery/item)/([0-9A-Za-z]+)", 1), F.lit(""))
-
-
 def page_title(html: Column) -> Column:
     """og:title, meta title, first h1 or title element of a page, whichever is first not empty."""
     tries = [r'(?is)<meta[^>]+property="og:title"[^>]+content="([^"]*)"', r'(?is)<meta[^>]+name="title"[^>]+content="([^"]*)"', r"(?is)<h1[^>]*>(.*?)</h1>", r"(?is)<title[^>]*>(.*?)</title>"]

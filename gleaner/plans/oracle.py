@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.plans import cases, content, fields, rules, runs, shapes, stores  # noqa: F401
+from gleaner.plans import cases, content, fields, files, rules, runs, shapes, stores  # noqa: F401
 from gleaner.plans.queries import NAMED
 
 ITEMS = "(SELECT event_id, ts, epoch(ts) AS timestamp, 'https://inbox.example.com/' || user_id || '/' || event_type AS url, event_type FROM events)"

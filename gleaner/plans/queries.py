@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import dates, text, urls
 from gleaner.operators import comments, folds, joins, order, reports, selection, status, windows
-from gleaner.plans import cases, content, fields, rules, runs, shapes, stores  # noqa: F401
+from gleaner.plans import cases, content, fields, files, rules, runs, shapes, stores  # noqa: F401
 from gleaner.streaming import inbox
 from gleaner.tables import new_path
 

@@ -36,7 +36,7 @@ def snapshot(spark: SparkSession, path: str, note: str) -> DataFrame:
 
 def markdown_library(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of all Markdown files below a folder."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).where(F.lower("path").endswith(".md"))
+    return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).where(F.lower("path").endswith(".md"))
 
 
 def seconds(time: Column) -> Column:

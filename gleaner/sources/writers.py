@@ -24,3 +24,20 @@ def markdown(note: dict[str, Column]) -> Column:
     front = [F.concat(F.lit(f"{k}: "), text_of(note[k])) for k in ("title", "author", "date", "source") if k in note]
     tags = F.when(F.size(note["tags"]) > 0, F.concat(F.lit("\n\n"), F.array_join(F.transform(note["tags"], lambda t: F.concat(F.lit("#"), t)), " "))).otherwise("") if "tags" in note else F.lit("")
     return F.concat(F.lit("---\n"), F.concat_ws("\n", *front), F.lit("\n---\n\n# "), text_of(note["title"]), F.lit("\n\n"), text_of(note["content"]), tags, F.lit("\n"))
+
+
+def text_files(rows: DataFrame, path: str, name: str, text: str) -> None:
+    """Writes a file for each row, under its name, in a folder of any store that Arrow reaches. Tasks write their own rows; a row that is written again gives the same file."""
+
+    def write(batches):
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(path)
+        store.create_dir(folder, recursive=True)
+        for b in batches:
+            for own, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with store.open_output_stream(f"{folder}/{own}") as f:
+                    f.write((content or "").encode())
+            yield b.select([name])
+
+    rows.select(name, text).mapInArrow(write, f"`{name}` string").count()

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from gleaner.sources.readers import PUSH
+from gleaner.sources.writers import text_files
 
 SCHEMA = f"page long, place int, {PUSH}"
 FIELDS = [f.split()[0] for f in PUSH.split(", ")]
@@ -119,20 +120,8 @@ def pushes(spark: SparkSession, path: str, since: float = 0.0, max_pages: int =
 def store_pages(pushes: DataFrame, path: str) -> None:
     """Writes pushes (page, place and the fields of a push) as pages that the source reads, a file a page; a page has as many pushes as its source gives at once."""
     body = F.to_json(F.struct("place", *FIELDS))
-    pages = pushes.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("place", body.alias("body")))).alias("rows")).select("page", F.array_join(F.transform("rows", lambda r: r["body"]), "\n").alias("body"))
-
-    def write(batches):
-        from pyarrow import fs
-
-        store, folder = fs.FileSystem.from_uri(path)
-        store.create_dir(folder, recursive=True)
-        for b in batches:
-            for page, text in zip(b.column("page").to_pylist(), b.column("body").to_pylist(), strict=True):
-                with store.open_output_stream(f"{folder}/page-{page:09d}.json") as f:
-                    f.write(text.encode())
-            yield b.select(["page"])
-
-    pages.mapInArrow(write, "page long").count()
+    pages = pushes.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("place", body.alias("body")))).alias("rows"))
+    text_files(pages.select(F.format_string("page-%09d.json", "page").alias("name"), F.array_join(F.transform("rows", lambda r: r["body"]), "\n").alias("body")), path, "name", "body")
 
 
 def pull_state(progress) -> dict:
