@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import text_of, trimmed
 from gleaner.operators.joins import bin_of, nearest, points_in_intervals
+from gleaner.operators.order import first_seen
 from gleaner.tables import delete, written
 
 
@@ -55,6 +56,14 @@ def representative_segments(chapters: DataFrame, segments: DataFrame, key: str,
     return met.union(nearest(alone, middles, key, "chapter", "middle", "segment", "at").select(key, "chapter", "segment"))
 
 
+def first_representatives(chapters: DataFrame, segments: DataFrame, key: str, width: float, most: int = 5) -> DataFrame:
+    """(key, chapter, segment) for the first chapters of each key, in order of their start, up to `most`; a segment stands for the first of them that it represents alone."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy("chapter_start", "chapter"))
+    first = chapters.withColumn("_place", place).where(F.col("_place") <= most)
+    found = representative_segments(first.drop("_place"), segments, key, width).where("segment is not null")
+    return first_seen(found.join(first.select(key, "chapter", "_place"), [key, "chapter"]), [key, "segment"], ["_place"]).select(key, "chapter", "segment")
+
+
 def key_blocks(blocks: DataFrame, key: str, length: Column, at: Column, middle: Column, block: str) -> DataFrame:
     """Of each chapter the block with the longest text; of equals the one nearest to the chapter's middle."""
     return blocks.groupBy(key).agg(F.max_by(block, F.struct(length, -F.abs(at - middle), -F.col(block))).alias(block))

@@ -28,7 +28,8 @@ def merge_segments(df: DataFrame, key: str, order: str, text: Column, start: str
 
 def scene_cards(blocks: DataFrame, gap: float) -> DataFrame:
     """Cards from blocks (chapter, id, at, title, path, window_start, window_end, score): a block joins the card before it in its chapter if they have one path, or one title and at most `gap` seconds
-    between the card's time and the block's. A card takes title, path and time of its best block (the later of equals), the widest window, and counts its blocks."""
+    between the card's time and the block's. A card takes title, path and time of its best block (the later of equals), the widest window, and counts its blocks; where blocks have `lines`, it has all
+    different ones in order."""
     rows = blocks.withColumns({"_first": F.col("id"), "_at": F.col("at")})
 
     def join(card, row):
@@ -40,5 +41,6 @@ def scene_cards(blocks: DataFrame, gap: float) -> DataFrame:
 
     together, _ = folded(rows, "chapter", ["at", "id"], ["title", "path", "_at", "score", "_first"], join)
     best = F.max_by(F.struct("title", "path", "at"), F.struct("score", "at", "id")).alias("head")
-    cards = together.groupBy("chapter", "verdict").agg(best, F.min("window_start").alias("window_start"), F.max("window_end").alias("window_end"), F.max("score").alias("score"), F.count("*").alias("n_blocks"))
-    return cards.select("chapter", "head.*", "window_start", "window_end", "score", "n_blocks")
+    lines = [F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "id", "lines"))), lambda b: b["lines"]))).alias("lines")] if "lines" in blocks.columns else []
+    cards = together.groupBy("chapter", "verdict").agg(best, *lines, F.min("window_start").alias("window_start"), F.max("window_end").alias("window_end"), F.max("score").alias("score"), F.count("*").alias("n_blocks"))
+    return cards.select("chapter", "head.*", "window_start", "window_end", "score", "n_blocks", *(["lines"] if lines else []))

@@ -173,6 +173,16 @@ def representative_segment(spark, sf_dir):
     return captions.representative_segments(_spans(spark, sf_dir), s, "user_id", 24 * 3600.0).where("segment is not null")
 
 
+@query(SPANS + """, f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY a, chapter) AS place FROM c WHERE z IS NOT NULL QUALIFY place <= 5), s AS (SELECT user_id, event_id AS segment, epoch_us(ts) / 1e6 AS x, epoch_us(ts) / 1e6 + 600 AS y FROM events WHERE event_type = 'view'),
+m AS (SELECT user_id, chapter, place, segment, x <= z AND y >= a AS meets, abs((x + y) / 2 - (a + z) / 2) AS d FROM f JOIN s USING (user_id)),
+r AS (SELECT user_id, chapter, place, coalesce(arg_min(segment, (d, segment)) FILTER (WHERE meets), arg_min(segment, (d, segment))) AS segment FROM m GROUP BY ALL)
+SELECT user_id, chapter, segment FROM r QUALIFY row_number() OVER (PARTITION BY user_id, segment ORDER BY place) = 1""")
+def chapter_representatives(spark, sf_dir):
+    """A segment for each of the first five chapters, none twice."""
+    s = events(spark, sf_dir).where("event_type = 'view'").select("user_id", F.col("event_id").alias("segment"), epoch(F.col("ts")).alias("segment_start"), (epoch(F.col("ts")) + 600).alias("segment_end"))
+    return captions.first_representatives(_spans(spark, sf_dir), s, "user_id", 24 * 3600.0)
+
+
 @query("SELECT conv_id, arg_max(turn, (length(text), -abs(turn - 2), -turn)) AS turn FROM conversations GROUP BY 1")
 def key_blocks(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")

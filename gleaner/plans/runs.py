@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import safe_name, text_of
-from gleaner.operators import context, keeping, naming, themes
+from gleaner.operators import context, folds, keeping, naming, themes
 from gleaner.plans.cases import events, query
 from gleaner.sources.readers import items_of
 from gleaner.streaming import inbox, pushes
@@ -165,3 +166,19 @@ SELECT doc_id, md5(s) AS sentence_md5, CAST(m + greatest(0, 6 - i) AS DOUBLE) AS
 def marked_sentences(spark, sf_dir):
     got = themes.best_sentences(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", ("that", "nicht", "avec", "para", "ch"), SENTENCES)
     return got.select("doc_id", F.md5("sentence").alias("sentence_md5"), "score")
+
+
+@query("""
+WITH RECURSIVE r AS (SELECT user_id, event_type AS title, event_id % 6 AS path, epoch_us(ts) / 1e6 AS secs, floor(value) AS score, [event_type, 'v' || CAST(floor(value / 20) AS BIGINT)] AS lines, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+g AS (SELECT user_id, i, 1 AS card, title, path, secs, score, lines FROM r WHERE i = 1
+  UNION ALL SELECT r.user_id, r.i, CASE WHEN joins THEN g.card ELSE g.card + 1 END, CASE WHEN joins AND r.score < g.score THEN g.title ELSE r.title END, CASE WHEN joins AND r.score < g.score THEN g.path ELSE r.path END, CASE WHEN joins AND r.score < g.score THEN g.secs ELSE r.secs END, CASE WHEN joins THEN greatest(r.score, g.score) ELSE r.score END, CASE WHEN joins THEN list_concat(g.lines, [x for x in r.lines if NOT list_contains(g.lines, x)]) ELSE r.lines END
+  FROM g JOIN r ON r.user_id = g.user_id AND r.i = g.i + 1, LATERAL (SELECT r.path = g.path OR (r.title = g.title AND r.secs - g.secs <= 43200) AS joins))
+SELECT user_id, card, arg_max(title, i) AS title, array_to_string(arg_max(lines, i), ',') AS lines, count(*) AS n_blocks FROM g GROUP BY user_id, card""")
+def near_scenes(spark, sf_dir):
+    """Neighbouring events of one path, or of one title within twelve hours, as one card with all their lines; cards are numbered in order."""
+    e = events(spark, sf_dir).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    lines = F.array(F.col("event_type"), F.concat(F.lit("v"), F.floor(F.col("value") / 20).cast("string")))
+    b = e.select(F.col("user_id").alias("chapter"), F.col("event_id").alias("id"), "at", F.col("event_type").alias("title"), (F.col("event_id") % 6).cast("string").alias("path"), F.col("at").alias("window_start"), F.col("at").alias("window_end"), F.floor("value").cast("double").alias("score"), lines.alias("lines"))
+    cards = folds.scene_cards(b, 12 * H)
+    place = F.row_number().over(Window.partitionBy("chapter").orderBy("window_start"))
+    return cards.select(F.col("chapter").alias("user_id"), place.alias("card"), "title", F.array_join("lines", ",").alias("lines"), "n_blocks")
