@@ -27,17 +27,15 @@ def folded(df: DataFrame, key: str, order: list[str], state: list[str], fold: Fo
     """df with a column `verdict`, and how many rounds it took. Rows without a key are left out; nulls in state columns are None; rows that tie in key and order come in any order."""
     spark, types, columns = df.sparkSession, dict(df.dtypes), df.columns
     table, path = numbered(df.where(F.col(key).isNotNull()), [key, *order], "_row")
-    dealt, dealt_at = written(table.withColumn("_block", F.floor(F.col("_row") / rows).cast("long")), "blocks")
-    delete(spark, path)
-    ends_schema = f"_block long, _key {types[key]}, " + ", ".join(f"`_{c}` {types[c]}" for c in state)
-    names = ["_block", "_key", *(f"_{c}" for c in state)]
-
+    dealt = table.withColumn("_block", F.floor(F.col("_row") / rows).cast("long"))
+    names = ["_key", *(f"_{c}" for c in state)]
+    ends_schema = f"_block long, _from_key {types[key]}, _key {types[key]}, " + ", ".join(f"`_{c}` {types[c]}" for c in state)
     arrow_ends, out_schema = to_arrow_schema(StructType.fromDDL(ends_schema)), ", ".join(f"`{c}` {types[c]}" for c in df.columns) + ", verdict string"
 
     def go(group: pa.Table, incoming: pa.Table) -> tuple[list[str], list]:
         before, now, out = None, None, []
         if incoming.num_rows:
-            before, *now = (incoming.column(c)[0].as_py() for c in names[1:])
+            before, *now = (incoming.column(c)[0].as_py() for c in names)
         for k, *row in zip(*(group.column(c).to_pylist() for c in (key, *state)), strict=True):
             now, verdict = fold(tuple(now) if k == before else None, tuple(row))
             before = k
@@ -47,7 +45,8 @@ def folded(df: DataFrame, key: str, order: list[str], state: list[str], fold: Fo
     def end(group: pa.Table, incoming: pa.Table) -> pa.Table:
         if not group.num_rows:  # the state after the last block
             return arrow_ends.empty_table()
-        last = [group.column("_block")[0].as_py(), *go(group.sort_by("_row"), incoming)[1]]
+        group = group.sort_by("_row")
+        last = [group.column("_block")[0].as_py(), group.column(key)[0].as_py(), *go(group, incoming)[1]]
         return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(last, arrow_ends, strict=True)], schema=arrow_ends)
 
     def judge(group: pa.Table, incoming: pa.Table) -> pa.Table:
@@ -55,27 +54,26 @@ def folded(df: DataFrame, key: str, order: list[str], state: list[str], fold: Fo
         verdicts = go(group, incoming)[0] if group.num_rows else []
         return group.select(columns).append_column("verdict", pa.array(verdicts, pa.string()))
 
-    came = spark.createDataFrame([], ends_schema)
-    came_at, before_at, ends, ends_at, rounds, todo = None, None, None, None, 0, dealt
+    state_of = F.struct(*names)
+    came = spark.createDataFrame([], ends_schema)  # the state before each block: none is known
+    ends, ends_at, old_at, todo, rounds = None, None, None, dealt, 0
     while True:
-        fresh, fresh_at = written(todo.groupBy("_block").cogroup(came.groupBy("_block")).applyInArrow(end, ends_schema), "ends")
         rounds += 1
-        if before_at:
-            delete(spark, before_at)
-        if ends is not None:
-            both, both_at = written(ends.join(fresh.select("_block"), "_block", "left_anti").unionByName(fresh), "ends")
-            delete(spark, ends_at)
-            delete(spark, fresh_at)
-            fresh, fresh_at = both, both_at
-        ends, ends_at = fresh, fresh_at
-        new, new_at = written(ends.withColumn("_block", F.col("_block") + 1), "states")
-        values = F.struct(*names[1:])
-        moved = new.join(came.select("_block", values.alias("_was")), "_block", "left").where(~values.eqNullSafe(F.col("_was"))).select("_block")
+        fresh = todo.groupBy("_block").cogroup(came.groupBy("_block")).applyInArrow(end, ends_schema)
+        if ends is not None:  # a block that was folded again counts by its new end
+            both = ends.withColumn("_again", F.lit(0)).unionByName(fresh.withColumn("_again", F.lit(1)))
+            fresh = both.groupBy("_block").agg(F.max_by(F.struct("_from_key", *names), "_again").alias("_e")).select("_block", "_e.*")
+        new, new_at = written(fresh, "ends")
+        if old_at:
+            delete(spark, old_at)
+        before, came = came, new.withColumn("_block", F.col("_block") + 1)
+        # what comes matters where the run of a key goes on from one block to the next, and another state came before
+        goes_on = came.join(new.select("_block", F.col("_from_key").alias("_begins")), "_block").where(F.col("_key") == F.col("_begins"))
+        moved = goes_on.join(before.select("_block", state_of.alias("_was")), "_block", "left").where(~state_of.eqNullSafe(F.col("_was"))).select("_block")
         todo = dealt.join(moved, "_block", "left_semi")
-        done = todo.isEmpty()
-        came, came_at, before_at = new, new_at, came_at  # what is still to do reads the states of before
-        if done:
+        ends, ends_at, old_at = new, new_at, ends_at
+        if moved.isEmpty():
             break
-    for path in filter(None, (ends_at, before_at)):
-        delete(spark, path)
+    if old_at:
+        delete(spark, old_at)
     return dealt.groupBy("_block").cogroup(came.groupBy("_block")).applyInArrow(judge, out_schema), rounds
