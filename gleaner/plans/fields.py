@@ -264,3 +264,13 @@ def event_windows(spark, sf_dir):
     mode = sync.mode_of(F.when(k % 5 == 0, "all").when(k % 5 == 1, "window").otherwise("other"))
     e = events(spark, sf_dir).select("event_id", label.alias("label"), whole.alias("whole"), sync.since_of(mode, day, F.col("value")).alias("since"))
     return e.groupBy("label").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"), F.sum("whole").alias("whole"), F.min("since").alias("since"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '好用,笔记,笔记' ELSE lang || ',' || source || '!,好用,w' || (doc_id % 3) || ',z9' END AS tags FROM documents""")
+def cleaned_tags(spark, sf_dir):
+    """A model's tags and a fallback's: short, broken and repeated ones go, five stay, three at least are there."""
+    k = F.col("doc_id")
+    given = F.when(k % 4 > 0, F.array(say(" ", "$lang", " "), F.lit("x"), say("$source", "!"), F.lit("\u0001a"), F.lit("�bc"), F.col("lang"), F.lit("好用"), F.lit("!?")))
+    fallback = F.when(k % 4 > 0, F.array(F.lit("好用"), say("w", (k % 3).cast("string")), F.lit("z9"), F.lit("q8"))).otherwise(F.array(F.lit(" 好用 ")))
+    return documents(spark, sf_dir).select("doc_id", F.array_join(notes.summary_tags(given, fallback), ",").alias("tags"))
