@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Stages work on
 all that the one before kept. Null or empty texts have no letter and go with the first stage. Rows without an id or with a repeated one are
-documents like any other. n_chars is the length of the text as it is after a stage.
+documents like any other, and so are very long texts, which every stage works on whole. Of near-duplicates that tie, rows that are equal in every column
+are alike and any one stays. An empty table gives no rows at any stage. Columns beside COLUMNS, whatever their names, are left behind by the first
+stage. n_chars is the length of the text as it is after a stage.
 """
 
 from __future__ import annotations
