@@ -10,7 +10,8 @@ traced back by itself. Every turn's row has the text that it adds to the rendere
 
 Roles are compared without case and outer blanks. A null or unknown role must be relabelled. A null text counts as empty. Null
 conversation ids make one conversation, null turns come first, ties go by role and text. Equal costs go to the first role in the
-order of ROLES. A table without rows gives no rows. Extra columns are ignored.
+order of ROLES. Repeated rows are turns like any other. Texts of any length are rendered whole. A table without rows gives no rows. Extra columns are
+ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ cosine with its profile; ties go to the first name in order. Scaled profiles are
 tasks cannot change a prototype; only languages x dimensions numbers come to the driver.
 
 A null text, or one without a letter, is `und` with score 0; so is every text if nothing could be learned. Rows without a
-language are not learned from. Repeated rows count again. A table without rows gives no rows. Extra columns are ignored.
+language are not learned from. Texts of any length are read whole. Repeated rows count again. A table without rows gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations

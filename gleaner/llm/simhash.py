@@ -10,7 +10,7 @@ balls, as two fingerprints are within two bits exactly if some value is within o
 members. So no group is ever expanded into all pairs and none is capped. Components follow from minimum labels.
 
 Null and empty texts have fingerprint zero and are linked like any other; texts with fewer words than a shingle have one
-shingle, the whole sequence. Repeated rows share a component. A table without rows gives no rows. Extra columns are ignored.
+shingle, the whole sequence. Texts of any length are read whole. Repeated rows share a component. A table without rows gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations

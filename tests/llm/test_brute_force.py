@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from test_operators import ODD, ids_of
 
-from gleaner.llm import simhash
+from gleaner.llm import chat, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -103,3 +103,11 @@ def test_stages_on_empty_tables_and_clashing_columns(spark, stage):
     assert run(spark, spark.createDataFrame([], schema), SF).count() == 0
     docs = spark.createDataFrame([(k, f"some words of text number {k} " * 5, "en", "x", 9, 7, "q", 1, 2, "z") for k in range(5)] + [(9, "w" * 40_000, None, None, None, None, None, None, None, None)], schema)
     assert {r.doc_id for r in run(spark, docs, SF).select("doc_id").distinct().collect()} <= {0, 1, 2, 3, 4, 9}
+
+
+def test_chat_of_repeated_rows_long_texts_and_clashing_columns(spark):
+    rows = [(1, 0, "user", "a", 5, 0.0, "z", 9)] * 2 + [(1, 1, "assistant", "x" * 200_000, 5, 0.0, "z", 9), (2, 0, "user", None, 5, 0.0, "z", 9), (2, 0, "user", None, 5, 0.0, "z", 9)]
+    got = chat.repair(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seg long, cost double, rendered string, enter int").repartition(3)).toPandas().sort_values("seq")
+    one, two = ("".join(got[got.conv_id == c].rendered) for c in (1, 2))
+    assert len(got) == 5 and one.count("a") - one.count("assistant") * 2 >= 2 and "x" * 200_000 in one
+    assert got[got.conv_id == 1].cost.sum() == chat.MERGE and got[got.conv_id == 2].cost.sum() == chat.RELABEL and "assistant" in two
