@@ -5,7 +5,7 @@ the latest change seen in this pull. While a pull has pages left only the cursor
 `modified`. So a query that stops between two pages goes on with the next one, and one that is cut off reads the pages of its
 last batch again between the same two offsets; the table that stores batches by number then writes the same rows.
 
-The driver follows cursors and looks at the times of at most max_pages pages a trigger; executors fetch pages and make rows.
+The driver reads the source's list of pages, a line with a cursor and the page's latest change each, once a step; executors fetch pages, PER_TASK to a task, and make rows.
 """
 
 from __future__ import annotations
@@ -23,22 +23,32 @@ from gleaner.sources.writers import text_files
 
 SCHEMA = f"page long, place int, {PUSH}"
 FIELDS = [f.split()[0] for f in PUSH.split(", ")]
+LISTS = "lists"
+
+
+#: Pages that a task fetches, one after the other.
+PER_TASK = 32
 
 
 class Pages:
-    """Pages as JSON files in a folder of any store that Arrow reaches: page-000000000.json and so on, a push a line. A client of a service has the same two methods."""
+    """Pages as JSON files in a folder of any store that Arrow reaches: page-000000000.json and so on, a push a line, and in the folder LISTS the list of them. A client of a service has the same two methods."""
 
     def __init__(self, path: str):
         from pyarrow import fs
 
         self.store, self.folder = fs.FileSystem.from_uri(path)
 
-    def following(self, cursor: str) -> str:
-        """The first page from a cursor on (empty: from the first on); empty if there is none."""
+    def changed(self, cursor: str, since: float) -> list[tuple[str, float]]:
+        """Pages from a cursor on (empty: from the first on) that have pushes changed after a time, in order, each with its latest change."""
         from pyarrow import fs
 
-        names = (posixpath.basename(f.path) for f in self.store.get_file_info(fs.FileSelector(self.folder)))
-        return min((n for n in names if n.startswith("page-") and n >= cursor), default="")
+        tops: dict[str, float] = {}
+        for f in self.store.get_file_info(fs.FileSelector(f"{self.folder}/{LISTS}", allow_not_found=True)):
+            if posixpath.basename(f.path).startswith("part-"):
+                with self.store.open_input_stream(f.path) as lines:
+                    for name, top in map(str.split, lines.read().decode().splitlines()):
+                        tops[name] = max(float(top), tops.get(name, 0.0))  # of a page that was stored again the latest of both
+        return sorted((n, t) for n, t in tops.items() if n >= cursor and t > since)
 
     def fetch(self, cursor: str, since: float) -> list[dict]:
         """The pushes of a page that changed after a time, each with its place in the page."""
@@ -51,9 +61,9 @@ def number_of(cursor: str) -> int:
     return int(cursor[5:14])
 
 
-class Page(InputPartition):
-    def __init__(self, cursor: str, since: float):
-        self.cursor, self.since = cursor, since
+class Fetch(InputPartition):
+    def __init__(self, cursors: list[str], since: float):
+        self.cursors, self.since = cursors, since
 
 
 class PushReader(DataSourceStreamReader):
@@ -63,38 +73,27 @@ class PushReader(DataSourceStreamReader):
     def initialOffset(self) -> dict:
         return {"modified": self.since, "cursor": "", "top": self.since}
 
-    def walk(self, start: dict, most: int) -> tuple[list[Page], dict]:
-        """Up to `most` pages with pushes from an offset on, and the offset after them. Pages without new pushes don't count."""
-        pages, since, top = [], start["modified"], start["top"]
-        cursor = self.client.following(start["cursor"])
-        while cursor and len(pages) < most:
-            changed = [float(r["modified"]) for r in self.client.fetch(cursor, since)]
-            if changed:
-                pages.append(Page(cursor, since))
-                top = max(top, *changed)
-            cursor = self.client.following(f"page-{number_of(cursor) + 1:09d}")
-        while cursor and not self.client.fetch(cursor, since):  # what is left may have nothing new
-            cursor = self.client.following(f"page-{number_of(cursor) + 1:09d}")
-        return pages, {"modified": since, "cursor": cursor, "top": top} if cursor else {"modified": top, "cursor": "", "top": top}
-
     def latestOffset(self) -> dict:
-        self.now = self.walk(self.now or self.initialOffset(), self.max_pages)[1]
+        """The offset after up to max_pages pages with new pushes; pages without don't count."""
+        start = self.now or self.initialOffset()
+        since, changed = start["modified"], self.client.changed(start["cursor"], start["modified"])
+        top = max([start["top"], *(t for _, t in changed[: self.max_pages])])
+        left = [c for c, _ in changed[self.max_pages : self.max_pages + 1]]
+        self.now = {"modified": since, "cursor": left[0], "top": top} if left else {"modified": top, "cursor": "", "top": top}
         return self.now
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
         if self.now is None:  # after a restart Spark plans the last batch first
             self.now = end
-        pages, most = [], self.max_pages
-        while True:  # as many pages as lead from one offset to the other
-            pages, reached = self.walk(start, most)
-            if reached == end or not reached["cursor"]:
-                return pages
-            most += 1
+        cursors = [c for c, _ in self.client.changed(start["cursor"], start["modified"]) if not end["cursor"] or c < end["cursor"]]
+        return [Fetch(cursors[k : k + PER_TASK], start["modified"]) for k in range(0, len(cursors), PER_TASK)]
 
-    def read(self, partition: Page) -> Iterator[tuple]:
-        page = number_of(partition.cursor)
-        for r in Pages(self.path).fetch(partition.cursor, partition.since):
-            yield (page, int(r["place"]), *(float(r[c]) if c == "modified" else r.get(c) for c in FIELDS))
+    def read(self, partition: Fetch) -> Iterator[tuple]:
+        client = Pages(self.path)
+        for cursor in partition.cursors:
+            page = number_of(cursor)
+            for r in client.fetch(cursor, partition.since):
+                yield (page, int(r["place"]), *(float(r[c]) if c == "modified" else r.get(c) for c in FIELDS))
 
 
 class PagedPushes(DataSource):
@@ -118,10 +117,12 @@ def pushes(spark: SparkSession, path: str, since: float = 0.0, max_pages: int =
 
 
 def store_pages(pushes: DataFrame, path: str) -> None:
-    """Writes pushes (page, place and the fields of a push) as pages that the source reads, a file a page; a page has as many pushes as its source gives at once."""
-    body = F.to_json(F.struct("place", *FIELDS))
+    """Writes pushes (page, place and the fields of a push) as pages that the source reads, a file a page, then adds them to its list of pages; a page has as many pushes as its source gives at once."""
+    body, name = F.to_json(F.struct("place", *FIELDS)), F.format_string("page-%09d.json", "page")
     pages = pushes.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("place", body.alias("body")))).alias("rows"))
-    text_files(pages.select(F.format_string("page-%09d.json", "page").alias("name"), F.array_join(F.transform("rows", lambda r: r["body"]), "\n").alias("body")), path, "name", "body")
+    text_files(pages.select(name.alias("name"), F.array_join(F.transform("rows", lambda r: r["body"]), "\n").alias("body")), path, "name", "body")
+    tops = pushes.groupBy("page").agg(F.max(F.coalesce("modified", F.lit(0.0))).alias("top"))
+    tops.select(F.concat_ws(" ", name, "top").alias("value")).write.mode("append").text(f"{path}/{LISTS}")
 
 
 def pull_state(progress) -> dict:
