@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import text_of, trimmed
+from gleaner.functions.text import let, text_of, trimmed
 from gleaner.functions.urls import detect_source
 
 #: Marks around a line; lines, beginnings and ends that say nothing; phrases of low quality; words that leave a line open.
@@ -30,22 +30,23 @@ def _any(values: list[str], test) -> Column:
     return F.exists(F.array(*map(F.lit, values)), test)
 
 
+def _open(t: Column) -> Column:
+    return (t == "") | _any(OPEN_STARTS, lambda x: t.startswith(x)) | _any(OPEN_ENDS, lambda x: t.endswith(x))
+
+
 def is_open(line: Column | str) -> Column:
     """Whether a line ends or begins as half a sentence does."""
-    t = _bare(line)
-    return (t == "") | _any(OPEN_STARTS, lambda x: t.startswith(x)) | _any(OPEN_ENDS, lambda x: t.endswith(x))
+    return let(_bare(line), _open)
 
 
 def is_low_quality(line: Column | str) -> Column:
     """Empty, a number, up to two characters, a line or phrase that says nothing, or half a sentence."""
-    t = _bare(line)
-    return (F.length(t) <= 2) | t.rlike(r"\A\d+\z") | t.isin(LOW_LINES) | _any(LOW_PHRASES, lambda x: F.contains(t, x)) | is_open(t)
+    return let(_bare(line), lambda t: (F.length(t) <= 2) | t.rlike(r"\A\d+\z") | t.isin(LOW_LINES) | _any(LOW_PHRASES, lambda x: F.contains(t, x)) | _open(t))
 
 
 def is_low_signal(line: Column | str) -> Column:
     """Whether a spoken line is no reason to show it: up to three characters, a line or beginning that says nothing, or short and open."""
-    t = _bare(line)
-    return (F.length(t) <= 3) | t.isin(EMPTY_LINES) | _any(EMPTY_STARTS, lambda x: t.startswith(x)) | (F.length(t) <= 10) & (t.endswith("这个") | t.endswith("这样"))
+    return let(_bare(line), lambda t: (F.length(t) <= 3) | t.isin(EMPTY_LINES) | _any(EMPTY_STARTS, lambda x: t.startswith(x)) | (F.length(t) <= 10) & (t.endswith("这个") | t.endswith("这样")))
 
 
 def is_video_note(source_type: Column | str, url: Column | str, note_type: Column | str, has_video: Column) -> Column:
@@ -92,18 +93,17 @@ def answer_only(text: Column | str) -> Column:
 
 def words_around(text: Column | str, words: list[str], most: int) -> Column:
     """The window around the first of the words (in their order) that gives one: from ten characters before it, `most` characters long, at both ends as far as to the next break; empty without any."""
-    t = trimmed(text)
 
-    def around(word: str) -> Column:
-        at = F.instr(t, word)
-        head = F.substring(t, F.lit(1), F.greatest(at - 11, F.lit(0)))
-        start = F.length(head) - F.length(F.regexp_extract(head, f"([^{BREAKS}]*)$", 1))
+    def cut(t: Column, start: Column) -> Column:
         end = F.least(F.length(t), start + most)
         tail = F.regexp_extract(F.substring(t, end + 1, F.length(t)), f"^([^{BREAKS}]*)", 1)
-        found = F.btrim(F.concat(F.substring(t, start + 1, end - start), tail), F.lit(MARKS))
-        return F.when((at > 0) & ~is_low_quality(found), found)
+        return F.btrim(F.concat(F.substring(t, start + 1, end - start), tail), F.lit(MARKS))
+
+    def from_place(t: Column, at: Column) -> Column:
+        start = let(F.substring(t, F.lit(1), F.greatest(at - 11, F.lit(0))), lambda head: F.length(head) - F.length(F.regexp_extract(head, f"([^{BREAKS}]*)$", 1)))
+        return F.when(at > 0, let(let(start, lambda s: cut(t, s)), lambda found: F.when(~is_low_quality(found), found)))
 
-    return F.coalesce(*map(around, words), F.lit(""))
+    return let(trimmed(text), lambda t: F.coalesce(*(let(F.instr(t, w), lambda at: from_place(t, at)) for w in words), F.lit("")))
 
 
 def tags_by_rules(tags: Column, text: Column, rules: list[tuple[str, list[list[str]]]], most: int = 8) -> Column:
