@@ -82,13 +82,19 @@ def ocr_cleaned(text: Column | str) -> Column:
 
 def answer_only(text: Column | str) -> Column:
     """A model's answer without the lines that it puts before and after; lines between are kept as they are, but for blanks at their ends."""
+    bare = lambda lines: F.transform(lines, trimmed)
+    own = lambda pattern: lambda x: (x != "") & ~x.rlike(pattern)  # noqa: E731  of a bare line: whether it belongs to the answer
+
+    def between(lines: Column, plain: Column) -> Column:
+        first = F.array_position(F.transform(plain, own(BEFORE)), F.lit(True))
+        return let(first, lambda k: F.when(k > 0, last_cut(F.slice(lines, F.greatest(k, F.lit(1)), F.size(lines)), F.slice(plain, F.greatest(k, F.lit(1)), F.size(plain)))).otherwise(""))
+
+    def last_cut(lines: Column, plain: Column) -> Column:
+        after = F.array_position(F.reverse(F.transform(plain, own(AFTER))), F.lit(True))
+        return let(after, lambda k: F.when(k > 0, trimmed(F.array_join(F.slice(lines, F.lit(1), F.size(lines) - k + 1), "\n"))).otherwise(""))
+
     lines = F.transform(F.split(text_of(text), r"\r?\n"), lambda x: F.regexp_replace(x, r"\s+$", ""))
-    extra = lambda pattern: F.transform(lines, lambda x: (trimmed(x) == "") | trimmed(x).rlike(pattern))
-    first = F.array_position(extra(BEFORE), F.lit(False))
-    rest = F.slice(lines, F.greatest(first, F.lit(1)), F.size(lines))
-    after = F.array_position(F.reverse(F.slice(extra(AFTER), F.greatest(first, F.lit(1)), F.size(lines))), F.lit(False))
-    kept = F.slice(rest, F.lit(1), F.greatest(F.size(rest) - after + 1, F.lit(0)))
-    return F.when((first == 0) | (after == 0), "").otherwise(trimmed(F.array_join(kept, "\n")))
+    return let(lines, lambda x: let(bare(x), lambda y: between(x, y)))
 
 
 def words_around(text: Column | str, words: list[str], most: int) -> Column:
