@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import text_of, urls_in
+from gleaner.tables import written
+
+#: Characters of files that a task gives on at once.
+LIBRARY_CHARS = 4_000_000
 
 PUSH = "type string, url string, title string, body string, modified double"
 
@@ -34,9 +38,56 @@ def snapshot(spark: SparkSession, path: str, note: str) -> DataFrame:
     return raw.select(F.explode("boards").alias("board", "notes")).select("board", F.posexplode("notes").alias("place", "note")).select("board", "place", "note.*")
 
 
+def files_below(spark: SparkSession, path: str) -> DataFrame:
+    """at: all files below a folder of any store that Arrow reaches, as the store's own paths. Tasks list folders, a level at a time, so one task needs the names in one folder alone; as for Spark, names that begin with _ or . don't count."""
+    from pyarrow import fs
+
+    def names(batches):
+        import pyarrow as pa
+
+        store = fs.FileSystem.from_uri(path)[0]
+        for b in batches:
+            for folder in b.column("at").to_pylist():
+                found = [f for f in store.get_file_info(fs.FileSelector(folder)) if not f.base_name.startswith(("_", "."))]
+                yield pa.RecordBatch.from_arrays([pa.array([f.path for f in found], pa.string()), pa.array([f.type == fs.FileType.Directory for f in found], pa.bool_())], names=["at", "folder"])
+
+    tasks, below = spark.sparkContext.defaultParallelism, None
+    level = spark.createDataFrame([(fs.FileSystem.from_uri(path)[1],)], "at string").coalesce(1)
+    while True:
+        found = written(level.mapInArrow(names, "at string, folder boolean"), "names")[0]
+        below = found if below is None else below.union(found)
+        folders = found.where("folder")
+        if folders.isEmpty():
+            return below.where("not folder").select("at")
+        level = folders.select("at").repartition(4 * tasks, "at")
+
+
 def markdown_library(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of all Markdown files below a folder."""
-    return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).where(F.lower("path").endswith(".md"))
+    """(path, text) of all Markdown files below a folder of any store that Arrow reaches; a task reads thousands."""
+    from pyarrow import fs
+
+    root = fs.FileSystem.from_uri(path)[1]
+    scheme = path[: path.rfind(root)] if root in path else ""
+
+    def read(batches):
+        import pyarrow as pa
+
+        store = fs.FileSystem.from_uri(path)[0]
+        for b in batches:
+            held, size = [], 0
+            for at in b.column("at").to_pylist():
+                with store.open_input_stream(at) as f:
+                    held.append((scheme + at, f.read().decode(errors="replace")))
+                size += len(held[-1][1])
+                if size > LIBRARY_CHARS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held, strict=True)], names=["path", "text"])
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held, strict=True)], names=["path", "text"])
+
+    files = files_below(spark, path).where(F.lower("at").endswith(".md"))
+    tasks = max(4 * spark.sparkContext.defaultParallelism, files.count() // 4000)
+    return files.repartition(tasks, "at").mapInArrow(read, "path string, text string")
 
 
 def seconds(time: Column) -> Column:

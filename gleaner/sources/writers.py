@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import posixpath
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,15 +29,18 @@ def markdown(note: dict[str, Column]) -> Column:
 
 
 def text_files(rows: DataFrame, path: str, name: str, text: str) -> None:
-    """Writes a file for each row, under its name, in a folder of any store that Arrow reaches. Tasks write their own rows; a row that is written again gives the same file."""
+    """Writes a file for each row, under its name, in a folder of any store that Arrow reaches; a name may have folders before it. Tasks write their own rows; a row that is written again gives the same file."""
 
     def write(batches):
         from pyarrow import fs
 
         store, folder = fs.FileSystem.from_uri(path)
-        store.create_dir(folder, recursive=True)
+        there = set()
         for b in batches:
             for own, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if (at := posixpath.dirname(f"{folder}/{own}")) not in there:
+                    store.create_dir(at, recursive=True)
+                    there.add(at)
                 with store.open_output_stream(f"{folder}/{own}") as f:
                     f.write((content or "").encode())
             yield b.select([name])
