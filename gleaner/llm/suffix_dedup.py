@@ -16,9 +16,7 @@ no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +30,8 @@ from gleaner.llm.induced import repeated_starts
 
 #: Segments of one anchor that a task sorts together, under 5 MB; beyond that an anchor is hot.
 HOT = 6000
-#: Windows are taken from at most so many bytes or words at once.
-BLOCK = 1 << 20
+#: Windows of a long text are taken from at most so many bytes or words at once, and those of short texts together from so many, which a processor's cache holds.
+BLOCK, GROUP = 1 << 20, 1 << 18
 #: Fixed values of the rolling hash: odd multipliers.
 MULTIPLIER, FINISH = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -76,9 +74,8 @@ def leftmost_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(ahead[: n - width + 1], behind[width - 1 : n])
 
 
-@functools.cache
-def word_pattern() -> re.Pattern:
-    return re.compile(rb"[^\x09-\x0d\x20]+")
+#: By byte: whether it stands between words.
+BLANK = np.isin(np.arange(256), [*range(9, 14), 32])
 
 
 def units_of_word(word: bytes) -> list[bytes]:
@@ -121,15 +118,16 @@ class Words:
         return np.frombuffer(b"".join([digest(w, 42) for w in words]), np.uint64)
 
     @staticmethod
-    def places(data: bytes) -> list[tuple[int, int]]:
+    def places(data: bytes) -> np.ndarray:
         """First byte and end of each unit."""
-        out = []
-        for m in word_pattern().finditer(data):
-            at = m.start()
-            for u in units_of_word(m.group()):
-                out.append((at, at + len(u)))
-                at += len(u)
-        return out
+        codes = np.frombuffer(data, np.uint8)
+        edge = np.diff(np.concatenate([[True], BLANK[codes], [True]]).astype(np.int8))
+        first, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        long = np.flatnonzero(end - first > LONG)
+        if len(long):
+            inner = [a + 1 + np.flatnonzero(codes[a + 1 : z] & 0xC0 != 0x80) for a, z in zip(first[long].tolist(), end[long].tolist(), strict=True)]  # where a character begins
+            first, end = (np.sort(np.concatenate([x, *inner])) for x in (first, end))
+        return np.stack([first, end], axis=1)
 
     @classmethod
     def symbols(cls, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -191,7 +189,7 @@ def text_runs(texts: list[np.ndarray], length: int, form: type) -> Iterator[list
     for k, t in enumerate(texts):
         if len(t) < length:
             continue
-        if held + len(t) > BLOCK and group:
+        if held + len(t) > GROUP and group:
             yield flush()
             group, held = [], 0
         if len(t) > BLOCK:
@@ -335,7 +333,7 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 def word_spans(data: bytes, spans: list[dict]) -> list[tuple[int, int]]:
     """Spans of bytes, ascending and merged, for spans of words."""
     places = Words.places(data)
-    return merged([{"from": places[s["from"]][0], "to": places[s["to"] - 1][1]} for s in spans])
+    return merged([{"from": int(places[s["from"], 0]), "to": int(places[s["to"] - 1, 1])} for s in spans])
 
 
 def cleaned(df: DataFrame, *more: str, length: int = 0, words: int = 0, shard_bytes: int = 2 << 20) -> DataFrame:

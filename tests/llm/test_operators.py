@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import sys
 import zlib
 from collections import Counter
@@ -208,6 +209,27 @@ def test_suffix_dedup(spark, docs, monkeypatch, hot):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_places_and_groups_of_windows(monkeypatch):
+    """Units' places come as one array, equal to a walk over words and characters; windows are the same however many texts are taken together."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choices("aé中 \t\n\x0b\x85\xa0😀", k=rng.randrange(300))) + "é中x" * rng.randrange(60) for _ in range(200)] + ["", " ", "a", "x" * 61, " y" * 70]
+    for data in (t.encode() for t in texts):
+        want = []
+        for m in re.finditer(rb"[^\x09-\x0d\x20]+", data):
+            at = m.start()
+            for u in suffix_dedup.units_of_word(m.group()):
+                want.append((at, at + len(u)))
+                at += len(u)
+        places = suffix_dedup.Words.places(data)
+        assert isinstance(places, np.ndarray) and list(map(tuple, places.tolist())) == want
+    for form, length in ((suffix_dedup.Bytes, 80), (suffix_dedup.Words, 12)):
+        codes, runs = [form.codes(t.encode()) for t in texts], []
+        for group in (1 << 18, 700):
+            monkeypatch.setattr(suffix_dedup, "GROUP", group)
+            runs.append(sorted(r[:4] + r[6:] for c in suffix_dedup.text_runs(codes, length, form) for r in zip(*(x.tolist() for x in c), strict=True)))  # what stands beside an anchor counts only within the segment
+        assert runs[0] and runs[0] == runs[1]
+
+
 def test_chat_repair(spark, monkeypatch):
     monkeypatch.setattr(chat, "SEGMENT", 2)
     rng, rows, want = random.Random(1), [], {}
