@@ -358,6 +358,50 @@ def test_lm_base_and_model(spark, docs):
     assert rows[rows.held_out].score.sum() > rows[rows.held_out].base_score.sum()
 
 
+def test_words_of_a_first_subword_add_up_to_one():
+    stop = attention.STOP
+    can = np.isin(np.arange(stop), [0, 1, stop - 1])
+    after = np.bincount([5, 6, stop], [9, 2, 20], stop + 1)
+    spelling = attention.Spelling(np.array([0 << 16 | 5, 0 << 16 | stop, 5 << 16 | stop]), np.array([3, 4, 3]), after, can, np.zeros(stop, np.int64))
+    every = np.arange(stop + 1)
+    for token in (0, 5, 7):  # with pairs and without: all that can stand after a subword
+        step = spelling.rest(every, np.full(stop + 1, token), every, np.zeros(stop + 1, np.int64), np.zeros(stop + 1))
+        assert np.exp(step).sum() == pytest.approx(1)
+    words = [(), (5,), (6,), (5, 5), (7, 6)]
+    spell = np.repeat(np.arange(5), [1, 2, 2, 3, 3]), np.concatenate([[0, *w] for w in words]), np.concatenate([[*w, stop] for w in words]), np.zeros(5, np.int64)
+    spelt = np.exp(spelling.rest(*spell, np.zeros(5)))
+    spelling.begun[0], spelling.kinds[0] = 7, 2
+    got = np.exp(spelling.rest(*spell, np.array([4, 3, 0, 0, 0])))
+    unseen = got[2] / spelt[2]  # what all words without a count have in common
+    assert got.sum() + unseen * (1 - spelt.sum()) == pytest.approx(1) and got[3:] == pytest.approx(spelt[3:] * unseen) and got[0] > got[1] > 0.2
+    long = spelling.rest(np.zeros(2000, np.int64), np.full(2000, 7), np.append(np.full(1999, 7), stop), np.zeros(1, np.int64), np.zeros(1))
+    assert long[0] < -1500  # no floor
+
+
+def test_a_text_is_cut_once_and_chunks_keep_it(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK_CHARS", 3000)
+    some = docs[["doc_id", "text"]][:40].values.tolist() + [[900, ""], [901, "\u00a0 \u00a0\u00a0 x\u00a0 \u3000"], [None, "w" * 5000]]
+    table = spark.createDataFrame(some, "doc_id long, text string").selectExpr("doc_id", "text", "coalesce(doc_id % 3 = 0, false) held")
+    rows = lm.chunks(table, RANKS).toArrow()
+    encode, got, n = lm.token_ids(RANKS), Counter(), Counter()
+    for row, c in lm.each_chunk(rows.to_batches()):
+        words, ends = row["words"].as_py().split(b" "), np.cumsum(c.cuts)
+        assert len(set(words)) == len(words)
+        for k, w in enumerate(words):
+            assert c.ids[ends[k] - c.cuts[k] : ends[k]].tolist() == (lm.ids_of([w], encode).tolist() if w else [])
+        n.update({w: int(x) for w, x in zip(words, c.n, strict=True) if x})
+        got.update((i, h, tuple(words[x] for x in part)) for i, h, part in zip(row["doc_id"].as_py(), row["held"].as_py(), np.split(c.numbers, np.cumsum(c.sizes)[:-1]), strict=True))
+    want = [(i, i is not None and i % 3 == 0, (*lm.words_of(t), b"")) for i, t in some]
+    assert got == Counter(want) and len(rows) > 3 and n == Counter(w for _, h, ws in want if not h for w in ws)
+    # counts come back to every chunk
+    counts, _ = lm.count_words(spark.createDataFrame(rows))
+    back = {r.chunk: {} for r in counts.collect()}
+    for r in counts.collect():
+        back[r.chunk].update(zip(np.frombuffer(r.numbers, np.int32).tolist(), np.frombuffer(r.c, np.int64).tolist(), strict=True))
+    for row, c in lm.each_chunk(rows.to_batches()):
+        assert back[row["chunk"].as_py()] == {k: n[w] for k, w in enumerate(row["words"].as_py().split(b" "))}
+
+
 def test_most_frequent_is_bounded(spark):
     counts = spark.createDataFrame([("a", 5), ("d", 1), *((f"b{k}", 3) for k in range(400))], "word string, n long")
     got = {most: {r.word for r in most_frequent(counts, most).collect()} for most in (0, 1, 101, 401, 900)}
