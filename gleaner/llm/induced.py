@@ -188,6 +188,17 @@ def common_part(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np
     return out
 
 
+def first_places(new: np.ndarray) -> np.ndarray:
+    """At each place the last one up to it that is new; the first one is."""
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+
+def shared_places(ranks: np.ndarray) -> np.ndarray:
+    """Places of sorted ranks that a neighbour has, too."""
+    same = np.concatenate([[False], ranks[1:] == ranks[:-1], [False]])
+    return np.flatnonzero(same[1:] | same[:-1])
+
+
 def sorted_seeds(shard: Shard, depth: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """The seeds in order of their suffixes, exact for the first `depth` symbols, and their common prefixes, exact up to depth."""
     text, seeds, n = shard.text, shard.seeds, len(shard.text)
@@ -208,19 +219,22 @@ def sorted_seeds(shard: Shard, depth: int, limit: int) -> tuple[np.ndarray, np.n
     at = np.flatnonzero(equal)
     equal[at] = same_bytes(text, seeds[a[at]], seeds[b[at]], length[a[at]])
     rank = np.empty(len(seeds), np.int32)
-    rank[order] = np.append(0, np.cumsum(~equal))
-    # the string of names: ranks of 1, 2, 4 ... names, until all differ or cover depth (a name covers two symbols at least)
+    rank[order] = first_places(np.append(True, ~equal))
+    # the string of names: ranks of 1, 2, 4 ... names, until all differ or cover depth (a name covers two symbols at least); a seed whose rank no other has keeps its place
     ranks, h = [rank], 1
-    while h * 2 < 2 * depth and rank.max() + 1 < len(seeds):
-        key = rank * np.int64(len(seeds) + 1)
-        key[: max(0, len(seeds) - h)] += rank[h:] + 1
-        order = np.argsort(key)
-        key = key[order]
-        new = np.empty(len(seeds), np.int32)
-        new[order] = np.append(0, np.cumsum(key[1:] != key[:-1]))
-        rank, h = new, h * 2
+    shared = shared_places(rank[order])
+    while h * 2 < 2 * depth and len(shared):
+        own = order[shared]
+        key = rank[own] * np.int64(len(seeds) + 1)
+        inside = own + h < len(seeds)
+        key[inside] += rank[own[inside] + h] + 1
+        by_key = np.argsort(key)
+        own, key = own[by_key], key[by_key]  # those of one rank stay together, so each has a place of the same ones
+        order[shared] = own
+        rank = rank.copy()
+        rank[own] = shared[first_places(np.append(True, key[1:] != key[:-1]))]
+        shared, h = shared[shared_places(rank[own])], h * 2
         ranks.append(rank)
-    order = np.argsort(rank)
     # common prefixes: as many equal names as the ranks tell, then symbols within the first name that differs
     a, b = order[:-1].astype(np.int64), order[1:].astype(np.int64)
     for k in range(len(ranks) - 1, -1, -1):

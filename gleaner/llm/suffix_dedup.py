@@ -45,11 +45,14 @@ class Rolling:
             self.inverse = np.cumprod(np.append(np.uint64(1), np.full(most, pow(MULTIPLIER, -1, 1 << 64), np.uint64)), dtype=np.uint64)
         self.value = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 
-    def grams(self, data: np.ndarray, size: int) -> np.ndarray:
-        n = len(data)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.value[data] if data.dtype == np.uint8 else data) * self.power[:n], out=sums[1:])
-        h = (sums[size:] - sums[:-size]) * self.inverse[: n - size + 1]
+    def sums(self, data: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((self.value[data] if data.dtype == np.uint8 else data) * self.power[: len(data)], out=out[1:])
+        return out
+
+    def grams(self, sums: np.ndarray, size: int, at: np.ndarray | None = None) -> np.ndarray:
+        """Of all places, or of those at which a gram begins."""
+        h = (sums[size:] - sums[:-size]) * self.inverse[: len(sums) - size] if at is None else (sums[at + size] - sums[at]) * self.inverse[at]
         h ^= h >> np.uint64(29)
         h *= np.uint64(FINISH)
         h ^= h >> np.uint64(32)
@@ -113,7 +116,7 @@ class Words:
     def codes(data: bytes) -> np.ndarray:
         digest = xxhash.xxh64_digest
         words = data.split()
-        if words and len(max(words, key=len)) > LONG:
+        if max(map(len, words), default=0) > LONG:
             words = [u for w in words for u in units_of_word(w)]
         return np.frombuffer(b"".join([digest(w, 42) for w in words]), np.uint64)
 
@@ -146,7 +149,8 @@ class Words:
 
 def anchored_runs(data: np.ndarray, length: int, gram: int, valid: np.ndarray) -> tuple[np.ndarray, ...]:
     """First start, number of starts, anchor hash and the hashes of what stands left and right of the anchor, of each run among the valid starts of data (at most BLOCK units or so)."""
-    h = rolling().grams(data, gram)
+    sums = rolling().sums(data)
+    h = rolling().grams(sums, gram)
     position_bits = np.uint64(24)
     keys = (h >> position_bits << position_bits) | np.arange(len(h), dtype=np.uint64)
     anchor = (leftmost_least(keys, length - gram + 1) & np.uint64((1 << 24) - 1)).astype(np.int64)
@@ -154,9 +158,7 @@ def anchored_runs(data: np.ndarray, length: int, gram: int, valid: np.ndarray) -
     own = anchor[starts]
     new = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (starts[1:] != starts[:-1] + 1)))
     at, side = own[new], beside(length, gram)
-    sides = rolling().grams(data, side)
-    left = np.where(at >= side, sides[np.maximum(at - side, 0)], 0)
-    right = np.where(at + gram + side <= len(data), sides[np.minimum(at + gram, len(sides) - 1)], 0)
+    left, right = (np.where((x >= 0) & (x + side <= len(data)), rolling().grams(sums, side, np.clip(x, 0, len(data) - side)), 0) for x in (at - side, at + gram))
     return starts[new], np.diff(np.append(new, len(starts))), *(x.view(np.int64) for x in (h[at], left.astype(np.uint64), right.astype(np.uint64)))
 
 
@@ -336,7 +338,7 @@ def word_spans(data: bytes, spans: list[dict]) -> list[tuple[int, int]]:
     return merged([{"from": int(places[s["from"], 0]), "to": int(places[s["to"] - 1, 1])} for s in spans])
 
 
-def cleaned(df: DataFrame, *more: str, length: int = 0, words: int = 0, shard_bytes: int = 2 << 20) -> DataFrame:
+def cleaned(df: DataFrame, *more: str, length: int = 0, words: int = 0, shard_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, the columns named in more, text, spans, passages (null: nothing to remove): each document beside its repeated strings of `length` bytes and passages of so many words (0: not sought)."""
     docs = documents(df)
     spans = df.sparkSession.createDataFrame([], "_id long, _hash long, kind string, spans array<struct<from:int,to:int>>")
@@ -349,7 +351,7 @@ def cleaned(df: DataFrame, *more: str, length: int = 0, words: int = 0, shard_by
     return whole.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left").drop("_id", "_hash", "_text_hash")
 
 
-def remove_repeats(df: DataFrame, *more: str, length: int = 400, words: int = 0, shard_bytes: int = 2 << 20) -> DataFrame:
+def remove_repeats(df: DataFrame, *more: str, length: int = 400, words: int = 0, shard_bytes: int = 1 << 20) -> DataFrame:
     """The documents without their repeated strings of `length` bytes and passages of so many words (0: not sought); what remains of a cut character goes too."""
 
     def run(rows: dict) -> dict:
@@ -366,7 +368,7 @@ def remove_repeats(df: DataFrame, *more: str, length: int = 400, words: int = 0,
     return per_batch(both, run, ", ".join(["doc_id long", "text string", *(f"`{c}` {types[c]}" for c in more)]))
 
 
-def removal_digests(df: DataFrame, length: int = 400, words: int = 51, shard_bytes: int = 2 << 20) -> DataFrame:
+def removal_digests(df: DataFrame, length: int = 400, words: int = 51, shard_bytes: int = 1 << 20) -> DataFrame:
     """What removing the repeated strings of `length` bytes does to each document; beside it n_passage_bytes, the bytes in passages of so many words that also start elsewhere, whatever their bytes."""
 
     def run(rows: dict) -> dict:

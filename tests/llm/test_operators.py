@@ -423,6 +423,22 @@ def test_tokens_of_a_class_add_up_to_one():
         assert sums == pytest.approx(np.ones(attention.CLASSES), rel=1e-4)
 
 
+def test_shared_ranks_sort_like_all(monkeypatch):
+    rng = np.random.default_rng(6)
+    text = np.concatenate([rng.integers(1, 4, 3000), np.tile(rng.integers(1, 4, 50), 30), np.ones(90, int)]).astype(np.uint16)
+    sorted_keys, plain = [], np.argsort
+    monkeypatch.setattr(induced.np, "argsort", lambda x, **kw: (sorted_keys.append(len(x)), plain(x, **kw))[1])
+    for depth in (5, 40, 400):
+        seeds, lcp = induced.sorted_seeds(induced.Shard(text, 5), depth, 1 << 20)
+        tails = [text[i : i + depth].tolist() for i in seeds]
+        assert tails == sorted(tails)
+        for k in range(1, len(seeds)):
+            same = next((j for j, (x, y) in enumerate(zip(tails[k - 1], tails[k], strict=False)) if x != y), min(map(len, tails[k - 1 : k + 1])))
+            assert min(int(lcp[k]), depth) == min(same, depth)
+    monkeypatch.setattr(induced.np, "argsort", plain)
+    assert sorted_keys[-1] < len(seeds) / 2  # the last round takes those alone that are not told apart yet
+
+
 def test_empty_lexicon_holds_nothing():
     lexicon = bpe.Lexicon(bpe.compile_lexicon({}))
     assert lexicon.get(b"word") is None and lexicon.get(b"") is None
