@@ -220,10 +220,14 @@ def sorted_seeds(shard: Shard, depth: int, limit: int) -> tuple[np.ndarray, np.n
     equal[at] = same_bytes(text, seeds[a[at]], seeds[b[at]], length[a[at]])
     rank = np.empty(len(seeds), np.int32)
     rank[order] = first_places(np.append(True, ~equal))
-    # the string of names: ranks of 1, 2, 4 ... names, until all differ or cover depth (a name covers two symbols at least); a seed whose rank no other has keeps its place
+    # the string of names: ranks of 1, 2, 4 ... names, until all differ or cover depth; a seed whose rank no other has, or whose names cover depth, keeps its place
     ranks, h = [rank], 1
     shared = shared_places(rank[order])
-    while h * 2 < 2 * depth and len(shared):
+    while True:
+        own = order[shared]
+        shared = shared[seeds[np.minimum(own + h, len(seeds) - 1)] - seeds[own] < depth]
+        if not len(shared):
+            break
         own = order[shared]
         key = rank[own] * np.int64(len(seeds) + 1)
         inside = own + h < len(seeds)

@@ -4,8 +4,8 @@ Sharding. Equal strings of `length` bytes must meet. Each start of such a string
 leftmost least hash among its grams (64 bytes or 8 words), which depends on the window alone. Neighbouring starts with one anchor
 form a run, whose units (bytes, or words where passages of words are sought) are a segment of at most 2 * length units. An anchor that occurs once in the corpus ends there: none of
 its windows can be repeated. Equal segments of an anchor are counted before they move (copies of a text cost one segment) and
-all their windows are repeated. Where an anchor has several different segments, those that share what stands on one side of it (a
-window has half its units at least on one side) have their suffixes sorted: the segments go, by anchor, to shards of `shard_bytes`, and each shard is sorted by induction with prefix values, see induced.py, spilling
+all their windows are repeated. Where an anchor has several different segments, they go, by anchor, to shards of `shard_bytes`. A shard leaves
+out what has no long gram about its anchor in common with another segment, and so no window; the suffixes of all others are sorted by induction with prefix values, see induced.py, spilling
 its queues. An anchor with over HOT different segments, such as that of a passage which a third of all documents have, would
 be one large group: its windows are counted one by one, each by its own 128-bit hash, in an aggregate that combines before it shuffles.
 
@@ -30,6 +30,8 @@ from gleaner.llm.induced import repeated_starts
 
 #: Segments of one anchor that a task sorts together, under 5 MB; beyond that an anchor is hot.
 HOT = 6000
+#: A segment is compared with others by so many long grams about its anchor before it is sorted.
+STEPS = 16
 #: Windows of a long text are taken from at most so many bytes or words at once, and those of short texts together from so many, which a processor's cache holds.
 BLOCK, GROUP = 1 << 20, 1 << 18
 #: Fixed values of the rolling hash: odd multipliers.
@@ -53,10 +55,18 @@ class Rolling:
     def grams(self, sums: np.ndarray, size: int, at: np.ndarray | None = None) -> np.ndarray:
         """Of all places, or of those at which a gram begins."""
         h = (sums[size:] - sums[:-size]) * self.inverse[: len(sums) - size] if at is None else (sums[at + size] - sums[at]) * self.inverse[at]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(FINISH)
-        h ^= h >> np.uint64(32)
-        return h
+        return mixed(h)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(FINISH)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+#: Masks of the first 0 to 8 bytes of eight.
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 _rolling: list[Rolling] = []
@@ -77,10 +87,6 @@ def leftmost_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(ahead[: n - width + 1], behind[width - 1 : n])
 
 
-#: By byte: whether it stands between words.
-BLANK = np.isin(np.arange(256), [*range(9, 14), 32])
-
-
 def units_of_word(word: bytes) -> list[bytes]:
     """A word, or the characters of one of over LONG bytes: so text without blanks has passages, too."""
     return [word] if len(word) <= LONG else [c.encode() for c in word.decode()]
@@ -95,9 +101,15 @@ class Bytes:
     gram, size = 64, 1
 
     @staticmethod
-    def codes(data: bytes) -> np.ndarray:
+    def units(data: bytes) -> np.ndarray:
         return np.frombuffer(data, np.uint8)
 
+    codes = units
+
+    @classmethod
+    def codes_of(cls, texts: list[bytes]) -> list[np.ndarray]:
+        return [cls.codes(t) for t in texts]
+
     @staticmethod
     def symbols(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int, int]:
         """The parts as one text of symbols with a 0 after each, the parts' first positions, how many symbols there are, and how many stand for a unit."""
@@ -113,18 +125,38 @@ class Words:
     gram, size, digits = 8, 8, 3
 
     @staticmethod
-    def codes(data: bytes) -> np.ndarray:
-        digest = xxhash.xxh64_digest
-        words = data.split()
-        if max(map(len, words), default=0) > LONG:
-            words = [u for w in words for u in units_of_word(w)]
-        return np.frombuffer(b"".join([digest(w, 42) for w in words]), np.uint64)
+    def units(data: bytes) -> np.ndarray:
+        return np.frombuffer(data, np.uint64)
+
+    @classmethod
+    def codes(cls, data: bytes) -> np.ndarray:
+        return cls.codes_of([data])[0]
+
+    @classmethod
+    def codes_of(cls, texts: list[bytes]) -> list[np.ndarray]:
+        """The words' codes of each text; short texts are taken together, with a blank between them."""
+        out: list[np.ndarray] = []
+        sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // GROUP, prepend=-1)).tolist()
+        for a, z in zip(cuts, [*cuts[1:], len(texts)], strict=True):
+            data = b" ".join(texts[a:z])
+            first, end = cls.places(data).T
+            size, codes = end - first, (end - first).astype(np.uint64)
+            eights = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))  # at each place the eight bytes from it on
+            left, k = np.arange(len(size)), 0
+            while len(left):
+                codes[left] = mixed((codes[left] * np.uint64(MULTIPLIER)) ^ (eights[first[left] + k] & FIRST_BYTES[np.minimum(size[left] - k, 8)]))
+                k += 8
+                left = left[size[left] > k]
+            out += np.split(codes, np.searchsorted(first, np.cumsum(sizes[a : z - 1])))
+        return out
 
     @staticmethod
     def places(data: bytes) -> np.ndarray:
         """First byte and end of each unit."""
         codes = np.frombuffer(data, np.uint8)
-        edge = np.diff(np.concatenate([[True], BLANK[codes], [True]]).astype(np.int8))
+        blank = (codes == 32) | (codes - np.uint8(9) < 5)
+        edge = np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8))
         first, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         long = np.flatnonzero(end - first > LONG)
         if len(long):
@@ -148,36 +180,56 @@ class Words:
 
 
 def anchored_runs(data: np.ndarray, length: int, gram: int, valid: np.ndarray) -> tuple[np.ndarray, ...]:
-    """First start, number of starts, anchor hash and the hashes of what stands left and right of the anchor, of each run among the valid starts of data (at most BLOCK units or so)."""
-    sums = rolling().sums(data)
-    h = rolling().grams(sums, gram)
+    """First start, number of starts and anchor hash of each run among the valid starts of data (at most BLOCK units or so)."""
+    h = rolling().grams(rolling().sums(data), gram)
     position_bits = np.uint64(24)
     keys = (h >> position_bits << position_bits) | np.arange(len(h), dtype=np.uint64)
     anchor = (leftmost_least(keys, length - gram + 1) & np.uint64((1 << 24) - 1)).astype(np.int64)
     starts = np.flatnonzero(valid)
     own = anchor[starts]
     new = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (starts[1:] != starts[:-1] + 1)))
-    at, side = own[new], beside(length, gram)
-    left, right = (np.where((x >= 0) & (x + side <= len(data)), rolling().grams(sums, side, np.clip(x, 0, len(data) - side)), 0) for x in (at - side, at + gram))
-    return starts[new], np.diff(np.append(new, len(starts))), *(x.view(np.int64) for x in (h[at], left.astype(np.uint64), right.astype(np.uint64)))
-
-
-def beside(length: int, gram: int) -> int:
-    """A window has so many units at least on one side of its anchor."""
-    return max(1, (length - gram + 1) // 2)
+    return starts[new], np.diff(np.append(new, len(starts))), h[own[new]].view(np.int64)
+
+
+def alike(parts: list[np.ndarray], anchors: np.ndarray, whole: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Which segments may have a window in common with another one, where either is not whole yet.
+
+    Every window holds one of STEPS grams of nearly its length that begin at fixed distances before its anchor; segments with a window in common have such a gram in common.
+    """
+    step = (length - gram) // STEPS + 1
+    size, sizes = length - step + 1, np.array([len(p) for p in parts], np.int64)
+    keys, owners = [], []
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // (BLOCK >> 1), prepend=-1))
+    for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(parts)], strict=True):
+        ends = np.cumsum(sizes[a:z])
+        first, owner = ends - sizes[a:z], np.repeat(np.arange(z - a), sizes[a:z])
+        sums = rolling().sums(np.concatenate(parts[a:z]))
+        h = rolling().grams(sums, gram).view(np.int64)
+        at = np.flatnonzero(h == anchors[a:z][owner[: len(h)]])
+        at = at[np.append(True, np.diff(owner[at]) > 0)]  # the leftmost one is the anchor
+        for begin in range(0, length - gram + 1, step):
+            there = np.flatnonzero((at - begin >= first) & (at - begin + size <= ends))
+            keys.append(rolling().grams(sums, size, at[there] - begin))
+            owners.append(there + a)
+    own = np.concatenate(owners)
+    _, key, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    useful = (n > 1) & (np.bincount(key, ~whole[own]) > 0)
+    out = np.zeros(len(parts), bool)
+    out[own[useful[key]]] = True
+    return out
 
 
 def text_runs(texts: list[np.ndarray], length: int, form: type) -> Iterator[list[np.ndarray]]:
-    """Columns of runs: which text, first start, starts, anchor, left, right, and two halves of the segment's hash; starts are counted in units."""
+    """Columns of runs: which text, first start, starts, anchor, and two halves of the segment's hash; starts are counted in units."""
     group: list[int] = []
     held = 0
 
     def runs(data: np.ndarray, valid: np.ndarray) -> list[np.ndarray]:
-        first, count, *hashes = anchored_runs(data, length, form.gram, valid)
+        first, count, anchor = anchored_runs(data, length, form.gram, valid)
         view, digest = memoryview(data.tobytes()), xxhash.xxh3_128_digest
         ends = (first + count + length - 1) * form.size
         halves = np.frombuffer(b"".join([digest(view[a:z]) for a, z in zip((first * form.size).tolist(), ends.tolist(), strict=True)]), ">i8").astype(np.int64).reshape(-1, 2)
-        return [first, count, *hashes, halves[:, 0], halves[:, 1]]
+        return [first, count, anchor, halves[:, 0], halves[:, 1]]
 
     def flush() -> list[np.ndarray]:
         data = np.concatenate([texts[k] for k in group])
@@ -206,7 +258,10 @@ def text_runs(texts: list[np.ndarray], length: int, form: type) -> Iterator[list
         yield flush()
 
 
-RUN = "doc_id long, text_hash long, at int, n int, anchor long, l long, r long, s1 long, s2 long"
+#: For written tables whose columns are hashes, of which dictionaries are tried in vain.
+PLAIN = {f"parquet.enable.dictionary#{c}": "false" for c in ("anchor", "s1", "s2", "bytes")}
+
+RUN = "doc_id long, text_hash long, at int, n int, anchor long, s1 long, s2 long"
 
 
 def halves(digest: int) -> tuple[int, int]:
@@ -219,13 +274,11 @@ def runs_of(docs: DataFrame, length: int, form: type) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t.encode() for t in b.column("text").to_pylist()]
-            hashes = np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64)
-            for which, *columns in text_runs([form.codes(t) for t in texts], length, form):
-                columns = [b.column("doc_id").take(pa.array(which)), hashes[which], *columns]
+            for which, *columns in text_runs(form.codes_of(b.column("text").to_pylist()), length, form):
+                columns = [*(b.column(c).take(pa.array(which)) for c in ("doc_id", "text_hash")), *columns]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type, safe=False) if isinstance(c, np.ndarray) else c for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return docs.mapInArrow(run, RUN)
+    return docs.where(F.octet_length("text") >= length).select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text")).mapInArrow(run, RUN)
 
 
 def ranges_of(flags: np.ndarray) -> list[dict]:
@@ -233,7 +286,7 @@ def ranges_of(flags: np.ndarray) -> list[dict]:
     return [{"first": int(a), "n": int(b - a)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-RESULT = "anchor long, s1 long, s2 long, ranges array<struct<first:int,n:int>>"
+RESULT = "s1 long, s2 long, ranges array<struct<first:int,n:int>>"
 
 
 def sorted_shards(segments: DataFrame, length: int, shards: int, form: type) -> DataFrame:
@@ -241,14 +294,19 @@ def sorted_shards(segments: DataFrame, length: int, shards: int, form: type) ->
     arrow = arrow_schema(RESULT)
 
     def sort(table: pa.Table) -> pa.Table:
-        parts = table.column("bytes").to_pylist()
-        text, at, symbols, each = form.symbols(parts)
-        hit = repeated_starts(text, length * each, symbols)
-        rows = []
-        for k, (anchor, s1, s2, whole, n) in enumerate(zip(*(table.column(c).to_pylist() for c in ("anchor", "s1", "s2", "whole", "n")), strict=True)):
-            if not whole and (ranges := ranges_of(hit[at[k] : at[k] + n * each : each])):
-                rows.append({"anchor": anchor, "s1": s1, "s2": s2, "ranges": ranges})
-        return pa.Table.from_pylist(rows, schema=arrow)
+        anchor, s1, s2, whole, n = (table.column(c).to_numpy() for c in ("anchor", "s1", "s2", "whole", "n"))
+        once = np.unique(np.stack([s1, s2], axis=1), axis=0, return_index=True)[1]  # rows of one id and text are cut twice
+        values = table.column("bytes").take(pa.array(once)).to_pylist()
+        near = np.flatnonzero(alike([form.units(v) for v in values], anchor[once], whole[once], length, form.gram))
+        found, ranges, own = [], [], once[near]
+        if len(near):
+            text, at, symbols, each = form.symbols([values[k] for k in near.tolist()])
+            hit = repeated_starts(text, length * each, symbols)
+            for a, k in zip(at.tolist(), own.tolist()):  # at ends with the text's length
+                if not whole[k] and (r := ranges_of(hit[a : a + n[k] * each : each])):
+                    found.append(k)
+                    ranges.append(r)
+        return pa.Table.from_arrays([pa.array(s1[found]), pa.array(s2[found]), pa.array(ranges, arrow.field("ranges").type)], schema=arrow)
 
     return segments.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).repartitionByRange(shards, "shard").groupBy("shard").applyInArrow(sort, RESULT)
 
@@ -257,71 +315,78 @@ def counted_windows(segments: DataFrame, length: int, form: type) -> tuple[DataF
     """The same for the segments of hot anchors: every window is counted by its hash. Also where the windows are written."""
 
     def windows(rows: dict) -> dict:
-        out: dict[str, list] = {k: [] for k in ("anchor", "s1", "s2", "whole", "i", "w1", "w2")}
-        for anchor, s1, s2, whole, n, data in zip(*(rows[c] for c in ("anchor", "s1", "s2", "whole", "n", "bytes")), strict=True):
+        out: dict[str, list] = {k: [] for k in ("s1", "s2", "whole", "i", "w1", "w2")}
+        for s1, s2, whole, n, data in zip(*(rows[c] for c in ("s1", "s2", "whole", "n", "bytes")), strict=True):
             for i in range(n):
-                for c, v in zip(out, (anchor, s1, s2, whole, i, *halves(xxhash.xxh3_128_intdigest(data[i * form.size : (i + length) * form.size]))), strict=True):
+                for c, v in zip(out, (s1, s2, whole, i, *halves(xxhash.xxh3_128_intdigest(data[i * form.size : (i + length) * form.size]))), strict=True):
                     out[c].append(v)
         return out
 
-    every, at = written(per_batch(segments.select("anchor", "s1", "s2", "whole", "n", "bytes"), windows, "anchor long, s1 long, s2 long, whole boolean, i int, w1 long, w2 long"), "windows")
+    once = segments.select("s1", "s2", "whole", "n", "bytes").dropDuplicates(["s1", "s2"])
+    every, at = written(per_batch(once, windows, "s1 long, s2 long, whole boolean, i int, w1 long, w2 long"), "windows")
     twice = every.groupBy("w1", "w2").agg((F.count("*") + F.max(F.col("whole").cast("int"))).alias("c")).where("c > 1").select("w1", "w2")
-    met = every.where("not whole").join(twice, ["w1", "w2"]).groupBy("anchor", "s1", "s2").agg(F.collect_list("i").alias("starts"))  # at most `length` starts
-    return met.select("anchor", "s1", "s2", F.transform("starts", lambda i: F.struct(i.alias("first"), F.lit(1).alias("n"))).alias("ranges")), at
+    met = every.where("not whole").join(twice, ["w1", "w2"]).groupBy("s1", "s2").agg(F.collect_list("i").alias("starts"))  # at most `length` starts
+    return met.select("s1", "s2", F.transform("starts", lambda i: F.struct(i.alias("first"), F.lit(1).alias("n"))).alias("ranges")), at
 
 
 def repeated_spans(docs: DataFrame, length: int, shard_bytes: int, form: type = Bytes) -> tuple[DataFrame, str]:
     """doc_id, text_hash, spans (from, to) of documents that have something to remove, one row for an id and text, spans counted in units; and where they are written."""
-    runs, runs_at = written(runs_of(docs, length, form), "runs")
-    segment = ["anchor", "s1", "s2"]
-    place = ["doc_id", "text_hash", "at", "n", "l", "r"]
-    segments, segments_at = written(runs.groupBy(*segment).agg(F.count("*").alias("c"), *(F.first(c).alias(c) for c in place)), "segments")  # where any one of them is
+    runs, runs_at = written(runs_of(docs, length, form), "runs", PLAIN)
+    segment = ["s1", "s2"]  # equal segments have one anchor
+    place = ["anchor", "doc_id", "text_hash", "at", "n"]
+    segments, segments_at = written(runs.groupBy(*segment).agg(F.count("*").alias("c"), *(F.first(c).alias(c) for c in place)), "segments", PLAIN)  # where any one of them is
     anchors = segments.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("c").alias("all")).where("all > 1").select("anchor", "kinds")
-    met, met_at = written(segments.join(anchors, "anchor").withColumn("whole", F.col("c") > 1), "met")
+    met, met_at = written(segments.join(anchors, "anchor").withColumn("whole", F.col("c") > 1), "met", PLAIN)
     delete(docs.sparkSession, segments_at)
     found = met.where("whole").select(*segment, F.array(F.struct(F.lit(0).alias("first"), F.col("n"))).alias("ranges"))
 
-    # segments with a window in common also have what stands on one side of the anchor in common
-    sides = met.where("kinds > 1").select("anchor", F.explode(F.array("l", "r")).alias("side"), *segment[1:])
-    shared = sides.groupBy("anchor", "side").agg(F.count("*").alias("m")).where("m > 1").select("anchor", "side")
-    alike = sides.join(shared, ["anchor", "side"]).select(*segment).distinct()
-    several, several_at = written(met.where("kinds > 1").join(alike, segment, "left_semi"), "several")
+    several = met.where("kinds > 1")
     size = several.where(f"kinds <= {HOT}").agg(F.sum((F.col("n") + length) * form.size)).first()[0] or 0
-    wanted = several.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(*segment, "whole", "n", "at", "kinds")).alias("parts"))  # runs of one document
+    parts = ["anchor", *segment, "whole", "n", "at", "kinds"]
+    wanted = several.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(*parts)).alias("parts"))  # runs of one document
     texts = docs.withColumn("text_hash", F.xxhash64("text"))
     texts = texts.where(F.octet_length("text") >= length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for text, parts in zip(b.column("text"), b.column("parts"), strict=True):
-                data = form.codes(text.as_py().encode())
-                rows += [p | {"bytes": data[p["at"] : p["at"] + p["n"] + length - 1].tobytes()} for p in parts.as_py()]
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-
-    arrow = pa.schema([("anchor", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("whole", pa.bool_()), ("n", pa.int32()), ("kinds", pa.int64()), ("bytes", pa.binary())])
+            held, flat = b.column("parts"), b.column("parts").flatten()
+            first = flat.field("at").to_numpy() * form.size
+            end = first + (flat.field("n").to_numpy() + length - 1) * form.size
+            values, k = [], 0
+            for codes, many in zip(form.codes_of(b.column("text").to_pylist()), held.value_lengths().to_pylist(), strict=True):
+                data = codes.tobytes()
+                values += [data[a:z] for a, z in zip(first[k : k + many].tolist(), end[k : k + many].tolist(), strict=True)]
+                k += many
+            yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in kept), pa.array(values, pa.binary())], [*kept, "bytes"])
+
+    kept = [c for c in parts if c != "at"]
     same = [texts["doc_id"].eqNullSafe(wanted["doc_id"]), texts["text_hash"] == wanted["text_hash"]]
-    cut_out = texts.join(wanted, same).select("text", "parts").mapInArrow(cut, "anchor long, s1 long, s2 long, whole boolean, n int, kinds long, bytes binary").dropDuplicates(segment)
-    cut_out, cut_at = written(cut_out, "segments")
+    cut_out = texts.join(wanted, same).select(F.col("text").cast("binary").alias("text"), "parts").mapInArrow(cut, "anchor long, s1 long, s2 long, whole boolean, n int, kinds long, bytes binary")
+    cut_out, cut_at = written(cut_out, "segments", PLAIN)
     found = found.union(sorted_shards(cut_out.where(f"kinds <= {HOT}"), length, max(1, -(-size // shard_bytes)), form))
     hot, hot_at = counted_windows(cut_out.where(f"kinds > {HOT}"), length, form)
     found = found.union(hot)
     spans = runs.join(found, segment).select("doc_id", "text_hash", F.transform("ranges", lambda r: F.struct((F.col("at") + r["first"]).alias("from"), (F.col("at") + r["first"] + r["n"] + F.lit(length - 1)).alias("to"))).alias("spans"))
     spans, spans_at = written(spans.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")  # of one document
-    for path in (runs_at, met_at, several_at, cut_at, hot_at):
+    for path in (runs_at, met_at, cut_at, hot_at):
         delete(docs.sparkSession, path)
     free_shuffles(docs.sparkSession)
     return spans, spans_at
 
 
-def merged(spans: list[dict]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for s in sorted((s["from"], s["to"]) for s in spans):
-        if out and s[0] <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], s[1])
-        else:
-            out.append(list(s))
-    return [(a, b) for a, b in out]
+def merged(column: pa.ListArray, gap: int) -> list[list[tuple[int, int]]]:
+    """The spans of each row, ascending, and one where less than `gap` units lie between them (1: they touch, 0: they overlap); none for null."""
+    flat, count = column.flatten(), column.value_lengths().fill_null(0).to_numpy()
+    row = np.repeat(np.arange(len(column)) << 32, count)
+    first, end = (flat.field(c).to_numpy() + row for c in ("from", "to"))
+    order = np.argsort(first)
+    first, end = first[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.append(True, first[1:] >= end[:-1] + gap)[: len(first)])
+    last = np.append(new[1:], len(first))[: len(new)] - 1
+    out: list[list[tuple[int, int]]] = [[] for _ in range(len(column))]
+    for k, a, z in zip((first[new] >> 32).tolist(), (first[new] & 0xFFFFFFFF).tolist(), (end[last] & 0xFFFFFFFF).tolist(), strict=True):
+        out[k].append((a, z))
+    return out
 
 
 def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -332,14 +397,21 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*keep, data[at:]])
 
 
-def word_spans(data: bytes, spans: list[dict]) -> list[tuple[int, int]]:
-    """Spans of bytes, ascending and merged, for spans of words."""
+def word_spans(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of bytes for spans of words, of which blanks between two spans are no part."""
     places = Words.places(data)
-    return merged([{"from": int(places[s["from"], 0]), "to": int(places[s["to"] - 1, 1])} for s in spans])
+    return [(int(places[a, 0]), int(places[z - 1, 1])) for a, z in spans]
+
+
+def rows_with_spans(b: pa.RecordBatch) -> Iterator[tuple[bytes, list[tuple[int, int]], list[tuple[int, int]]]]:
+    """Each row's text as bytes, and its spans and passages, both in bytes."""
+    for text, spans, passages in zip(b.column("text"), merged(b.column("spans"), 1), merged(b.column("passages"), 0), strict=True):
+        data = text.as_py()
+        yield data, spans, word_spans(data, passages) if passages else []
 
 
 def cleaned(df: DataFrame, *more: str, length: int = 0, words: int = 0, shard_bytes: int = 1 << 20) -> DataFrame:
-    """doc_id, the columns named in more, text, spans, passages (null: nothing to remove): each document beside its repeated strings of `length` bytes and passages of so many words (0: not sought)."""
+    """doc_id, the columns named in more, text as bytes, spans, passages (null: nothing to remove): each document beside its repeated strings of `length` bytes and passages of so many words (0: not sought)."""
     docs = documents(df)
     spans = df.sparkSession.createDataFrame([], "_id long, _hash long, kind string, spans array<struct<from:int,to:int>>")
     for kind, least, form in (("spans", length, Bytes), ("passages", words, Words)):
@@ -348,41 +420,46 @@ def cleaned(df: DataFrame, *more: str, length: int = 0, words: int = 0, shard_by
             spans = spans.union(found.select("doc_id", "text_hash", F.lit(kind), "spans"))
     spans = spans.groupBy("_id", "_hash").agg(*(F.first(F.when(F.col("kind") == k, F.col("spans")), True).alias(k) for k in ("spans", "passages")))
     whole = documents(df, *more).withColumn("_text_hash", F.xxhash64("text"))
-    return whole.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left").drop("_id", "_hash", "_text_hash")
+    return whole.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left").drop("_id", "_hash", "_text_hash").withColumn("text", F.col("text").cast("binary"))
 
 
 def remove_repeats(df: DataFrame, *more: str, length: int = 400, words: int = 0, shard_bytes: int = 1 << 20) -> DataFrame:
     """The documents without their repeated strings of `length` bytes and passages of so many words (0: not sought); what remains of a cut character goes too."""
 
-    def run(rows: dict) -> dict:
-        texts = []
-        for t, s, w in zip(rows["text"], rows["spans"], rows["passages"], strict=True):
-            if s or w:
-                data = t.encode()
-                t = without(data, merged([*(s or []), *({"from": a, "to": b} for a, b in word_spans(data, w or []))])).decode("utf-8", "ignore")
-            texts.append(t)
-        return {c: rows[c] for c in ("doc_id", *more)} | {"text": texts}
-
     types = dict(df.dtypes)
-    both = cleaned(df, *more, length=length, words=words, shard_bytes=shard_bytes)
-    return per_batch(both, run, ", ".join(["doc_id long", "text string", *(f"`{c}` {types[c]}" for c in more)]))
+    result = ", ".join(["doc_id long", "text string", *(f"`{c}` {types[c]}" for c in more)])
+    arrow = arrow_schema(result)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for data, spans, passages in rows_with_spans(b):
+                cut: list[tuple[int, int]] = []
+                for a, z in sorted([*spans, *passages]):
+                    a = max(a, cut[-1][1]) if cut else a
+                    cut += [(a, z)] if z > a else []
+                texts.append(without(data, cut).decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), *(b.column(c) for c in more)], schema=arrow)
+
+    return cleaned(df, *more, length=length, words=words, shard_bytes=shard_bytes).mapInArrow(run, result)
 
 
 def removal_digests(df: DataFrame, length: int = 400, words: int = 51, shard_bytes: int = 1 << 20) -> DataFrame:
     """What removing the repeated strings of `length` bytes does to each document; beside it n_passage_bytes, the bytes in passages of so many words that also start elsewhere, whatever their bytes."""
 
-    def run(rows: dict) -> dict:
-        out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes")}
-        for text, spans, passages in zip(rows["text"], rows["spans"], rows["passages"], strict=True):
-            data, runs = text.encode(), merged(spans or [])
-            kept = without(data, runs)
-            inside = sum(b - a for a, b in word_spans(data, passages)) if passages else 0
-            for c, v in zip(out, (len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), inside), strict=True):
-                out[c].append(v)
-        return out | {"doc_id": rows["doc_id"]}
-
-    both = cleaned(df, length=length, words=words, shard_bytes=shard_bytes)
-    return per_batch(both, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long")
+    result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long"
+    arrow = arrow_schema(result)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for data, spans, passages in rows_with_spans(b):
+                kept = without(data, spans) if spans else data
+                rows.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), sum(z - a for a, z in passages)))
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:], strict=True))], schema=arrow)
+
+    return cleaned(df, length=length, words=words, shard_bytes=shard_bytes).mapInArrow(run, result)
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

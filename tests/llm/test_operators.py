@@ -12,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -209,6 +210,66 @@ def test_suffix_dedup(spark, docs, monkeypatch, hot):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+@pytest.mark.parametrize("form, length", [(suffix_dedup.Bytes, 80), (suffix_dedup.Bytes, 400), (suffix_dedup.Words, 51)])
+def test_segments_without_a_common_window_are_left_out_before_sorting(form, length, monkeypatch):
+    """Whatever has a window in common with another segment stays, however the segments are taken together; most of what shares one side of an anchor alone goes."""
+    rng = np.random.default_rng(length)
+    unit = (lambda n: rng.integers(97, 123, n).astype(np.uint8)) if form is suffix_dedup.Bytes else (lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64))
+    texts = []
+    for _ in range(40):
+        core = unit(length)
+        for _ in range(3):  # copies that are changed in one place
+            t = np.concatenate([unit(length), core, unit(length)])
+            t[length + int(rng.integers(length))] = unit(1)[0]
+            texts.append(t)
+        texts += [np.concatenate([unit(9), core, unit(k)]) for k in range(2)]
+    parts, anchors = [], []
+    for c in suffix_dedup.text_runs(texts, length, form):
+        for which, at, n, anchor in zip(*(x.tolist() for x in c[:4]), strict=True):
+            parts.append(texts[which][at : at + n + length - 1])
+            anchors.append(anchor)
+    order = np.argsort(anchors, kind="stable")
+    kinds = Counter(anchors)
+    order = [k for k in order.tolist() if kinds[anchors[k]] > 1]
+    parts, anchors = [parts[k] for k in order], np.array([anchors[k] for k in order])
+    windows = [{p[i : i + length].tobytes() for i in range(len(p) - length + 1)} for p in parts]
+    whole = rng.random(len(parts)) < 0.2
+    held = Counter(w for ws in windows for w in ws)
+    open_ = Counter(w for ws, done in zip(windows, whole, strict=True) if not done for w in ws)
+    need = np.array([any(held[w] > 1 and open_[w] for w in ws) for ws in windows])
+    results = []
+    for block in (1 << 20, 4 * length):
+        monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+        results.append(suffix_dedup.alike(parts, anchors, whole, length, form.gram))
+    assert (results[0] == results[1]).all() and results[0][need].all()
+    assert need.any() and results[0][~need].mean() < 0.6
+
+
+def test_codes_of_words_taken_together(monkeypatch):
+    """A word has one code wherever it stands and whatever is taken with it, and different words of one to sixty bytes have different codes."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("aéb中\x00d", k=rng.choice([1, 2, 5, 8, 9, 16, 17, 60, 61, 70]))).encode() for _ in range(400)]
+    texts = [b" ".join(rng.choices(words, k=rng.randrange(40))) for _ in range(300)] + [b"", b" "]
+    every = []
+    for group in (1 << 18, 100):
+        monkeypatch.setattr(suffix_dedup, "GROUP", group)
+        every.append([c.tolist() for c in suffix_dedup.Words.codes_of(texts)])
+    assert every[0] == every[1] == [suffix_dedup.Words.codes(t).tolist() for t in texts]
+    units = [[u for w in t.split() for u in suffix_dedup.units_of_word(w)] for t in texts]
+    assert [len(u) for u in units] == [len(c) for c in every[0]]
+    pairs = {p for u, c in zip(units, every[0], strict=True) for p in zip(u, c, strict=True)}
+    assert len(pairs) == len({u for u, _ in pairs}) == len({c for _, c in pairs})
+
+
+def test_spans_of_many_rows_are_merged_at_once():
+    kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
+    rows = [[(5, 9), (1, 5)], None, [], [(4, 9), (0, 3), (6, 7)], [(2, 4), (3, 8)]]
+    column = pa.array([None if r is None else [{"from": a, "to": z} for a, z in r] for r in rows], kind)
+    assert suffix_dedup.merged(column, 1) == [[(1, 9)], [], [], [(0, 3), (4, 9)], [(2, 8)]]
+    assert suffix_dedup.merged(column, 0) == [[(1, 5), (5, 9)], [], [], [(0, 3), (4, 9)], [(2, 8)]]
+    assert suffix_dedup.merged(column.slice(3), 1) == [[(0, 3), (4, 9)], [(2, 8)]]
+
+
 def test_places_and_groups_of_windows(monkeypatch):
     """Units' places come as one array, equal to a walk over words and characters; windows are the same however many texts are taken together."""
     rng = random.Random(11)
