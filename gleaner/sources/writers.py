@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,21 @@ def markdown(note: dict[str, Column]) -> Column:
     return F.concat(F.lit("---\n"), F.concat_ws("\n", *front), F.lit("\n---\n\n# "), text_of(note["title"]), F.lit("\n\n"), text_of(note["content"]), tags, F.lit("\n"))
 
 
+def put(store, at: str, data: bytes) -> None:
+    """Writes a file of an Arrow store under a hidden name first, so that an attempt that is ended midway leaves no part of it and spoils no whole one."""
+    from pyarrow import fs
+
+    part = f"{posixpath.dirname(at)}/.{uuid.uuid4().hex}"
+    with store.open_output_stream(part, compression=None) as f:
+        f.write(data)
+    try:
+        store.move(part, at)
+    except OSError:  # a store that doesn't replace files has the same one already
+        if store.get_file_info(at).type != fs.FileType.File:
+            raise
+        store.delete_file(part)
+
+
 def text_files(rows: DataFrame, path: str, name: str, text: str) -> None:
     """Writes a file for each row, under its name, in a folder of any store that Arrow reaches; a name may have folders before it. Tasks write their own rows; a row that is written again gives the same file."""
 
@@ -41,8 +57,11 @@ def text_files(rows: DataFrame, path: str, name: str, text: str) -> None:
                 if (at := posixpath.dirname(f"{folder}/{own}")) not in there:
                     store.create_dir(at, recursive=True)
                     there.add(at)
-                with store.open_output_stream(f"{folder}/{own}") as f:
-                    f.write((content or "").encode())
+                put(store, f"{folder}/{own}", (content or "").encode())
             yield b.select([name])
 
+    from pyarrow import fs
+
+    store, folder = fs.FileSystem.from_uri(path)
+    store.create_dir(folder, recursive=True)  # it is there without rows, too
     rows.select(name, text).mapInArrow(write, f"`{name}` string").count()
